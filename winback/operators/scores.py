@@ -72,7 +72,7 @@ def churn_proxy(summary: DataFrame, label: str | None = None) -> DataFrame:
         extra = 0.65 * (F.col("_behaviour") - F.lit(got["b"]))
     scored = with_rank_pct(scored.withColumn("_shifted", shifted), {"_shifted": "_rs"})
     logit = F.lit(_logit(rate)) + F.lit(slope) * (clip(F.col("_rs"), 0.001, 0.999) - 0.5) + extra + jitter
-    prob = F.round(clip(sigmoid(clip(logit, -18.0, 18.0)), 0.02, high), 6)
+    prob = F.round(clip(sigmoid(clip(logit, -18.0, 18.0)), 0.02, high), 9)
     return scored.select(*summary.columns, prob.alias("churn_probability"))
 
 
@@ -105,7 +105,7 @@ def value_scores(summary: DataFrame) -> DataFrame:
     """clv, uplift, offer cost, expected profit and return."""
     churn, money, freq = F.col("churn_probability"), F.col("monetary"), F.col("frequency")
     draw = 0.08 + 0.17 * (stable_unit(F.col("customer_id"), 31337) - 0.5)
-    uplift = F.round(clip(draw + 0.05 * (churn - 0.5), -0.15, 0.42), 6)
+    uplift = F.round(clip(draw + 0.05 * (churn - 0.5), -0.15, 0.42), 9)
     keep = clip(1.15 - churn, 0.20, 1.15)
     clv = F.round(clip(money * (1.30 + 1.25 * keep) + freq * F.greatest(ratio(money, freq), F.lit(20000.0)) * 0.55, 15000.0), 2)
     out = summary.withColumn("uplift_score", uplift).withColumn("clv", clv)
@@ -119,6 +119,6 @@ def discount_scores(total_discount: Column, total_amount: Column, exposures: Col
     dep = clip(total_discount / F.greatest(total_amount, F.lit(1.0)), 0.0, 1.0)
     fatigue = clip(exposures / F.lit(3.0), 0.0, 2.0)
     pressure = clip(0.65 * dep + 0.35 * fatigue / 2, 0.0, 1.0)
-    return {"discount_dependency_score": F.round(dep, 6), "coupon_fatigue_score": F.round(fatigue, 6),
-            "discount_pressure_score": F.round(pressure, 6),
-            "discount_effect_penalty": F.round(clip(1 - 0.25 * pressure, 0.5, 1.0), 6)}
+    return {"discount_dependency_score": F.round(dep, 9), "coupon_fatigue_score": F.round(fatigue, 9),
+            "discount_pressure_score": F.round(pressure, 9),
+            "discount_effect_penalty": F.round(clip(1 - 0.25 * pressure, 0.5, 1.0), 9)}

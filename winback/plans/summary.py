@@ -41,10 +41,10 @@ def base_summary(spark: SparkSession, d: str) -> DataFrame:
         *c.columns, recency.alias("recency_days"), zero("frequency").alias("frequency"),
         F.coalesce("monetary", F.lit(0.0)).alias("monetary"),
         zero("visits_last_7").alias("visits_last_7"), zero("visits_prev_7").alias("visits_prev_7"),
-        F.round(change_rate(zero("visits_last_7"), zero("visits_prev_7")), 6).alias("visit_change_rate"),
+        F.round(change_rate(zero("visits_last_7"), zero("visits_prev_7")), 9).alias("visit_change_rate"),
         zero("purchase_last_30").alias("purchase_last_30"), zero("purchase_prev_30").alias("purchase_prev_30"),
-        F.round(change_rate(zero("purchase_last_30"), zero("purchase_prev_30")), 6).alias("purchase_change_rate"),
-        F.round(ratio(zero("_support"), zero("_events")), 6).alias("support_contact_propensity"),
+        F.round(change_rate(zero("purchase_last_30"), zero("purchase_prev_30")), 9).alias("purchase_change_rate"),
+        F.round(ratio(zero("_support"), zero("_events")), 9).alias("support_contact_propensity"),
         zero("exposure_count").alias("exposure_count"),
         F.least(recency, F.coalesce(F.datediff(end, F.col("_last_event")), F.lit(999))).alias("inactivity_days"),
         *[v.alias(n) for n, v in disc.items()],
@@ -72,11 +72,11 @@ def survival_scores(spark: SparkSession, d: str) -> DataFrame:
         live = 1 - p
         days = F.ceil(F.round(30 * F.log(F.lit(0.5)) / F.log(live), 6))
         out = s.select(
-            "customer_id", F.round(p / F.lit(mean), 6).alias("predicted_hazard_ratio"),
+            "customer_id", F.round(p / F.lit(mean), 9).alias("predicted_hazard_ratio"),
             F.least(days, F.lit(params.HORIZON_DAYS)).cast("double").alias("predicted_median_time_to_churn_days"),
-            *[F.round(F.pow(live, F.lit(t / 30.0)), 6).alias(f"survival_prob_{t}d") for t in (1, 30, 60, 90)])
+            *[F.round(F.pow(live, F.lit(t / 30.0)), 9).alias(f"survival_prob_{t}d") for t in (1, 30, 60, 90)])
         out = with_rank_pct(out, {"predicted_hazard_ratio": "_p"})
-        return out.withColumn("risk_percentile", F.round("_p", 6)).drop("_p").withColumn(
+        return out.withColumn("risk_percentile", F.round("_p", 9)).drop("_p").withColumn(
             "risk_group", F.when(F.col("risk_percentile") <= 1 / 3, "Low Risk")
             .when(F.col("risk_percentile") <= 2 / 3, "Mid Risk").otherwise("High Risk"))
     return staged(spark, d, "survival", build)

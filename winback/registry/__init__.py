@@ -4,4 +4,4 @@ from __future__ import annotations
 
 from winback.registry.core import ORACLES, QUERIES
 
-from winback.registry import q_ingest  # noqa: E402,F401
+from winback.registry import q_ingest, q_decide  # noqa: E402,F401

@@ -53,7 +53,7 @@ FROM lineitem JOIN c_orders ON order_id = l_orderkey""")
 cte("c_customers", """
 SELECT c_custkey customer_id, c_mktsegment persona, r_name region, c_acctbal account_balance, signup_date,
   strftime(signup_date, '%Y-%m') acquisition_month,
-  round(coalesce(sd / nl * 10, 0.5), 6) price_sensitivity, round(coalesce(nd / nl, 0.5), 6) coupon_affinity
+  round(coalesce(sd / nl * 10, 0.5), 9) price_sensitivity, round(coalesce(nd / nl, 0.5), 9) coupon_affinity
 FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
 LEFT JOIN (SELECT o_custkey, min(o_orderdate)::TIMESTAMP signup_date, sum(sd) sd, sum(nl)::DOUBLE nl, sum(nd)::DOUBLE nd
   FROM orders LEFT JOIN c_lines ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey""")
@@ -79,15 +79,15 @@ E = "TIMESTAMP '2000-12-31'"
 cte("c_summary_base", f"""
 SELECT c.*, coalesce(recency_days, 999) recency_days, coalesce(frequency, 0) frequency, coalesce(monetary, 0.0) monetary,
   coalesce(visits_last_7, 0) visits_last_7, coalesce(visits_prev_7, 0) visits_prev_7,
-  round(CASE WHEN coalesce(visits_prev_7, 0) = 0 THEN 0.0 ELSE (visits_last_7 - visits_prev_7) / visits_prev_7 END, 6)::DOUBLE visit_change_rate,
+  round(CASE WHEN coalesce(visits_prev_7, 0) = 0 THEN 0.0 ELSE (visits_last_7 - visits_prev_7) / visits_prev_7 END, 9)::DOUBLE visit_change_rate,
   coalesce(purchase_last_30, 0) purchase_last_30, coalesce(purchase_prev_30, 0) purchase_prev_30,
-  round(CASE WHEN coalesce(purchase_prev_30, 0) = 0 THEN 0.0 ELSE (purchase_last_30 - purchase_prev_30) / purchase_prev_30 END, 6)::DOUBLE purchase_change_rate,
-  round(coalesce(support / nullif(n_events, 0), 0.0), 6)::DOUBLE support_contact_propensity,
+  round(CASE WHEN coalesce(purchase_prev_30, 0) = 0 THEN 0.0 ELSE (purchase_last_30 - purchase_prev_30) / purchase_prev_30 END, 9)::DOUBLE purchase_change_rate,
+  round(coalesce(support / nullif(n_events, 0), 0.0), 9)::DOUBLE support_contact_propensity,
   coalesce(exposure_count, 0) exposure_count,
   least(coalesce(recency_days, 999), coalesce(date_diff('day', last_event::DATE, DATE '2000-12-31'), 999)) inactivity_days,
-  round(dep, 6) discount_dependency_score, round(fatigue, 6) coupon_fatigue_score,
-  round(least(greatest(0.65 * dep + 0.35 * fatigue / 2, 0.0), 1.0), 6) discount_pressure_score,
-  round(least(greatest(1 - 0.25 * least(greatest(0.65 * dep + 0.35 * fatigue / 2, 0.0), 1.0), 0.5), 1.0), 6) discount_effect_penalty,
+  round(dep, 9) discount_dependency_score, round(fatigue, 9) coupon_fatigue_score,
+  round(least(greatest(0.65 * dep + 0.35 * fatigue / 2, 0.0), 1.0), 9) discount_pressure_score,
+  round(least(greatest(1 - 0.25 * least(greatest(0.65 * dep + 0.35 * fatigue / 2, 0.0), 1.0), 0.5), 1.0), 9) discount_effect_penalty,
   (coalesce(recency_days, 999) >= 180)::INTEGER::DOUBLE churn_label_observed
 FROM c_customers c LEFT JOIN (
   SELECT customer_id, date_diff('day', max(order_time)::DATE, DATE '2000-12-31') recency_days, count(*) frequency,
@@ -115,7 +115,7 @@ cte("c_churn", f"""
 SELECT * EXCLUDE (behaviour, rate, mb, shifted),
   round(least(greatest(1 / (1 + exp(-(ln(least(greatest(rate, 0.02), 0.98) / (1 - least(greatest(rate, 0.02), 0.98)))
     + 2.35 * ({clip(rank_pct('shifted'), 0.001, 0.999)} - 0.5) + 1.10 * (churn_label_observed - rate) + 0.75 * (behaviour - mb)
-    + ({unit('customer_id')} - 0.5) * 0.0866))), 0.02), 0.98), 6) churn_probability
+    + ({unit('customer_id')} - 0.5) * 0.0866))), 0.02), 0.98), 9) churn_probability
 FROM (SELECT *, round(behaviour + 0.35 * (churn_label_observed - rate), 9) shifted FROM (
   SELECT *, least(greatest(avg(churn_label_observed) OVER (), 0.03), 0.97)::DOUBLE rate, avg(behaviour) OVER () mb FROM c_behaviour))""")
 cte("c_summary", f"""
@@ -123,16 +123,16 @@ SELECT * EXCLUDE (med), round(greatest(clv * uplift_score, -50000), 4) expected_
   round((round(greatest(clv * uplift_score, -50000), 4) - coupon_cost) / coupon_cost, 6) expected_roi,
   CASE WHEN churn_probability >= 0.45 AND monetary > med THEN 'Persuadables' WHEN churn_probability < 0.45 AND monetary > med THEN 'Sure Things'
        WHEN churn_probability >= 0.45 THEN 'Lost Causes' ELSE 'Sleeping Dogs' END uplift_segment
-FROM (SELECT *, round(least(greatest(0.08 + 0.17 * ({unit('customer_id', 31337)} - 0.5) + 0.05 * (churn_probability - 0.5), -0.15), 0.42), 6) uplift_score,
+FROM (SELECT *, round(least(greatest(0.08 + 0.17 * ({unit('customer_id', 31337)} - 0.5) + 0.05 * (churn_probability - 0.5), -0.15), 0.42), 9) uplift_score,
   round(greatest(monetary * (1.30 + 1.25 * least(greatest(1.15 - churn_probability, 0.20), 1.15))
     + frequency * greatest(CASE WHEN frequency = 0 THEN 0.0 ELSE monetary / frequency END, 20000.0) * 0.55, 15000.0), 2) clv,
   floor(least(greatest(monetary * 0.0025, 3000.0), 30000.0))::DOUBLE coupon_cost,
   (SELECT quantile_cont(monetary, 0.5) FROM c_churn) med FROM c_churn)""")
 cte("c_survival", f"""
 SELECT *, CASE WHEN risk_percentile <= 1/3 THEN 'Low Risk' WHEN risk_percentile <= 2/3 THEN 'Mid Risk' ELSE 'High Risk' END risk_group
-FROM (SELECT *, round({rank_pct('predicted_hazard_ratio')}, 6) risk_percentile FROM (
-SELECT customer_id, round(churn_probability / (SELECT avg(churn_probability) FROM c_summary), 6) predicted_hazard_ratio,
+FROM (SELECT *, round({rank_pct('predicted_hazard_ratio')}, 9) risk_percentile FROM (
+SELECT customer_id, round(churn_probability / (SELECT avg(churn_probability) FROM c_summary), 9) predicted_hazard_ratio,
   least(ceil(round(30 * ln(0.5::DOUBLE) / ln(1 - churn_probability), 6)), 90)::DOUBLE predicted_median_time_to_churn_days,
-  round(pow(1 - churn_probability, 1/30.0::DOUBLE), 6) survival_prob_1d, round(pow(1 - churn_probability, 1.0), 6) survival_prob_30d,
-  round(pow(1 - churn_probability, 2.0), 6) survival_prob_60d, round(pow(1 - churn_probability, 3.0), 6) survival_prob_90d
+  round(pow(1 - churn_probability, 1/30.0::DOUBLE), 9) survival_prob_1d, round(pow(1 - churn_probability, 1.0), 9) survival_prob_30d,
+  round(pow(1 - churn_probability, 2.0), 9) survival_prob_60d, round(pow(1 - churn_probability, 3.0), 9) survival_prob_90d
 FROM c_summary))""")

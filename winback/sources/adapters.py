@@ -78,8 +78,8 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
             F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("persona"), F.col("r_name").alias("region"),
             F.col("c_acctbal").alias("account_balance"), "signup_date",
             F.date_format("signup_date", "yyyy-MM").alias("acquisition_month"),
-            F.round(F.coalesce(F.col("sd") / F.col("nl") * 10, F.lit(0.5)), 6).alias("price_sensitivity"),
-            F.round(F.coalesce(F.col("nd") / F.col("nl"), F.lit(0.5)), 6).alias("coupon_affinity"))
+            F.round(F.coalesce(F.col("sd") / F.col("nl") * 10, F.lit(0.5)), 9).alias("price_sensitivity"),
+            F.round(F.coalesce(F.col("nd") / F.col("nl"), F.lit(0.5)), 9).alias("coupon_affinity"))
     return staged(spark, d, "customers", build)
 
 
