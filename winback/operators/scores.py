@@ -122,3 +122,29 @@ def discount_scores(total_discount: Column, total_amount: Column, exposures: Col
     return {"discount_dependency_score": F.round(dep, 9), "coupon_fatigue_score": F.round(fatigue, 9),
             "discount_pressure_score": F.round(pressure, 9),
             "discount_effect_penalty": F.round(clip(1 - 0.25 * pressure, 0.5, 1.0), 9)}
+
+
+def calibrate(scored: DataFrame, raw: str, churned: Column, name: str = "churn_probability") -> DataFrame:
+    """Logistic of the score rank around one minus the realised churn share, held to 0.15..0.25."""
+    share = min(max(scalars(scored, y=F.avg(churned.cast("double")))["y"], 0.15), 0.25)
+    r = with_rank_pct(scored, {raw: "_p"})
+    return r.withColumn(name, F.round(sigmoid((F.col("_p") - (1 - share)) / 0.10), 9)).drop("_p")
+
+
+def offline_summary(summary: DataFrame, churn_days: int) -> DataFrame:
+    """Summary scores from terms scaled by their 95th percentile, calibrated to the realised churn share."""
+    top = {c: max(quantile_values(summary, c, [0.95])[0] or 0.0, 1.0) for c in ("recency_days", "frequency", "monetary")}
+    scaled = {c: F.least(F.col(c) / F.lit(q), F.lit(1.0)) for c, q in top.items()}
+    falling = lambda c: (F.col(c) < 0).cast("double")
+    raw = clip(0.34 * scaled["recency_days"] + 0.20 * (1 - scaled["frequency"]) + 0.16 * (1 - scaled["monetary"])
+               + 0.13 * falling("visit_change_rate") + 0.13 * falling("purchase_change_rate")
+               + 0.04 * clip(F.col("inactivity_days") / float(churn_days), 0.0, 1.0), 0.01, 0.99)
+    s = calibrate(summary.drop("churn_probability").withColumn("_raw", F.round(raw, 9)), "_raw", F.col("inactivity_days") >= churn_days)
+    pressure = F.greatest(F.col("coupon_fatigue_score") * 0.55 + 0.60 * F.col("discount_dependency_score"), F.lit(0.0))
+    penalty = clip(1 - 0.08 * pressure, 0.55, 1.0)
+    u = F.col("uplift_score")
+    keep = clip(1.15 - F.col("churn_probability"), 0.20, 1.15)
+    clv = F.greatest(F.col("monetary") * (1.30 + 1.25 * keep) + F.col("frequency") * F.greatest(ratio(F.col("monetary"), F.col("frequency")), F.lit(20000.0)) * 0.55, F.lit(15000.0))
+    s = s.withColumns({"clv": clv, "discount_pressure_score": pressure, "discount_effect_penalty": penalty})
+    return s.withColumn("expected_incremental_profit", F.greatest(F.col("clv") * u * F.col("discount_effect_penalty"), F.lit(-50000.0))).withColumn(
+        "uplift_segment", F.when(u >= 0.12, "Persuadables").when(u >= 0.02, "Sure Things").when(u >= -0.03, "Lost Causes").otherwise("Sleeping Dogs")).drop("_raw")

@@ -8,3 +8,5 @@ BUDGET = 5_000_000
 HORIZON_DAYS = 90
 STATUS_DORMANT_DAYS = 90
 STATUS_RISK_DAYS = 180
+SNAPSHOT_END = "2001-06-30"
+SHORT, MID, LONG = 7, 14, 20       # feature windows on the event time line
