@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 
 def clip(col: Column, low=None, high=None) -> Column:
     """Bound a column; NULL stays NULL."""
-    out = col
-    if low is not None:
-        out = F.when(col.isNotNull(), F.greatest(out, F.lit(low)))
-    if high is not None:
-        out = F.when(col.isNotNull(), F.least(out, F.lit(high)))
-    return out
+    out = col if low is None else F.greatest(col, F.lit(low))
+    out = out if high is None else F.least(out, F.lit(high))
+    return F.when(col.isNotNull(), out)
 
 
 def ratio(num: Column, den: Column, default: float = 0.0) -> Column:
