@@ -152,6 +152,6 @@ def journey_funnel(spark, d):
 @query("churn_stage_timing", f"""SELECT churn_stage, count(*) churned_customers, round(avg(days), 6) avg_days_to_churn, median(days)::DOUBLE median_days_to_churn, round(count(*) / (SELECT count(*) FROM c_churners), 6)::DOUBLE share_of_churn_customers
 FROM (SELECT customer_id, greatest(date_diff('day', any_value(signup_date)::DATE, any_value(final_churn_start_date)), 0) AS days,
  CASE WHEN count(order_id) >= 3 THEN '{C.STAGES[3]}' WHEN count(order_id) = 2 THEN '{C.STAGES[2]}' WHEN count(order_id) = 1 THEN '{C.STAGES[1]}' ELSE '{C.STAGES[0]}' END churn_stage
-FROM c_churners JOIN c_customers USING (customer_id) LEFT JOIN (SELECT customer_id, order_id, order_time FROM c_orders) o USING (customer_id) WHERE order_time <= final_churn_start_date OR order_time IS NULL GROUP BY 1) GROUP BY 1""")
+FROM (SELECT h.customer_id, h.final_churn_start_date, k.signup_date, o.order_id FROM c_churners h JOIN c_customers k USING (customer_id) LEFT JOIN c_orders o ON o.customer_id = h.customer_id AND o.order_time <= h.final_churn_start_date) GROUP BY 1) GROUP BY 1""")
 def churn_stage_timing(spark, d):
     return C.churn_stages(A.customers(spark, d), A.orders(spark, d), churners(spark, d))

@@ -139,7 +139,7 @@ def _cells(rules, field):
         if col in PCT:
             op = ">=" if way == "high" else "<="
             parts.append(f"CASE WHEN round(pct_{col}, 9) {op} {cut} THEN '{ {'code': code, 'text': text, 'col': col}[field] }' END")
-    return f"list_filter([{', '.join(parts)}], x -> x IS NOT NULL)"
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
 def _join(rules, field, n, sep, extra=None):
@@ -180,7 +180,7 @@ def explain_counts(spark, d):
 
 
 def _texts(conds, names, n, none):
-    lst = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(conds, names)) + "], x -> x IS NOT NULL)"
+    lst = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(conds, names)) + "], lambda x: x IS NOT NULL)"
     return f"CASE WHEN len({lst}) = 0 THEN '{none}' ELSE array_to_string(list_slice({lst}, 1, {n}), ', ') END"
 
 

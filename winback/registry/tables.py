@@ -60,7 +60,7 @@ LEFT JOIN (SELECT o_custkey, min(o_orderdate)::TIMESTAMP signup_date, sum(sd) sd
 cte("c_assign", """
 SELECT customer_id, CASE WHEN customer_id % 2 = 1 THEN 'treatment' ELSE 'control' END treatment_group,
   (customer_id % 2)::INTEGER treatment_flag, round(3000 + 12000 * coupon_affinity, 2) coupon_cost, assigned_at
-FROM c_customers JOIN (SELECT customer_id, max(order_time) assigned_at FROM (SELECT customer_id, order_time,
+FROM c_customers JOIN (SELECT customer_id, max(order_time) + INTERVAL 1 DAY assigned_at FROM (SELECT customer_id, order_time,
    row_number() OVER (PARTITION BY customer_id ORDER BY order_time, order_id) rn FROM c_orders) WHERE rn <= 2 GROUP BY 1) USING (customer_id)""")
 cte("c_exposures", """
 SELECT order_id exposure_id, customer_id, order_time exposure_time, coupon_cost FROM c_orders

@@ -84,15 +84,14 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, d: str) -> DataFrame:
-    """Odd customers are treated, from their second order (or the only one) on."""
+    """Odd customers are treated, from the day after their second (or only) order on."""
     o = orders(spark, d)
     # the two earliest order times per customer, found by min / min of the rest
-    first = o.groupBy("customer_id").agg(F.min("order_time").alias("t1"),
-                                         F.min("order_id").alias("_any"))
+    first = o.groupBy("customer_id").agg(F.min("order_time").alias("t1"))
     firsts = o.groupBy("customer_id").agg(F.min(F.struct("order_time", "order_id")).alias("m"))
     rest = (o.join(firsts, "customer_id").where(F.struct("order_time", "order_id") > F.col("m"))
             .groupBy("customer_id").agg(F.min("order_time").alias("t2")))
-    t = first.join(rest, "customer_id", "left").select("customer_id", F.coalesce("t2", "t1").alias("assigned_at"))
+    t = first.join(rest, "customer_id", "left").select("customer_id", (F.coalesce("t2", "t1") + F.expr("INTERVAL 1 DAY")).alias("assigned_at"))
     flag = (F.col("customer_id") % 2).cast("int")
     return customers(spark, d).join(t, "customer_id").select(
         "customer_id", F.when(flag == 1, "treatment").otherwise("control").alias("treatment_group"),
