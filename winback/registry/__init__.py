@@ -4,4 +4,4 @@ from __future__ import annotations
 
 from winback.registry.core import ORACLES, QUERIES
 
-from winback.registry import q_ingest, q_decide, q_features, q_cohort, q_counterfactual, q_recommend, q_report, q_live  # noqa: E402,F401
+from winback.registry import q_ingest, q_decide, q_features, q_cohort, q_counterfactual, q_recommend, q_report, q_live, q_models  # noqa: E402,F401
