@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOG_SCHEMA = "job string, started_at timestamp, finished_at timestamp, seconds double, status string, result_rows long, message string"
 
@@ -23,3 +23,22 @@ def logged(spark: SparkSession, path: str, job: str, step: Callable[[], int]) ->
         end = dt.datetime.now(dt.timezone.utc)
         spark.createDataFrame([(job, start, end, (end - start).total_seconds(), status, rows, message)], LOG_SCHEMA).write.mode("append").parquet(path)
     return rows
+
+
+def stages(spark: SparkSession, d: str) -> dict[str, Callable[[], DataFrame]]:
+    """Stage name -> job, in the order of the batch run. Each job writes the table the next ones read."""
+    from winback.operators import cohort
+    from winback.plans import decision
+    from winback.plans.summary import customer_summary
+    from winback.sources import adapters
+    return {
+        "summary": lambda: customer_summary(spark, d),
+        "segments": lambda: decision.segments(spark, d),
+        "pool": lambda: decision.pool(spark, d),
+        "cohorts": lambda: cohort.retention(adapters.customers(spark, d), adapters.order_events(spark, d)),
+    }
+
+
+def run_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Run every stage and report its rows; a failing stage stops the run."""
+    return spark.createDataFrame([(name, job().count()) for name, job in stages(spark, d).items()], "stage string, n long")
