@@ -35,33 +35,37 @@ def _nested_range(key: Column, bounds: list[Column], base: int = 0) -> Column:
 
 
 def ordered_totals(df: DataFrame, order: list[tuple[str, bool]], totals: dict[str, Column],
-                   by: list[str] | None = None) -> DataFrame:
+                   by: list[str] | None = None, dense: int | None = None) -> DataFrame:
     """Running totals (current row included) in a given order, per `by` group or over the table.
 
     `order` holds (column, descending) pairs and should end in a unique column. A sample of keys,
     taken by hash and at most SAMPLE_ROWS long, gives the range bounds; a frame smaller than the
-    sample is a single range.
+    sample is a single range. With `dense` the only key is a whole number from 1 to that size, and no
+    sample is needed.
     """
     by = by or []
     key = F.struct(*[_sort_value(df, c, d).alias(f"k{i}") for i, (c, d) in enumerate(order)])
     work = df.withColumn("_key", key)
-    sample = (work.select("_key").orderBy(F.xxhash64("_key")).limit(SAMPLE_ROWS + 1).collect())
-    keys = [r[0] for r in sample]
-    types = work.schema["_key"].dataType
     for n, e in totals.items():
         work = work.withColumn(f"_t_{n}", e)
-    if len(keys) <= SAMPLE_ROWS:
-        work = work.withColumn("_range", F.lit(0))
+    if dense is not None:
+        small, ranges = dense <= SAMPLE_ROWS, _range_count(df)
+        if not small:
+            work = work.withColumn("_range", F.floor((F.col(order[0][0]) - 1) * ranges / dense).cast("int"))
     else:
-        ranges = _range_count(df)
-        ordered = sorted(keys, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
-        picked = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
-        bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)])
-                  for r in picked]
-        work = work.withColumn("_range", _nested_range(F.col("_key"), bounds))
+        keys = [r[0] for r in work.select("_key").orderBy(F.xxhash64("_key")).limit(SAMPLE_ROWS + 1).collect()]
+        small = len(keys) <= SAMPLE_ROWS
+        if not small:
+            ranges, types = _range_count(df), work.schema["_key"].dataType
+            ordered = sorted(keys, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
+            picked = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
+            bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)]) for r in picked]
+            work = work.withColumn("_range", _nested_range(F.col("_key"), bounds))
+    if small:
+        work = work.withColumn("_range", F.lit(0))
     run = Window.partitionBy(*by, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     inner = work.select("*", *[F.sum(f"_t_{n}").over(run).alias(f"_r_{n}") for n in totals])
-    if len(keys) <= SAMPLE_ROWS:
+    if small:
         return inner.select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in totals])
     sums = work.groupBy(*by, "_range").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals])
     before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,6 +32,7 @@ def greedy(ranked: DataFrame, budgets: list[float], high_cap: int | None = None,
     thin = ranked.select("place", "customer_id", F.col("coupon_cost").alias("cost"),
                          (F.lower("intervention_intensity") == "high").cast("int").alias("high"))
     big = 1 << 60
+    places = ranked.agg(F.max("place")).first()[0] or 0
     states = {int(b): {"left": float(b), "high": big if high_cap is None else high_cap,
                        "cap": big if not customer_cap else customer_cap, "last": 0} for b in budgets if b > 0}
     taken: list[DataFrame] = []
@@ -47,29 +48,25 @@ def greedy(ranked: DataFrame, budgets: list[float], high_cap: int | None = None,
             fits = fits.join(done, ["budget", "customer_id"], "left_anti")
         first = fits.groupBy("budget", "customer_id").agg(
             F.min(F.struct("place", "cost", "high", "left", "high_left", "cap_left")).alias("r")).select("budget", "customer_id", "r.*")
-        run = cut(ordered_totals(first, [("place", False)], {"sum_cost": F.col("cost"), "sum_high": F.col("high"),
-                                                               "sum_n": F.lit(1)}, by=["budget"]), "round")
-        breaks = (F.col("sum_cost") > F.col("left")) | (F.col("sum_high") > F.col("high_left")) | (F.col("sum_n") > F.col("cap_left"))
-        stops = {r["budget"]: r for r in run.groupBy("budget").agg(
-            F.min(F.when(breaks, F.col("place"))).alias("stop")).collect()}
-        if not stops:
+        run = ordered_totals(first, [("place", False)], {"sum_cost": F.col("cost"), "sum_high": F.col("high"), "sum_n": F.lit(1)},
+                             by=["budget"], dense=places)
+        # the totals only grow along the order, so the rows that keep all limits are the ones before the first break
+        fits_all = ((F.col("sum_cost") <= F.col("left")) & (F.col("sum_high") <= F.col("high_left")) & (F.col("sum_n") <= F.col("cap_left")))
+        run = cut(run.withColumn("ok", fits_all), "round")
+        got = run.groupBy("budget").agg(
+            F.min(F.when(~F.col("ok"), F.col("place"))).alias("stop"), F.max(F.when(F.col("ok"), F.col("sum_cost"))).alias("c"),
+            F.max(F.when(F.col("ok"), F.col("sum_high"))).alias("h"), F.count_if(F.col("ok")).alias("n")).collect()
+        if not got:
             break
-        limit = reduce(lambda acc, kv: acc.when(F.col("budget") == kv[0], F.lit(kv[1]["stop"] or big)), stops.items(),
-                       F.when(F.lit(False), F.lit(0)))
-        ok = run.where(F.col("place") < limit).select("budget", "customer_id", "place", "cost", "high")
-        taken.append(ok)
-        got = {r["budget"]: r for r in ok.groupBy("budget").agg(
-            F.sum("cost").alias("c"), F.sum("high").alias("h"), F.count(F.lit(1)).alias("n")).collect()}
+        taken.append(run.where("ok").select("budget", "customer_id", "place"))
         nxt = {}
-        for b, r in stops.items():
-            s = states[b]
+        for r in got:
+            s = states[r["budget"]]
             if r["stop"] is None:
                 continue
-            g = got.get(b)
-            c, h, n = (g["c"], g["h"], g["n"]) if g else (0.0, 0, 0)
-            s = {"left": s["left"] - c, "high": s["high"] - h, "cap": s["cap"] - n, "last": r["stop"]}
+            s = {"left": s["left"] - (r["c"] or 0.0), "high": s["high"] - (r["h"] or 0), "cap": s["cap"] - r["n"], "last": r["stop"]}
             if s["cap"] > 0 and s["left"] > 0:
-                nxt[b] = s
+                nxt[r["budget"]] = s
         states = nxt
     if not taken:
         return ranked.withColumn("budget", F.lit(0)).limit(0)

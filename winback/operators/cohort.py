@@ -97,7 +97,7 @@ def summary(curve: DataFrame) -> DataFrame:
     b = curve.agg(F.count_distinct("period").alias("observed_periods"), F.round(F.avg(F.when(F.col("period") == 1, F.col("retention_rate"))), 6).alias("month1_avg_retention"),
                   F.lit(shared).alias("comparable_period"), F.round(F.avg(F.when(at, F.col("retention_rate"))), 6).alias("comparable_avg_retention"),
                   F.max_by("cohort_month", F.when(at, F.struct("retention_rate", "cohort_month"))).alias("best_comparable_cohort"))
-    return a.join(b, F.lit(True))       # two one-row frames
+    return a.select("*", *[F.lit(v).alias(k) for k, v in b.first().asDict().items()])
 
 
 def non_monotonic(curve: DataFrame) -> DataFrame:

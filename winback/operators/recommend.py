@@ -93,7 +93,8 @@ def recommend(customers: DataFrame, pref: DataFrame, view: DataFrame, segment: D
         return F.when(hi - lo < 1e-9, 0.0).otherwise((x - lo) / (hi - lo))
     segs = customers.select("persona", "uplift_segment").distinct()
     # a small table: segments times categories
-    seg_cat = segs.join(cats.agg(F.collect_set("item_category").alias("all")), F.lit(True)).select("persona", "uplift_segment", F.explode("all").alias("item_category"))
+    every = cats.agg(F.collect_set("item_category")).scalar()
+    seg_cat = segs.withColumn("all", every).select("persona", "uplift_segment", F.explode("all").alias("item_category"))
     seg_cat = seg_cat.join(segment, ["persona", "uplift_segment", "item_category"], "left").join(everyone, "item_category", "left").select(
         "persona", "uplift_segment", "item_category", F.coalesce("segment_popularity", F.lit(0.0)).alias("segment_popularity"),
         F.coalesce("global_popularity", F.lit(0.0)).alias("global_popularity"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from winback.functions.ranking import quantile_values, with_rank_pct
 from winback.functions.scalars import clip, ratio, scalars, sigmoid, stable_unit
+from winback.sources.staging import cut
 
 
 def rfm(orders: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -56,7 +57,9 @@ def churn_proxy(summary: DataFrame, label: str | None = None) -> DataFrame:
         "engagement": F.lit(0.5),
     }
     blend = sum((F.lit(w) * terms[n] for n, w in RISK_WEIGHTS.items()), F.lit(0.0))
-    scored = ranked.withColumn("_behaviour", F.round(clip(blend, 0.01, 0.99), 9))
+    # written once: the ranks are read by the averages, the second ranking and the result
+    scored = cut(ranked.withColumn("_behaviour", F.round(clip(blend, 0.01, 0.99), 9)).select(
+        "customer_id", "_behaviour", *([label] if label else [])), "risk-blend")
     jitter = (stable_unit(F.col("customer_id")) - 0.5) * 0.0866
     if label:
         got = scalars(scored, b=F.avg("_behaviour"), y=F.avg(label))
@@ -73,7 +76,7 @@ def churn_proxy(summary: DataFrame, label: str | None = None) -> DataFrame:
     scored = with_rank_pct(scored.withColumn("_shifted", shifted), {"_shifted": "_rs"})
     logit = F.lit(_logit(rate)) + F.lit(slope) * (clip(F.col("_rs"), 0.001, 0.999) - 0.5) + extra + jitter
     prob = F.round(clip(sigmoid(clip(logit, -18.0, 18.0)), 0.02, high), 9)
-    return scored.select(*summary.columns, prob.alias("churn_probability"))
+    return summary.join(scored.select("customer_id", prob.alias("churn_probability")), "customer_id")
 
 
 def persona(summary: DataFrame, name: str = "persona_rule") -> DataFrame:

@@ -273,7 +273,12 @@ def baseline_engine(spark, d):
     return _baseline(spark, d).select("customer_id", "coupon_cost", *R6("baseline_priority_score"), "expected_incremental_profit")
 
 
-@query("engine_compare_factors")
+_W2 = walk_sql("c_base_pool", "[5000000]", "1000000000").replace("WITH RECURSIVE w(", ", w2(").replace("FROM w JOIN", "FROM w2 w JOIN").replace("c_sel AS", "c_sel2 AS")
+_ENG = ", 1 uses_churn, 1 uses_uplift, 1 uses_value, {t} uses_timing, {t} uses_intensity"
+
+
+@query("engine_compare_factors", f"""{API_WALK}{_W2} SELECT 'baseline' engine, count(*) targeted, round(sum(coupon_cost), 2) spent, round(sum(expected_incremental_profit), 2) profit{_ENG.format(t=0)} FROM c_sel2
+UNION ALL SELECT 'enhanced', count(*), round(sum(coupon_cost), 2), round(sum(expected_incremental_profit), 2){_ENG.format(t=1)} FROM c_sel""")
 def engine_compare_factors(spark, d):
     """Totals of the older and the current engine, with the factors each of them weighs."""
     new = D.selected_once(spark, d)

@@ -128,8 +128,8 @@ def live_score_summary(spark, d):
     return V.score_summary(scores(spark, d))
 
 
-@query("live_queries_scores", "SELECT customer_id, round(churn_score, 6) churn_score, risk_segment FROM c_scores ORDER BY churn_score DESC NULLS LAST, scored_at DESC, customer_id LIMIT 200")
-def live_queries_scores(spark, d):
+@query("live_queries", "SELECT customer_id, round(churn_score, 6) churn_score, risk_segment FROM c_scores ORDER BY churn_score DESC NULLS LAST, scored_at DESC, customer_id LIMIT 200")
+def live_queries(spark, d):
     return scores(spark, d).orderBy(F.desc_nulls_last("churn_score"), F.desc("scored_at"), "customer_id").limit(200).select("customer_id", *R6("churn_score"), "risk_segment")
 
 

@@ -31,8 +31,8 @@ def read_text_table(spark: SparkSession, path: str, schema: str | None = None, e
     reader = spark.read.schema(schema) if schema else spark.read
     if encoding is None:
         for enc in ENCODINGS:
-            sample = spark.read.option("encoding", enc).text(path).limit(1000)
-            if sample.where(F.contains("value", F.lit("�"))).isEmpty():
+            sample = spark.read.option("encoding", enc).option("sep", sep).csv(path).limit(1000)
+            if sample.where(F.contains(F.concat_ws("|", *sample.columns), F.lit("\ufffd"))).isEmpty():
                 encoding = enc
                 break
     return reader.option("encoding", encoding or ENCODINGS[-1]).option("sep", sep).csv(path, header=True)
