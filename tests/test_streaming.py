@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from winback.operators.live import ts_normalise, upsert
+from winback.operators.live import feature_counters, ts_normalise, upsert
 from winback.registry import q_stream
 from winback.streaming import flow, signals
 
@@ -36,9 +36,9 @@ def test_a_batch_run_twice_changes_nothing(spark, tmp_path):
         "customer_id", F.col("t").cast("timestamp").alias("event_time"), "event_type", "amount")
     tables = flow.LiveTables(spark, str(tmp_path))
     run = flow.live_flow(known, tables)
-    run(ev(1, 3), 0)
-    run(ev(2, 4), 1)
-    run(ev(2, 4), 1)
+    run(feature_counters(ev(1, 4)), 0)
+    for _ in range(2):
+        run(feature_counters(ev(1, 3).unionByName(ev(2, 3))), 1)
     got = {r["customer_id"]: r["event_count_total"] for r in tables.latest("state").collect()}
     assert got == {1: 2, 2: 2, 3: 1}
     assert tables.latest("actions").count() == 3

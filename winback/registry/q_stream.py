@@ -269,7 +269,7 @@ def closed_loop_guard(spark, d):
 def flowed(spark, d):
     def build():
         tables = W.LiveTables(spark, new_path(spark, "live-flow"))
-        W.run_available(W.event_stream(spark, d), "flow", batch=W.live_flow(known(spark, d), tables))
+        W.run_available(W.counter_stream(W.event_stream(spark, d)), "flow", "update", W.live_flow(known(spark, d), tables))
         return tables.latest("actions")
     return staged(spark, d, "flow_actions", build)
 

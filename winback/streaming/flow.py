@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from winback.operators import live
 from winback.sources import adapters
-from winback.sources.catalog import exists
 from winback.sources.schemas import LIVE_EVENT, LIVE_EVENT_TYPES
 from winback.sources.staging import new_path
 
@@ -66,48 +65,36 @@ def latest_counts(path: str, spark: SparkSession) -> DataFrame:
 
 
 class LiveTables:
-    """Keyed tables in the shared folder. Batch i reads version i - 1 and writes version i, so a batch that is run
-    again after a failure gives the same tables."""
+    """Keyed tables kept as one folder of changed rows per micro-batch; the latest row of a key is the current one.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.last = spark, folder, -1
-
-    def _path(self, name: str, batch_id: int) -> str:
-        return f"{self.folder}/{name}/v{batch_id}"
+    A batch costs what it touches, not the size of the table, and a batch that is run again after a failure
+    rewrites its own folder.
+    """
 
-    def before(self, name: str, batch_id: int) -> DataFrame | None:
-        path = self._path(name, batch_id - 1)
-        return self.spark.read.parquet(path) if batch_id > 0 and exists(self.spark, f"{path}/_SUCCESS") else None
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def write(self, name: str, df: DataFrame, batch_id: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(name, batch_id))
-        self.last = max(self.last, batch_id)
-        return self.spark.read.parquet(self._path(name, batch_id))
+        path = f"{self.folder}/{name}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def latest(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name, self.last))
+        return latest_counts(f"{self.folder}/{name}", self.spark)
 
-
-def merge_counters(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Add a batch's counters to the stored ones; times combine as earliest and latest."""
-    if old is None:
-        return new
-    added = [*live.COUNTER_NAMES, "revenue_30d", "event_count_total"]
-    return old.unionByName(new).groupBy("customer_id").agg(
-        F.max("last_event_time").alias("last_event_time"), *[F.sum(c).alias(c) for c in added[:-2]], F.sum("revenue_30d").alias("revenue_30d"),
-        F.min("first_seen_at").alias("first_seen_at"), F.sum("event_count_total").alias("event_count_total"))
+    def compact(self, name: str, batch_id: int) -> None:
+        """Fold the changes into one folder, from time to time, so that readers open few files."""
+        self.latest(name).write.mode("overwrite").parquet(f"{self.folder}-compacted/{name}/batch_id={batch_id}")
 
 
 def live_flow(known: DataFrame, tables: LiveTables, threshold: float = 0.5) -> Callable[[DataFrame, int], None]:
-    """Event -> counters -> scores -> actions, for the customers each micro-batch touches."""
+    """Counters -> scores -> actions for the customers each micro-batch touches.
+
+    The counters come from an update-mode aggregate, so Spark's state store holds them and hands over only the
+    customers that changed.
+    """
     def batch(b: DataFrame, i: int) -> None:
-        fresh = live.feature_counters(b)
-        state = tables.write("state", merge_counters(tables.before("state", i), fresh), i)
-        touched = state.join(fresh.select("customer_id"), "customer_id", "left_semi")
-        scored = tables.write("touched", live.live_scores(touched, known), i)
-        old = tables.before("scores", i)
-        tables.write("scores", scored if old is None else old.join(scored.select("customer_id"), "customer_id", "left_anti").unionByName(scored), i)
-        acts = live.live_actions(scored, threshold)
-        prev = tables.before("actions", i)
-        tables.write("actions", acts.withColumn("source_type", F.lit("live")) if prev is None else live.replace_slice(prev, acts, scored, "live"), i)
+        state = tables.write("state", b, i)
+        scored = tables.write("scores", live.live_scores(state, known), i)
+        tables.write("actions", live.live_actions(scored, threshold).withColumn("source_type", F.lit("live")), i)
     return batch
