@@ -101,7 +101,8 @@ def standard_type(value: Column) -> Column:
     """Standard event type of a raw value: the exact word, else the longest known word (4 letters or more) inside it."""
     v = _flat(value)
     pairs = [(s, std) for std, words in vocab.EVENT_VALUES.items() for s in words]
-    exact = literal_map({s: std for s, std in reversed(pairs)}, v)
+    words = {s: std for s, std in reversed(pairs)}
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), v)
     parts = sorted(((len(s), -i, s, std) for i, (s, std) in enumerate(pairs) if len(s) >= 4), reverse=True)
     known = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(std).alias("t")) for _, _, s, std in parts])
     inside = F.get(F.filter(known, lambda p: F.contains(v, p["s"])), F.lit(0)).getField("t")

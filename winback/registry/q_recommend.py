@@ -11,7 +11,7 @@ from winback.plans import decision as D
 from winback.plans.summary import customer_summary, survival_scores
 from winback.registry.core import cte, query
 from winback.registry.q_decide import API_WALK, R6
-from winback.registry.q_features import L, M, S, fm
+from winback.registry.q_features import M, fm
 from winback.registry.tables import rank_pct
 from winback.sources import adapters as A
 from winback.sources.staging import staged
