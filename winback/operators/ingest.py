@@ -11,6 +11,7 @@ from winback.functions import vocab
 from winback.functions.ranking import exact_quantiles, previous_in_key
 from winback.functions.scalars import clip, days_between, literal_map, ratio, scalars
 from winback.operators.churn import column_counts
+from winback.sources.staging import cut
 
 ROLE_WEIGHTS = {"customer_id": 0.35, "timestamp": 0.25, "event_type": 0.15, "amount": 0.10, "churn_flag": 0.10, "category": 0.05}
 
@@ -102,10 +103,11 @@ def standard_type(value: Column) -> Column:
     v = _flat(value)
     pairs = [(s, std) for std, words in vocab.EVENT_VALUES.items() for s in words]
     words = {s: std for s, std in reversed(pairs)}
-    exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), v)
+    exact = F.expr("map(" + ", ".join(f"'{k}', '{t}'" for k, t in words.items()) + ")")
     parts = sorted(((len(s), -i, s, std) for i, (s, std) in enumerate(pairs) if len(s) >= 4), reverse=True)
-    known = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(std).alias("t")) for _, _, s, std in parts])
+    known = F.expr("array(" + ", ".join(f"struct('{s}' AS s, '{std}' AS t)" for _, _, s, std in parts) + ")")
     inside = F.get(F.filter(known, lambda p: F.contains(v, p["s"])), F.lit(0)).getField("t")
+    exact = F.try_element_at(exact, v)
     return F.when(value.isNull() | (v == ""), "other").otherwise(F.coalesce(exact, inside, F.lit("other")))
 
 
@@ -115,7 +117,8 @@ def event_map(df: DataFrame, col: str) -> DataFrame:
 
 
 def standardise(df: DataFrame, col: str, out: str = "standard_type") -> DataFrame:
-    m = event_map(df, col).select(F.col("value").alias("_v"), F.col("event_type").alias(out))
+    # one row per distinct value, written once: the lookup is not repeated by filters pushed through the join
+    m = cut(event_map(df, col).select(F.col("value").alias("_v"), F.col("event_type").alias(out)), "event-map")
     return df.join(m, df[col].eqNullSafe(m["_v"]), "left").drop("_v")
 
 
