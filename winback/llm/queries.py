@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winback.llm import langid, mixing, packing, simhash
+from winback.llm import langid, mixing, packing, simhash, suffix
 from winback.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_language_id, op8_mixing, op9_packing, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_language_id, op4_suffix_dedup, op8_mixing, op9_packing, op10_simhash)}
 
 OP8 = r"""
 WITH sized AS MATERIALIZED (
