@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winback.llm import langid, mixing, packing, simhash, suffix
+from winback.llm import langid, licenses, mixing, packing, pages, quality, simhash, suffix, urls, vectors
 from winback.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -20,6 +28,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -32,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_language_id, op4_suffix_dedup, op8_mixing, op9_packing, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_language_id, op4_suffix_dedup, op5_quality_rules, op6_html_extraction, op7_url_filter, op8_mixing, op9_packing, op10_simhash)}
 
 OP8 = r"""
 WITH sized AS MATERIALIZED (
@@ -55,4 +75,70 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op8_mixing": OP8}
+OP1 = r"""
+WITH RECURSIVE good AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS MATERIALIZED (SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM good),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM normed a JOIN normed b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.95),
+reach AS (SELECT va AS n, vb AS m FROM links UNION SELECT reach.n, links.vb FROM reach JOIN links ON reach.m = links.va),
+least AS (SELECT n, MIN(m) AS m FROM reach GROUP BY n),
+counted AS (SELECT va AS vec_id, COUNT(*) AS n FROM links GROUP BY va)
+SELECT vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, LEAST(vec_id, COALESCE(m, vec_id)) AS component_id, vec_id <= COALESCE(m, vec_id) AS kept
+FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least ON least.n = vec_id
+"""
+
+OP5 = r"""
+WITH found AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM found WHERE len(w) >= 5)),
+twice AS (SELECT r, g FROM grams GROUP BY r, g HAVING COUNT(*) > 1),
+repeated AS (SELECT r, COUNT(DISTINCT i + k) AS n_repeat_words FROM grams JOIN twice USING (r, g), range(5) AS t(k) GROUP BY r),
+lines AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM found) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT r, COUNT(*) - COUNT(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
+base AS MATERIALIZED (
+  SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(COALESCE(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(COALESCE(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(COALESCE(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM found LEFT JOIN repeated USING (r) LEFT JOIN dups USING (r)),
+ratios AS MATERIALIZED (
+  SELECT r, lang, source, unnest([
+    {'ratio': 'word_length', 'value': 1000 * word_chars // n_words, 'slack': 1000}, {'ratio': 'symbols', 'value': 1000 * n_symbols // n_words, 'slack': 200},
+    {'ratio': 'dup_lines', 'value': 1000 * n_dup_lines // n_words, 'slack': 100}, {'ratio': 'repeats', 'value': 1000 * n_repeat_words // n_words, 'slack': 100}], recursive := true)
+  FROM base WHERE n_words > 0),
+rounded AS (SELECT *, (value >> GREATEST(length(bin(value)) - 5, 0)) << GREATEST(length(bin(value)) - 5, 0) AS v FROM ratios),
+levels AS (SELECT 2 AS level, lang, source, ratio, slack, v FROM rounded UNION ALL SELECT 1, lang, NULL, ratio, slack, v FROM rounded UNION ALL SELECT 0, NULL, NULL, ratio, slack, v FROM rounded),
+sketch AS (SELECT level, lang, source, ratio, slack, v, COUNT(*) AS n FROM levels GROUP BY ALL),
+ranked AS (SELECT *, SUM(n) OVER (p ORDER BY v) AS upto, SUM(n) OVER p AS total FROM sketch WINDOW p AS (PARTITION BY level, lang, source, ratio)),
+bands AS (
+  SELECT level, lang, source, ratio, slack, MAX(total) AS total, MIN(v) FILTER (upto * 20 >= total) AS low, MIN(v) FILTER (upto * 20 >= total * 10) AS mid, MIN(v) FILTER (upto * 20 >= total * 19) AS high
+  FROM ranked GROUP BY ALL),
+judged AS (
+  SELECT t.r, t.ratio, t.value, b.level,
+         t.value <= b.high + 3 * (b.high - b.mid) + b.slack AND (t.ratio <> 'word_length' OR t.value >= b.low - 3 * (b.mid - b.low) - b.slack) AS inside
+  FROM ratios t JOIN bands b ON t.ratio = b.ratio
+   AND (b.level = 0 OR b.total >= 200 AND t.lang IS NOT DISTINCT FROM b.lang AND (b.level = 1 OR t.source IS NOT DISTINCT FROM b.source))),
+verdicts AS (SELECT r, bool_and(ok) AS ok FROM (SELECT r, ratio, arg_max(inside, level) AS ok FROM judged GROUP BY r, ratio) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND COALESCE(ok, TRUE) AS kept
+FROM base LEFT JOIN verdicts USING (r)
+"""
+
+OP7 = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(COALESCE(rest, ''), '^[^/?#]*') AS raw_host, regexp_extract(regexp_replace(COALESCE(rest, ''), '^[^/?#]*', ''), '^[^?#]*') AS path FROM cut),
+hosts AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best AS (
+  SELECT page_id, arg_max({'rule': h || p, 'verdict': verdict}, 1000 * length(h) + length(p)) AS found
+  FROM hosts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, found.rule AS rule, COALESCE(found.verdict, 'allow') AS verdict FROM hosts LEFT JOIN best USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op5_quality_rules": OP5, "op7_url_filter": OP7, "op8_mixing": OP8}
