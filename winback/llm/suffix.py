@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ FIRST = 16
 BLOCK_BYTES = 2 << 20
 #: Windows of a run that are sent together at most; longer runs (of one repeated byte, say) are sent in parts.
 RUN = 64
+#: Buckets of ranks for each shuffle partition: what meets in one bucket is held in memory.
+BUCKETS = 16
 LARGEST = np.iinfo(np.int64).max
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -201,21 +204,17 @@ def shared_ranks(whole: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def with_answers(whole: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks and what was answered to them, brought together by block number; a block's own row comes first."""
-    return (whole.select("block", F.lit(-1).cast("long").alias("bucket"), F.col("blob").alias("answer")).union(answers.select("block", "bucket", "answer"))
-            .repartition("block").sortWithinPartitions("block", "bucket"))
+    """Blocks with all that was answered to them. The shuffle of the blocks is the same in every round, so Spark makes it once."""
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    return whole.join(told.hint("merge"), "block", "left")
 
 
 def by_block(batches):
-    """(block, its rows, {bucket: answers})."""
-    for g in sorted_groups(batches, "block"):
-        rows, answers = None, []
-        for bucket, answer in zip(g["bucket"].to_pylist(), g["answer"]):
-            if bucket == -1:
-                rows = from_blob(answer)
-            else:
-                answers.append((bucket, answer))
-        yield g["block"][0].as_py(), rows, answers
+    """(block, its rows, [(bucket, answer)])."""
+    for b in batches:
+        for block, blob, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            told = answers.values
+            yield block, from_blob(blob), [] if told is None else list(zip(told.field("bucket").to_pylist(), told.field("answer")))
 
 
 def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -224,6 +223,7 @@ def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: i
     kinds = np.dtype([("doc", "<i8"), ("start", "<u4"), ("windows", "<u2")])
 
     def send(batches):
+        pack = zstandard.ZstdCompressor(3)
         for block, rows, answers in by_block(batches):
             raw, at = text_bytes(rows.column(1))
             ids, runs = own_id(rows), Runs(raw, at, length)
@@ -267,19 +267,20 @@ def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: i
             texts, heads = [], []
             for x, y in zip(edge[:-1], edge[1:]):
                 mine = send_[x:y]
-                texts.append(b"".join(raw[s: e + length - 1].tobytes() for s, e in zip(start[mine].tolist(), end[mine].tolist())))
+                texts.append(pack.compress(b"".join(raw[s: e + length - 1].tobytes() for s, e in zip(start[mine].tolist(), end[mine].tolist()))))
                 head_ = np.zeros(y - x, kinds)
                 head_["doc"], head_["start"], head_["windows"] = doc[mine], start[mine], end[mine] - start[mine]
                 heads.append(head_.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array([block] * len(b), pa.int64()), pa.array(texts, pa.binary()), pa.array(heads, pa.binary())], schema=sent)
 
     def meet(batches):
+        unpack = zstandard.ZstdDecompressor()
         for g in sorted_groups(batches, "bucket"):
             bucket = g["bucket"][0].as_py()
             if bucket < 0:  # known already; on their way to their block
                 yield pa.RecordBatch.from_arrays([g["block"].combine_chunks(), pa.array([0] * g.num_rows, pa.int64()), g["runs"].combine_chunks()], schema=ANSWER)
                 continue
-            raw = np.frombuffer(b"".join(x.as_py() for x in g["text"]), np.uint8)
+            raw = np.frombuffer(b"".join(unpack.decompress(x.as_py()) for x in g["text"]), np.uint8)
             heads = [np.frombuffer(x.as_buffer(), kinds) for x in g["runs"]]
             owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
             head = np.concatenate(heads)
@@ -329,7 +330,7 @@ def covered(rows: pa.RecordBatch, answers: list, length: int) -> tuple[np.ndarra
 def marked(docs: DataFrame, length: int) -> DataFrame:
     """Blocks of docs (with _id and _text first) with the windows that go."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = cut(blocks(docs), "suffix-blocks")
     return with_answers(whole, repeated_windows(whole, shared_ranks(whole, length, buckets), length, buckets))
 
