@@ -56,7 +56,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_li
 
 OP8 = r"""
 WITH sized AS MATERIALIZED (
-  SELECT doc_id, source, source IS NULL AS unnamed, md5('42:' || CAST(doc_id AS VARCHAR)) AS draw,
+  SELECT doc_id, source, source IS NULL AS unnamed, md5('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS draw,
          CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 sums AS (SELECT source, unnamed, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
@@ -85,8 +85,8 @@ links AS MATERIALIZED (
   WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.95),
 reach AS (SELECT va AS n, vb AS m FROM links UNION SELECT reach.n, links.vb FROM reach JOIN links ON reach.m = links.va),
 least AS (SELECT n, MIN(m) AS m FROM reach GROUP BY n),
-counted AS (SELECT va AS vec_id, COUNT(*) AS n FROM links GROUP BY va)
-SELECT vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, LEAST(vec_id, COALESCE(m, vec_id)) AS component_id, vec_id <= COALESCE(m, vec_id) AS kept
+counted AS (SELECT va AS vec_id, COUNT(*) AS others FROM links GROUP BY va)
+SELECT vec_id, CAST(COALESCE(others, 0) AS BIGINT) AS n_links, LEAST(vec_id, COALESCE(m, vec_id)) AS component_id, vec_id <= COALESCE(m, vec_id) AS kept
 FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least ON least.n = vec_id
 """
 

@@ -9,7 +9,8 @@ above CHUNK rows is cut into a triangle of cells, so no task holds a large group
 links, never all pairs.
 
 Defined cases: a null or empty text has fingerprint 0 and links like any other; texts below the shingle length give one
-shingle; repeated rows share a component; an empty table gives no rows; further columns are ignored.
+shingle; repeated rows share a component; a row without a doc_id has the component of its
+fingerprint, null where only such rows have it, and links nothing; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,6 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """(doc_id, fingerprint, component_id) of every document."""
     prints = cut(fingerprints(docs, words), "simhash")
     reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    found = components(links(reps, reps.count(), radius), "simhash-links")
+    named_reps = reps.where("rep IS NOT NULL")
+    found = components(links(named_reps, named_reps.count(), radius), "simhash-links")
     named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
