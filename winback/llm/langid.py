@@ -15,11 +15,12 @@ language that sorts first; repeated rows give equal predictions; an empty table
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winback.llm.common import LOWER, only, row_of, text_slices
+from winback.llm.common import LOWER, only, row_of, slices, text_bytes, text_slices
 
 UNKNOWN = "und"
 CLASSES = 64
@@ -134,28 +135,45 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) from the whole text alone."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def predictor(model: Model):
+    """text -> (lang_pred, score), from the whole text alone."""
+    names = np.array([*model.languages, UNKNOWN], object)
 
-    def run(batches):
-        names = np.array([*model.languages, UNKNOWN], object)
-        for b in batches:
-            ids = b.column(0)
-            for lo, hi, raw, at in text_slices(b, "text"):
-                best, score = model.infer(*pair_counts(raw, at), hi - lo)
-                known = has_letter(raw, at) & bool(model.languages)
-                best = np.where(known, best, len(model.languages))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(known, score, 0.0))], schema=schema)
+    @F.pandas_udf("lang_pred string, score double")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        column = pa.array(texts, pa.string())
+        raw, at = text_bytes(column)
+        langs, scores = [], []
+        for lo, hi in slices(at):
+            part, edge = raw[at[lo]: at[hi]], at[lo: hi + 1] - at[lo]
+            best, score = model.infer(*pair_counts(part, edge), hi - lo)
+            known = has_letter(part, edge) & bool(model.languages)
+            langs.append(names[np.where(known, best, len(model.languages))])
+            scores.append(np.where(known, score, 0.0))
+        return pd.DataFrame({"lang_pred": np.concatenate(langs) if langs else [], "score": np.concatenate(scores) if scores else []})
+
+    return read
 
-    return only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score)."""
+    return only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), predictor(model)("text").alias("found")).select("doc_id", "found.lang_pred", "found.score")
 
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def learn(docs: DataFrame) -> Model:
+    """The model of the labelled documents that are not held out."""
+    return train(docs.where(~held_out(docs["doc_id"])))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from the documents that are not held out."""
-    model = train(docs.where(~held_out(docs["doc_id"])))
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language can be told."""
+    return docs.where(predictor(learn(docs))(docs["text"])["lang_pred"] != UNKNOWN)

@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def key(source: Column) -> list[Column]:
+    """The source as two columns that join and sort null after all names."""
+    return [source.isNull().alias("unnamed"), F.coalesce(source, F.lit("")).alias("name")]
+
+
 def digest(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
@@ -51,11 +56,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
                           F.least((F.col("source_size") * epochs).cast("double"), F.col("weight") * F.max("level").over(everything)).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document."""
+def placed(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: int) -> DataFrame:
+    """Sizes and targets of every document with whole, the times its source is taken in full, and once_more, whether it is taken once more."""
     sized = cut(only(docs, doc_id="doc_id", source="source", text="text").select(
-        "doc_id", F.col("source").isNull().alias("unnamed"), F.coalesce("source", F.lit("")).alias("name"), word_count(F.col("text")).alias("size"),
-        digest(F.col("doc_id"), seed).alias("draw")).withColumn("range", F.substring("draw", 1, RANGE_DIGITS)), "mix-sizes")
+        "doc_id", *key(F.col("source")), word_count(F.col("text")).alias("size"), digest(F.col("doc_id"), seed).alias("draw"))
+        .withColumn("range", F.substring("draw", 1, RANGE_DIGITS)), "mix-sizes")
     keys = ["unnamed", "name", "range"]
     inside = Window.partitionBy(*keys).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ranges = sized.groupBy(*keys).agg(F.sum("size").alias("range_size"))
@@ -63,7 +68,26 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     plan = ranges.join(targets(sized, weights, epochs), ["unnamed", "name"]).select(
         *keys, "source_size", "target", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead"))
     rows = sized.withColumn("upto", F.sum("size").over(inside)).join(plan, keys)
-    whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
     middle = F.col("ahead") + F.col("upto") - F.col("size") / 2
-    once_more = (middle <= F.col("target") - whole * F.col("source_size")).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (whole + F.when(F.col("size") > 0, once_more).otherwise(0))).alias("taken"))
+    return rows.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))).withColumn(
+        "once_more", (F.col("size") > 0) & (middle <= F.col("target") - F.col("whole") * F.col("source_size")))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document."""
+    return placed(docs, weights, epochs, seed).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("once_more").cast("long"))).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it. One row per source, with the last place taken once more, is joined to the texts."""
+    place = lambda *c: F.struct(*[x.alias(n) for n, x in zip(("draw", "doc_id", "size"), c)])
+    last = cut(placed(docs, weights, epochs, seed).groupBy("unnamed", "name").agg(
+        F.max("whole").alias("whole"), F.max(F.when(F.col("once_more"), place(F.col("draw"), F.col("doc_id"), F.col("size")))).alias("last")), "mix-places")
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, source, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text"))
+    rows = own.select("*", *key(source), place(digest(doc_id, seed), doc_id, word_count(text)).alias("place")).join(last, ["unnamed", "name"])
+    times = F.when(F.col("place.size") > 0, F.col("whole") + F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("long")).otherwise(0)
+    turns = F.explode(F.array_repeat(F.lit(1), times.cast("int")))
+    return rows.select(*own.columns, turns.alias("turn")).drop("turn").toDF(*names)
