@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from winback.llm import langid, mixing, packing, simhash, suffix
 from winback.llm.common import cut
@@ -14,15 +13,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter) go; the rest keep all columns."""
-    told = langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi")
+    """Documents whose language can't be told (no text, no letter) go, and those without a doc_id, which no later result could name."""
+    return langid.identified(docs.where("doc_id IS NOT NULL"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays; rows that share that doc_id are told apart by nothing, so one of them stays."""
+    """The document with the smallest doc_id of each group stays; of equal rows one."""
     firsts = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +30,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mixed(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
