@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from winback.session import get_session
@@ -20,7 +21,8 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(f"local[{cpus}]", "winback-bench", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR", tempfile.mkdtemp(prefix="winback-bench-"))})
     spark.sparkContext.setLogLevel("ERROR")
     from winback.registry import QUERIES
     times: dict[str, float] = {}

@@ -8,8 +8,9 @@ from winback.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = get_session("local[8]", "winback-tests", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                    "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+                                                    "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+                                                    "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
     return s

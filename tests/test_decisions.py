@@ -96,7 +96,7 @@ def test_recommend_equals_all_pairs(spark, k):
 
 @pytest.mark.parametrize("ranges", [4096, 8])
 def test_concordance_equals_pairs(spark, monkeypatch, ranges):
-    monkeypatch.setattr(ranking, "SAMPLE_ROWS", ranges)
+    monkeypatch.setattr(ranking, "RANGE_ROWS", ranges)
     rng = random.Random(11)
     rows = [(i, rng.randint(1, 9), rng.randint(0, 1), round(rng.random(), 1)) for i in range(70)]
     num = den = 0.0

@@ -11,7 +11,7 @@ from winback.functions import ranking as R
 
 @pytest.fixture(params=["one_range", "many_ranges"])
 def cut(request, monkeypatch):
-    monkeypatch.setattr(R, "SAMPLE_ROWS", 16 if request.param == "many_ranges" else 4096)
+    monkeypatch.setattr(R, "RANGE_ROWS", 16 if request.param == "many_ranges" else 4096)
 
 
 def frame(spark, n=500, hot=True):
@@ -73,7 +73,7 @@ def test_previous_row_over_day_bounds(spark):
 
 
 def test_many_bounds_plan(spark, monkeypatch):
-    monkeypatch.setattr(R, "SAMPLE_ROWS", 1000)
+    monkeypatch.setattr(R, "RANGE_ROWS", 1000)
     spark.conf.set("spark.sql.shuffle.partitions", "400")
     try:
         df = spark.range(3000).select(F.col("id").alias("customer_id"), (F.col("id") * 7919 % 3001).cast("double").alias("v"))
@@ -81,3 +81,19 @@ def test_many_bounds_plan(spark, monkeypatch):
         assert tuple(got) == (1, 3000, 3000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_descending_keys_of_any_type(spark, cut):
+    """NULL comes last; long numbers keep all digits; texts and times turn round."""
+    n = 80
+    rows = [(i, None if i % 9 == 0 else (1 << 60) + i % 7, None if i % 5 == 0 else "ab"[: i % 3] + "é" * (i % 2), None if i % 4 == 0 else float(i % 6)) for i in range(n)]
+    df = spark.createDataFrame(rows, "customer_id long, big long, t string, x double").withColumn("at", F.timestamp_seconds(F.col("customer_id") % 11))
+    for k, name in ((1, "big"), (2, "t"), (3, "x")):
+        for down in (True, False):
+            got = {r["customer_id"]: r["k"] for r in R.ordered_totals(df, [(name, down), ("customer_id", False)], {"k": F.lit(1)}).collect()}
+            known = sorted((r for r in rows if r[k] is not None), key=lambda r: r[0])
+            known.sort(key=lambda r: r[k].encode() if isinstance(r[k], str) else r[k], reverse=down)
+            order = known + [r for r in rows if r[k] is None]
+            assert got == {r[0]: i for i, r in enumerate(order, 1)}, (name, down)
+    got = {r["customer_id"]: r["k"] for r in R.ordered_totals(df, [("at", True), ("customer_id", False)], {"k": F.lit(1)}).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(range(n), key=lambda i: (-(i % 11), i)), 1)}

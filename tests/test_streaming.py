@@ -55,3 +55,40 @@ def test_upsert_keeps_old_where_new_is_null(spark):
     old = spark.createDataFrame([(1, 0.1, 5.0), (2, 0.2, 6.0)], "customer_id long, a double, b double")
     new = spark.createDataFrame([(2, 0.9, None), (3, 0.3, 7.0)], "customer_id long, a double, b double")
     assert sorted(tuple(r) for r in upsert(old, new).collect()) == [(1, 0.1, 5.0), (2, 0.9, 6.0), (3, 0.3, 7.0)]
+
+
+def test_a_history_of_years(spark):
+    """Signals of events three and nine years apart are finite and equal the plain sums at that moment."""
+    times = ["2015-01-01 00:00:00", "2020-01-01 08:00:00", "2020-01-01 20:00:00", "2020-01-03 20:00:00", "2023-01-01 00:00:00", "2023-01-02 06:30:00"]
+    rows = [(1, k, t, kind) for k, (t, kind) in enumerate(zip(times, ["visit", "visit", "purchase", "coupon_redeem", "visit", "visit"]))]
+    ev = spark.createDataFrame(rows, "customer_id long, event_id long, t string, event_type string").select("customer_id", "event_id", F.col("t").cast("timestamp").alias("event_time"), "event_type")
+    base = spark.createDataFrame([(1, 0.5)], "customer_id long, base double")
+    got = {str(r["event_time"]): r for r in signals.replay(ev, base).collect()}
+    for t in times:
+        want = signals.signals_at(ev, F.lit(t).cast("timestamp")).first()
+        for n in signals.NAMES:
+            assert abs(got[t][n] - want[n]) < 1e-12
+        assert 0 < got[t]["churn_score"] < 0.9
+
+
+def test_compaction_is_what_readers_read(spark, tmp_path):
+    tables = flow.LiveTables(spark, str(tmp_path))
+    row = lambda *r: spark.createDataFrame([r], "customer_id long, v long")
+    for i, r in enumerate([(1, 10), (2, 20), (1, 11)]):
+        tables.write("t", row(*r), i)
+    tables.compact("t", 2)
+    tables.write("t", row(2, 21), 3)
+    assert sorted(tuple(r) for r in tables.latest("t").collect()) == [(1, 11), (2, 21)]
+    tables.compact("t", 3)
+    assert sorted(tuple(r) for r in tables.latest("t").collect()) == [(1, 11), (2, 21)]
+
+
+def test_deferral_is_decided_at_the_customers_turn(spark):
+    """Customer 2 is too dear while places are left; customer 4 comes after the last place went."""
+    from winback.streaming.decisions import closed_loop
+    rows = [(c, f"2024-01-01 00:00:0{c}", c, cost) for c, cost in ((1, 10.0), (2, 500.0), (3, 10.0), (4, 10.0))]
+    ch = spark.createDataFrame(rows, "customer_id long, t string, event_id long, coupon_cost double").select(
+        "customer_id", F.col("t").cast("timestamp").alias("event_time"), "event_id", F.lit("").alias("reasons"), F.lit(0.9).alias("churn_score"), F.lit("mid").alias("intervention_intensity"), "coupon_cost",
+        F.lit(50.0).alias("expected_incremental_profit"), F.lit(1.0).alias("expected_roi"), F.lit(1.0).alias("action_priority"), F.lit(1).alias("choice"))
+    got = {r["customer_id"]: r["action_queue_status"] for r in closed_loop(ch, 100.0, 2).collect()}
+    assert got == {1: "queued", 2: "deferred_budget_guardrail", 3: "queued", 4: "deferred_channel_guardrail"}

@@ -10,19 +10,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Keys looked at to place the bounds, at least; and rows of a range, on average.
 SAMPLE_ROWS = 4096
-MAX_RANGES = 512
+RANGE_ROWS = 200_000
+KEYS_PER_BOUND = 20
 
 
-def _range_count(df: DataFrame) -> int:
-    return max(2, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+def _range_count(rows: int) -> int:
+    """Ranges follow the number of rows; a small table is one range by the same path."""
+    return max(1, -(-rows // RANGE_ROWS))
 
 
 def _sort_value(df: DataFrame, name: str, descending: bool) -> Column:
-    if descending:
-        return -F.col(name).cast("double")
-    return F.col(name)
+    """A value that sorts ascending in the wanted order, in the column's own precision."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if not descending:
+        return c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.bitwise_not(F.unix_micros(c.cast("timestamp")))
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c)             # the order of -c, without overflow
+    if isinstance(kind, T.StringType):      # hex digits turned round; the end mark puts a longer text before its own beginning
+        return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return -c
 
 
 def _nested_range(key: Column, bounds: list[Column], base: int = 0) -> Column:
@@ -38,40 +52,37 @@ def ordered_totals(df: DataFrame, order: list[tuple[str, bool]], totals: dict[st
                    by: list[str] | None = None, dense: int | None = None) -> DataFrame:
     """Running totals (current row included) in a given order, per `by` group or over the table.
 
-    `order` holds (column, descending) pairs and should end in a unique column. A sample of keys,
-    taken by hash and at most SAMPLE_ROWS long, gives the range bounds; a frame smaller than the
-    sample is a single range. With `dense` the only key is a whole number from 1 to that size, and no
-    sample is needed.
+    `order` holds (column, descending) pairs and should end in a unique column; NULL comes last either way. A sample of
+    keys, taken by hash, gives the bounds of ranges whose number follows the number of rows. With `dense` the only key is
+    a whole number from 1 to that size, and no sample is needed.
     """
     by = by or []
-    key = F.struct(*[_sort_value(df, c, d).alias(f"k{i}") for i, (c, d) in enumerate(order)])
+    key = F.struct(*[x for i, (c, d) in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), _sort_value(df, c, d).alias(f"k{i}"))])
     work = df.withColumn("_key", key)
     for n, e in totals.items():
         work = work.withColumn(f"_t_{n}", e)
     if dense is not None:
-        small, ranges = dense <= SAMPLE_ROWS, _range_count(df)
-        if not small:
-            work = work.withColumn("_range", F.floor((F.col(order[0][0]) - 1) * ranges / dense).cast("int"))
+        ranges = _range_count(dense)
+        work = work.withColumn("_range", F.floor((F.col(order[0][0]) - 1) * ranges / max(dense, 1)).cast("int"))
     else:
-        keys = [r[0] for r in work.select("_key").orderBy(F.xxhash64("_key")).limit(SAMPLE_ROWS + 1).collect()]
-        small = len(keys) <= SAMPLE_ROWS
-        if not small:
-            ranges, types = _range_count(df), work.schema["_key"].dataType
-            ordered = sorted(keys, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
-            picked = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
-            bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)]) for r in picked]
-            work = work.withColumn("_range", _nested_range(F.col("_key"), bounds))
-    if small:
-        work = work.withColumn("_range", F.lit(0))
+        def sample(n: int) -> list:
+            return [r[0] for r in work.select("_key").orderBy(F.xxhash64("_key")).limit(n).collect()]
+        keys = sample(SAMPLE_ROWS)
+        ranges = _range_count(len(keys) if len(keys) < SAMPLE_ROWS else work.count())
+        if KEYS_PER_BOUND * ranges > SAMPLE_ROWS:
+            keys = sample(KEYS_PER_BOUND * ranges)
+        types = work.schema["_key"].dataType
+        ordered = sorted(keys, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
+        picked = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
+        bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)]) for r in picked]
+        work = work.withColumn("_range", _nested_range(F.col("_key"), bounds))
     run = Window.partitionBy(*by, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     inner = work.select("*", *[F.sum(f"_t_{n}").over(run).alias(f"_r_{n}") for n in totals])
-    if small:
-        return inner.select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in totals])
     sums = work.groupBy(*by, "_range").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals])
     before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*by, "_range", *[
         F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals])
-    if not by:                      # at most MAX_RANGES rows; with groups the optimiser decides by size
+    if not by:                      # one row a range; with groups the optimiser decides by size
         offsets = F.broadcast(offsets)
     return inner.join(offsets, [*by, "_range"]).select(
         *df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in totals])
@@ -88,13 +99,11 @@ def value_cdf(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Da
                                 for c in cols])).alias("p")
     counts = (df.select(*by, pairs).select(*by, "p.col", "p.value").where("value IS NOT NULL")
               .groupBy(*by, "col", "value").agg(F.count(F.lit(1)).alias("n_value")))
-    ranges = _range_count(df)
+    ranges = _range_count(df.count())
     probs = [i / ranges for i in range(1, ranges)]
-    probe = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.percentile_approx(F.col(c).cast("double"), probs, 2000).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    small = probe["n"] <= SAMPLE_ROWS
     rng = F.lit(0)
-    if not small:
+    if probs:
+        probe = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, max(2000, KEYS_PER_BOUND * ranges)).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         for i, c in enumerate(cols):
             bounds = sorted(set(probe[f"q{i}"] or []))
             rng = F.when(F.col("col") == c, _nested_range(F.col("value"), [F.lit(b) for b in bounds])).otherwise(rng)

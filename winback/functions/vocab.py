@@ -2,21 +2,34 @@
 
 # Column names of each role.
 ROLES = {
-    "customer_id": ["customer_id", "cust_id", "user_id", "userid", "member_id", "memberid", "account_id", "accountid", "client_id", "clientid", "id",
-                    "고객id", "고객번호", "회원번호", "customer_no", "cust_no", "subscriber_id", "account_no", "account_number", "cif", "cif_no", "party_id"],
+    "customer_id": ["customer_id", "cust_id", "user_id", "userid", "member_id", "memberid", "account_id", "accountid", "client_id", "clientid", "id", "고객id",
+                    "고객번호", "회원번호", "customer_no", "cust_no", "subscriber_id",
+                    "account_no", "account_number", "acct_no", "acct_id", "cif", "cif_no", "client_no", "party_id", "household_id", "card_customer_id",
+                    "loan_customer_id", "계좌번호", "계좌id", "고객계좌번호", "거래고객번호", "차주번호"],
     "timestamp": ["timestamp", "date", "datetime", "event_date", "event_time", "created_at", "updated_at", "order_date", "order_time", "purchase_date",
                   "transaction_date", "txn_date", "txn_time", "trade_date", "posting_date", "value_date", "signup_date", "registration_date",
-                  "exposure_time", "assigned_at", "snapshot_date", "time", "ts", "일시", "날짜", "주문일", "가입일", "거래일"],
-    "event_type": ["event_type", "event", "action", "activity", "action_type", "activity_type", "transaction_type", "txn_type", "behavior", "behaviour",
-                   "이벤트유형", "행동유형", "거래유형"],
-    "amount": ["amount", "revenue", "price", "total", "net_amount", "gross_amount", "monetary", "spend", "payment", "transaction_amount", "txn_amount",
-               "order_amount", "sales", "net_revenue", "balance", "금액", "매출", "결제금액", "주문금액"],
-    "churn_flag": ["churn", "churned", "is_churn", "churn_flag", "churn_label", "attrition", "left", "cancelled", "canceled", "unsubscribed", "closed",
-                   "inactive", "dormant", "status", "current_status", "customer_status", "account_status", "이탈", "이탈여부", "해지", "휴면"],
-    "category": ["category", "item_category", "product_category", "product_type", "item_type", "department", "section", "카테고리", "상품분류"],
-    "quantity": ["quantity", "qty", "items", "item_count", "count", "수량"],
-    "persona": ["persona", "segment", "customer_segment", "group", "tier", "membership_tier", "customer_type", "등급", "고객유형"],
-    "region": ["region", "city", "state", "country", "location", "area", "province", "zip", "zipcode", "postal_code", "지역", "도시"],
+                  "account_open_date", "card_issue_date", "loan_start_date", "maturity_date", "일시", "날짜", "주문일", "가입일",
+                  "거래일", "거래일시", "이체일", "계좌개설일", "대출실행일", "exposure_time", "assigned_at", "snapshot_date", "time", "ts"],
+    "event_type": ["event_type", "event", "action", "activity", "action_type", "activity_type", "transaction_type", "txn_type", "trade_type", "channel_event",
+                   "service_event", "transaction_code", "txn_code", "banking_event", "financial_event", "product_event",
+                   "이벤트유형", "행동유형", "거래유형", "거래종류", "금융거래유형", "금융이벤트", "업무구분", "거래구분", "behavior", "behaviour"],
+    "amount": ["amount", "revenue", "price", "total", "net_amount", "gross_amount", "monetary", "spend", "payment", "금액", "매출", "결제금액", "주문금액",
+               "transaction_amount", "txn_amount", "order_amount", "sales", "net_revenue", "balance", "account_balance", "avg_balance", "average_balance",
+               "deposit_amount", "withdrawal_amount", "transfer_amount", "card_spend", "card_amount", "loan_amount", "loan_balance", "credit_limit",
+               "available_credit", "outstanding_balance", "principal_balance", "aum", "asset", "assets",
+               "잔고", "평균잔고", "예금", "출금", "입금", "이체금액", "카드이용금액", "대출금액", "대출잔액", "한도", "자산", "운용자산"],
+    "churn_flag": ["churn", "churned", "is_churn", "churn_flag", "churn_label", "이탈", "이탈여부", "attrition", "left", "cancelled", "canceled", "unsubscribed",
+                   "closed", "account_closed", "account_closure", "inactive", "dormant", "defaulted", "delinquent", "loan_default", "card_cancelled",
+                   "status", "current_status", "customer_status", "account_status", "relationship_status",
+                   "해지", "해지여부", "계좌해지", "휴면", "휴면여부", "연체", "부도"],
+    "category": ["category", "item_category", "product_category", "카테고리", "상품분류", "product_type", "item_type", "department", "section",
+                 "financial_product", "financial_product_type", "product_family", "product_name", "account_type", "card_type", "loan_type", "fund_type",
+                 "insurance_type", "deposit_type", "asset_class", "service_type",
+                 "상품유형", "금융상품", "금융상품유형", "계좌유형", "카드유형", "대출유형", "펀드유형"],
+    "quantity": ["quantity", "qty", "수량", "items", "item_count", "count"],
+    "persona": ["persona", "segment", "customer_segment", "group", "tier", "등급", "고객유형", "membership_tier", "customer_type",
+                "risk_grade", "credit_grade", "asset_segment", "wealth_segment", "relationship_segment", "리스크등급", "신용등급", "자산구간", "거래등급"],
+    "region": ["region", "city", "state", "country", "지역", "도시", "location", "area", "province", "zip", "zipcode", "postal_code"],
 }
 # Column names of physical measurements.
 SENSOR_WORDS = ["latitude", "longitude", "lat", "lng", "lon", "pixel", "image_url", "photo", "dna", "genome", "gene", "chromosome", "temperature",
@@ -25,18 +38,35 @@ SENSOR_WORDS = ["latitude", "longitude", "lat", "lng", "lon", "pixel", "image_ur
 EVENT_VALUES = {
     "purchase": ["purchase", "purchased", "buy", "bought", "checkout", "checkout_complete", "checkout_start", "order", "order_complete", "order_placed",
                  "transaction", "payment", "paid", "complete_purchase", "payment_success", "payment_complete", "payment_fail", "payment_failed",
-                 "subscription_start", "subscribe", "renewal", "renew", "plan_change", "plan_upgrade", "upgrade", "downgrade", "deposit", "withdrawal",
-                 "transfer", "card_payment", "loan_payment", "결제", "구매", "주문", "주문완료", "결제완료"],
-    "visit": ["visit", "visited", "session_start", "session_begin", "session_end", "login", "logged_in", "logout", "app_open", "app_close", "app_launch",
-              "site_visit", "launch", "sign_in", "signin", "active_session", "push_open", "balance_check", "방문", "로그인", "접속"],
+                 "subscription_start", "subscribe", "renewal", "renew", "plan_change", "plan_upgrade", "plan_downgrade", "upgrade", "downgrade",
+                 "deposit", "withdrawal", "transfer", "wire_transfer", "bank_transfer", "remittance", "card_payment", "card_use", "card_transaction",
+                 "loan_payment", "repayment", "auto_payment", "investment_order", "fund_purchase", "trade", "securities_trade", "account_open",
+                 "loan_disbursement", "card_approval", "card_issued", "premium_payment", "fee_payment",
+                 "결제", "구매", "주문", "주문완료", "결제완료", "입금", "출금", "이체", "송금", "카드결제", "카드이용",
+                 "상환", "투자", "매매", "계좌개설", "대출실행", "카드발급", "보험료납입"],
+    "visit": ["visit", "visited", "session_start", "session_begin", "session_end", "session_close", "login", "logged_in", "logout", "log_out",
+              "app_open", "app_close", "app_launch", "site_visit", "launch", "sign_in", "signin", "active_session", "push_open", "notification_open",
+              "balance_check", "account_login", "mobile_banking_login", "statement_view", "branch_visit", "atm_use", "banking_app_open", "online_banking_login",
+              "방문", "로그인", "접속", "세션시작", "세션종료", "잔고조회", "계좌조회", "영업점방문", "앱실행"],
     "page_view": ["page_view", "pageview", "view", "viewed", "product_view", "viewed_product", "item_view", "page", "screen_view", "impression", "view_item",
-                  "select_item", "scroll", "click", "tap", "select", "browse", "explore", "review", "watch", "play", "coupon_use", "coupon", "조회", "상품조회"],
-    "search": ["search", "searched", "query", "find", "lookup", "filter", "sort", "rate_search", "product_compare", "검색", "필터"],
-    "add_to_cart": ["add_to_cart", "addtocart", "cart_add", "add_cart", "added_to_cart", "remove_from_cart", "cart_remove", "wishlist_add", "favorite",
-                    "like", "liked", "bookmark", "save", "application_start", "장바구니", "찜", "즐겨찾기"],
-    "support_contact": ["support", "support_contact", "support_chat", "contact", "inquiry", "help", "feedback", "cs", "customer_service", "ticket",
-                        "complaint", "report_issue", "nps", "survey", "refund_request", "refund", "return", "returned", "cancel_request", "cancel",
-                        "cancellation", "unsubscribe", "card_cancel", "account_close", "문의", "상담", "고객센터", "환불", "취소", "해지"],
+                  "view_item_list", "select_item", "scroll", "feature_use", "feature_view", "click", "tap", "select", "browse", "explore", "review_write", "review",
+                  "stream_start", "stream_complete", "stream_end", "watch", "watched", "video_play", "video_complete", "video_pause", "play", "pause", "resume",
+                  "push_received", "notification_received", "coupon_use", "coupon", "point_use", "points_use",
+                  "account_view", "balance_view", "statement_download", "card_statement_view", "loan_product_view", "fund_view", "insurance_view",
+                  "조회", "상품조회", "페이지뷰", "둘러보기", "계좌조회", "명세서조회", "금융상품조회"],
+    "search": ["search", "searched", "query", "find", "lookup", "filter", "sort", "loan_calculator", "rate_search", "product_compare", "eligibility_check",
+               "limit_check", "credit_score_check", "branch_search", "atm_search", "fx_rate_search",
+               "검색", "필터", "금리조회", "상품비교", "한도조회", "신용점수조회", "환율조회"],
+    "add_to_cart": ["add_to_cart", "addtocart", "cart_add", "add_cart", "added_to_cart", "remove_from_cart", "cart_remove", "wishlist_add", "favorite", "favorited",
+                    "like", "liked", "bookmark", "save", "application_start", "loan_apply_start", "card_apply_start", "account_apply_start",
+                    "quote_saved", "product_saved", "pre_approval", "preapproved", "limit_precheck",
+                    "장바구니", "장바구니추가", "찜", "즐겨찾기", "신청시작", "대출신청시작", "카드신청시작", "관심상품저장"],
+    "support_contact": ["support", "support_contact", "support_chat", "contact", "inquiry", "help", "feedback", "cs", "customer_service", "ticket", "ticket_open",
+                        "ticket_close", "complaint", "report_issue", "nps", "nps_submit", "survey", "refund_request", "refund", "return", "returned", "return_request",
+                        "cancel_request", "cancel", "cancellation", "uninstall", "uninstall_signal", "unsubscribe", "loan_inquiry", "card_cancel", "account_close",
+                        "close_account", "delinquency_notice", "chargeback", "fraud_report", "card_lost", "card_block", "limit_increase_request",
+                        "deferment_request", "hardship_request", "complaint_banking",
+                        "문의", "상담", "고객센터", "신고", "환불", "반품", "취소", "해지", "계좌해지", "연체", "분실신고", "카드정지", "한도상향요청", "상환유예요청"],
 }
 # Texts that count as yes, as no issue, and as a churn label.
 TRUTHY = ["1", "true", "t", "y", "yes", "used", "redeemed", "open", "opened", "exposed"]

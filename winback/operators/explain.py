@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,20 @@ RISK = [
     ("cart_conversion_change_rate", "low", 0.20, "cart_conversion_drop", "장바구니에서 구매로 이어지는 전환이 약해졌습니다."),
     ("purchase_cycle_anomaly", "high", 0.80, "purchase_cycle_break", "평소 구매 주기 대비 이탈 징후가 커졌습니다."),
 ]
+# Levers.
 LEVER = [
     ("uplift_score", "high", 0.70, "high_uplift", "개입 시 행동을 바꿀 가능성이 상대적으로 높습니다."),
     ("coupon_affinity", "high", 0.70, "coupon_affinity", "쿠폰/프로모션 반응 성향이 높습니다."),
     ("clv", "high", 0.75, "high_clv", "고객 생애가치가 높아 방어 우선순위가 큽니다."),
     ("timing_urgency_score", "high", 0.70, "timing_urgent", "개입 시점을 늦추면 효과가 빠르게 떨어질 수 있습니다."),
 ]
+# Guardrails.
 GUARD = [
     ("discount_pressure_score", "high", 0.75, "discount_pressure", "프로모션 과다 노출 위험이 커 강한 쿠폰 개입은 비효율적일 수 있습니다."),
     ("coupon_fatigue_score", "high", 0.75, "coupon_fatigue", "최근 혜택 노출이 누적돼 반응 피로가 관찰됩니다."),
     ("brand_sensitivity", "high", 0.70, "brand_sensitivity", "브랜드/정가 훼손 민감도가 높아 공격적 할인은 주의가 필요합니다."),
 ]
+# Texts where no rule holds, and the note on intensity.
 FALLBACK_RISK = ("high_churn_score", "예측 이탈 점수가 높습니다.")
 FALLBACK_LEVER = ("positive_expected_roi", "예상 ROI가 양수여서 개입 타당성이 있습니다.")
 NO_GUARD = "특별한 과다혜택 경고 신호는 크지 않습니다."
@@ -39,15 +44,23 @@ WATCH = ["과도한 쿠폰 학습 가능성", "할인 없이는 반응 저하 
 NO_WATCH = "가격·서비스·타이밍 리스크를 함께 점검"
 
 
-def rule_columns(df: DataFrame) -> list[str]:
-    return [r[0] for r in RISK + LEVER + GUARD if r[0] in df.columns]
+def rule_columns(df: DataFrame) -> dict[str, str]:
+    """Rule name -> the frame's column for it; features of a window carry its days at the end, the shortest window counts."""
+    out = {}
+    for name, *_ in RISK + LEVER + GUARD:
+        windows = sorted(int(m[1]) for c in df.columns if (m := re.fullmatch(rf"{name}_(\d+)d", c)))
+        if name in df.columns:
+            out[name] = name
+        elif windows:
+            out[name] = f"{name}_{windows[0]}d"
+    return out
 
 
 def percentiles(df: DataFrame) -> DataFrame:
     """Average-tie percentile of every rule column the frame has, NULL as 0."""
     cols = rule_columns(df)
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
-    return with_rank_pct(filled, {c: f"pct_{c}" for c in cols})
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols.values()})
+    return with_rank_pct(filled, {c: f"pct_{name}" for name, c in cols.items()})
 
 
 def _hits(df: DataFrame, rules: list[tuple], extra: Column | None = None) -> Column:

@@ -191,7 +191,7 @@ def flag(raw: Column, nonblank: bool = False) -> Column:
     s = F.trim(raw.cast("string"))
     if nonblank:
         return (raw.isNotNull() & (s != "")).cast("int")
-    num = F.expr("1") * F.try_to_number(s, F.lit("999999999.999999")).cast("double")
+    num = s.try_cast("double")
     return F.coalesce((num > 0).cast("int"), F.lower(F.coalesce(s, F.lit(""))).isin(*vocab.TRUTHY).cast("int"))
 
 

@@ -160,11 +160,3 @@ def ts_normalise(text: Column) -> Column:
     t = F.regexp_replace(t, r"([T ]\d{2}:\d{2}\S*[+-]\d{2})(\d{2})$", "$1:$2")
     t = F.regexp_replace(t, r"Z$", "+00:00")
     return F.try_to_timestamp(t)
-
-
-def conversion(num: Column, den: Column) -> Column:
-    return F.round(ratio(num, den), 6)
-
-
-def bounded(c: Column) -> Column:
-    return clip(c, 0.0, 1.0)

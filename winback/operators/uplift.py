@@ -156,7 +156,3 @@ def dose_effects(df: DataFrame, numeric: list[str], text: list[str], min_rows: i
         ridge = LinearRegression(labelCol=f"_d_{arm}", regParam=0.1, elasticNetParam=0.0, solver="normal").fit(out)
         out = ridge.transform(out).withColumn(f"effect_{arm}", clip(F.col("prediction"), -0.35, 0.75)).drop("prediction", f"_d_{arm}")
     return out.drop("features")
-
-
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    return exact_quantiles(df, cols, probs)

@@ -17,7 +17,7 @@ def logged(spark: SparkSession, path: str, job: str, step: Callable[[], int]) ->
     try:
         rows = step()
     except Exception as exc:
-        status, message = "failed", str(exc)[:500]
+        status, message = "failed", str(exc)
         raise
     finally:
         end = dt.datetime.now(dt.timezone.utc)

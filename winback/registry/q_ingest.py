@@ -223,7 +223,7 @@ def churn_proxy_score(spark, d):
     return plan.customer_summary(spark, d).select("customer_id", F.round("churn_probability", 6).alias("churn_probability"))
 
 
-@query("churn_proxy_unlabelled", f"""SELECT customer_id, round(least(greatest(1 / (1 + exp(-(ln(rate / (1 - rate)) + 2.15 * ({T.clip(T.rank_pct('behaviour'), 0.001, 0.999)} - 0.5) + 0.65 * (behaviour - mb) + ({T.unit('customer_id')} - 0.5) * 0.0866))), 0.02), 0.82), 6) churn_probability
+@query("churn_proxy_unlabelled", f"""SELECT customer_id, round(round(least(greatest(1 / (1 + exp(-(ln(rate / (1 - rate)) + 2.15 * ({T.clip(T.rank_pct('behaviour'), 0.001, 0.999)} - 0.5) + 0.65 * (behaviour - mb) + ({T.unit('customer_id')} - 0.5) * 0.0866))), 0.02), 0.82), 9), 6) churn_probability
 FROM (SELECT *, least(greatest(0.06 + 0.34 * mb, 0.08), 0.36)::DOUBLE rate FROM (SELECT *, avg(behaviour) OVER () mb FROM c_behaviour))""")
 def churn_proxy_unlabelled(spark, d):
     """The same score when the upload carries no label: a cautious prior instead of the label rate."""

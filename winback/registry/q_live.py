@@ -16,7 +16,7 @@ from winback.sources.staging import staged
 _by = {c: ", ".join(f"'{k}'" for k, v in V.COUNTERS.items() if v == c) for c in V.COUNTER_NAMES}
 COUNT_SQL = ", ".join(f"count(*) FILTER (event_type IN ({k})) {c}" for c, k in _by.items())
 cte("c_state", f"""SELECT customer_id, max(event_time) last_event_time, {COUNT_SQL}, coalesce(sum(amount) FILTER (event_type = 'purchase'), 0.0) revenue_30d, min(event_time) first_seen_at, count(*) event_count_total FROM c_events GROUP BY 1""")
-cte("c_known", "SELECT customer_id, 1 known, churn_probability, clv, uplift_score, coupon_cost, persona, uplift_segment FROM c_summary WHERE customer_id % 10 <> 0")
+cte("c_known", "SELECT customer_id, 1 known, churn_probability, clv, uplift_score, coupon_cost, persona, uplift_segment FROM c_summary WHERE frequency > 0")
 cte("c_scores", """SELECT *, clv * uplift_score expected_incremental_profit, CASE WHEN coupon_cost > 0 THEN clv * uplift_score / coupon_cost END expected_roi,
  CASE WHEN is_cold = 1 THEN 'new' WHEN churn_score >= 0.85 THEN 'critical' WHEN churn_score >= 0.70 THEN 'high' WHEN churn_score >= 0.50 THEN 'medium' ELSE 'low' END risk_segment
 FROM (SELECT s.customer_id, CASE WHEN known IS NULL THEN least(greatest(0.60 - 0.06 * greatest(event_count_total, 1), 0.15), 0.70)::DOUBLE ELSE churn_probability END churn_score,
@@ -56,7 +56,7 @@ def state(spark, d):
 
 
 def known(spark, d):
-    return customer_summary(spark, d).where("customer_id % 10 <> 0").select(
+    return customer_summary(spark, d).where("frequency > 0").select(
         "customer_id", F.lit(1).alias("known"), "churn_probability", "clv", "uplift_score", "coupon_cost", "persona", "uplift_segment")
 
 

@@ -133,7 +133,7 @@ _MODELS = {}
 def trained(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        _MODELS[key] = C.train(train_frame(spark, d), NUM, TEXT, folds=2, depths=(3,), sizes=(10, 20))
+        _MODELS[key] = C.train(train_frame(spark, d), NUM, TEXT)
     return _MODELS[key]
 
 
@@ -217,23 +217,23 @@ def uplift_curve(spark, d):
 
 @query("s_learner")
 def s_learner(spark, d):
-    return U.s_learner(upl(spark, d), UNUM, ["persona"], trees=10).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+    return staged(spark, d, "s_learner_scored", lambda: U.s_learner(upl(spark, d), UNUM, ["persona"])).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
 
 
 @query("t_learner")
 def t_learner(spark, d):
-    return U.t_learner(upl(spark, d), UNUM, ["persona"], trees=10).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+    return staged(spark, d, "t_learner_scored", lambda: U.t_learner(upl(spark, d), UNUM, ["persona"])).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
 
 
 @query("dr_learner")
 def dr_learner(spark, d):
-    return U.dr_learner(upl(spark, d), UNUM, ["persona"], trees=10).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+    return staged(spark, d, "dr_learner_scored", lambda: U.dr_learner(upl(spark, d), UNUM, ["persona"])).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
 
 
 @query("learner_select")
 def learner_select(spark, d):
     u = upl(spark, d)
-    scored = {"s_learner": staged(spark, d, "s_scored", lambda: U.s_learner(u, UNUM, ["persona"], trees=10)), "t_learner": staged(spark, d, "t_scored", lambda: U.t_learner(u, UNUM, ["persona"], trees=10))}
+    scored = {name: staged(spark, d, f"{name}_scored", lambda f=f: f(u, UNUM, ["persona"])) for name, f in (("s_learner", U.s_learner), ("t_learner", U.t_learner), ("dr_learner", U.dr_learner))}
     best, areas = U.select_learner(scored)
     return spark.createDataFrame([(k, float(v), int(k == best)) for k, v in areas.items()], "learner string, auuc double, selected int")
 
@@ -341,7 +341,16 @@ def clv_future_target(spark, d):
 def clv_fit_predict(spark, d):
     c, o = A.customers(spark, d), A.orders(spark, d)
     train = L.future_spend(L.anchor_features(c, o, "2000-12-31"), o, "2000-12-31")
-    return L.fit_predict(train, L.anchor_features(c, o, params.SNAPSHOT_END), ["persona"], trees=10)[0].withColumn("predicted_clv_12m", F.round("predicted_clv_12m", 2))
+    return L.fit_predict(train, L.anchor_features(c, o, params.SNAPSHOT_END), ["persona"])[0].withColumn("predicted_clv_12m", F.round("predicted_clv_12m", 2))
+
+
+@query("clv_fit_report")
+def clv_fit_report(spark, d):
+    """Errors on customers that were not fitted."""
+    c, o = A.customers(spark, d), A.orders(spark, d)
+    train = L.future_spend(L.anchor_features(c, o, "2000-12-31"), o, "2000-12-31")
+    report = L.fit_predict(train, train, ["persona"])[1]
+    return spark.createDataFrame([(k, float(v)) for k, v in report.items()], "measure string, value double")
 
 
 @query("high_value_top20", "SELECT customer_id, (clv >= (SELECT quantile_cont(clv, 0.8) FROM c_summary))::INTEGER is_high_value_top20pct FROM c_summary")

@@ -12,7 +12,7 @@ from winback.registry.q_features import fm
 from winback.registry.q_live import COUNT_SQL, known
 from winback.sources import adapters as A
 from winback.sources import catalog as C
-from winback.sources.staging import new_path, staged
+from winback.sources.staging import staged_path, new_path, staged
 from winback.streaming import decisions as Q
 from winback.streaming import flow as W
 from winback.streaming import signals as G
@@ -124,14 +124,11 @@ def _json_files(spark, d):
         body = F.to_json(F.struct("customer_id", kind.alias("event_type"), "event_time", "amount",
                                   F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("s-"), (F.col("event_id") - F.col("event_id") % 10).cast("string"))).alias("source_event_id")))
         return e.select(F.when(F.col("event_id") % 89 == 0, "{broken").otherwise(body).alias("value"))
-    return staged(spark, d, "live_json", build)
+    return staged_path(spark, d, "live_json", build)
 
 
 def json_stream(spark, d):
-    _json_files(spark, d)
-    from winback.sources.staging import _WRITTEN
-    path = _WRITTEN[(spark.sparkContext.applicationId, d, "live_json")]
-    return spark.readStream.schema("value string").parquet(path)
+    return spark.readStream.schema("value string").parquet(_json_files(spark, d))
 
 
 @query("source_live_event", """SELECT CASE WHEN event_id % 89 = 0 OR event_id % 101 = 0 THEN 'invalid' ELSE 'valid' END verdict, count(*) AS n FROM c_events GROUP BY 1""")
@@ -258,7 +255,7 @@ LOOP = f"""WITH RECURSIVE w(rn, spent, n, used, pick) AS (SELECT 0::BIGINT, 0.0:
  SELECT rn, CASE WHEN ok THEN spent + coupon_cost ELSE spent END, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN list_append(used, customer_id) ELSE used END, ok FROM (
  SELECT p.rn, spent, n, used, p.customer_id, p.coupon_cost, NOT list_contains(used, p.customer_id) AND spent + p.coupon_cost <= {LOOP_B} AND n < {LOOP_C} ok FROM w JOIN c_loop p ON p.rn = w.rn + 1)),
 q AS (SELECT customer_id, intervention_intensity, coupon_cost, 'queued' action_queue_status FROM w JOIN c_loop USING (rn) WHERE pick)
-SELECT * FROM q UNION ALL SELECT customer_id, intervention_intensity, coupon_cost, CASE WHEN (SELECT count(*) FROM q) >= {LOOP_C} THEN 'deferred_channel_guardrail' ELSE 'deferred_budget_guardrail' END FROM c_loop WHERE choice = 1 AND customer_id NOT IN (SELECT customer_id FROM q)"""
+SELECT * FROM q UNION ALL SELECT customer_id, intervention_intensity, coupon_cost, CASE WHEN (SELECT count(*) FROM q) >= {LOOP_C} AND rn > (SELECT max(rn) FROM w WHERE pick) THEN 'deferred_channel_guardrail' ELSE 'deferred_budget_guardrail' END FROM c_loop WHERE choice = 1 AND customer_id NOT IN (SELECT customer_id FROM q)"""
 
 
 @query("closed_loop_guard", LOOP)

@@ -123,7 +123,3 @@ def event_orders(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("C"), (F.col("k") % 8).cast("string")).alias("item_category"),
         (F.col("k") % 5 + 1).alias("quantity"), F.col("amount").alias("net_amount"),
         (F.col("k") >= 80).cast("int").alias("coupon_used"))
-
-
-def sample_draw(customer_id, salt: int = 12289):
-    return stable_unit(customer_id, salt)

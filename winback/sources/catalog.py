@@ -25,14 +25,15 @@ def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_text_table(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
-    """CSV or TSV by the suffix of the name. The encoding is the first of the list whose sample has no broken characters."""
+    """CSV or TSV by the suffix of the name. Without a given encoding it is the first of the list that breaks no character of any row."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # cp949 and euc-kr are not in the default list
     sep = "\t" if path.rstrip("/").endswith((".tsv", ".tsv.gz")) else ","
     reader = spark.read.schema(schema) if schema else spark.read
     if encoding is None:
         for enc in ENCODINGS:
-            sample = spark.read.option("encoding", enc).option("sep", sep).csv(path).limit(1000)
-            if sample.where(F.contains(F.concat_ws("|", *sample.columns), F.lit("\ufffd"))).isEmpty():
+            whole = spark.read.option("encoding", enc).option("sep", sep).csv(path)
+            broken = F.count_if(F.contains(F.concat_ws("|", *whole.columns), F.lit("\ufffd")))
+            if whole.agg(broken).first()[0] == 0:
                 encoding = enc
                 break
     return reader.option("encoding", encoding or ENCODINGS[-1]).option("sep", sep).csv(path, header=True)
@@ -115,8 +116,3 @@ class FeatureStore:
 
     def metadata(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/_metadata_{name}")
-
-
-def bucketed(df: DataFrame, table: str, key: str = "customer_id", buckets: int = 512) -> None:
-    """Save a large table bucketed by its join key, so that repeated joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -32,13 +32,15 @@ def action_choices(triggers: DataFrame, actions: DataFrame, used: DataFrame | No
 def closed_loop(choices: DataFrame, budget: float, capacity: int) -> DataFrame:
     """Queue in trigger order while budget and capacity last; each customer gets its best action that still fits.
 
-    This is the budget walk with trigger time first and preference second. Who is left over is deferred, for
-    the budget or, when the places ran out first, for the channel.
+    This is the budget walk with trigger time first and preference second. A customer left over is deferred for the channel if the
+    places had run out by its turn, else for the budget.
     """
     ranked = cut(ordered_totals(choices, [("event_time", False), ("event_id", False), ("customer_id", False), ("choice", False)], {"place": F.lit(1).cast("long")}), "loop")
     taken = greedy(ranked.drop("intervention_intensity").withColumn("intervention_intensity", F.lit("none")), [budget], customer_cap=capacity).select("customer_id", "place")
-    got = ranked.join(taken.select("place"), "place").select("customer_id", "intervention_intensity", "coupon_cost", F.lit("queued").alias("action_queue_status"))
-    full = got.count() >= capacity
+    got = ranked.join(taken.select("place"), "place").select("customer_id", "intervention_intensity", "coupon_cost", F.lit("queued").alias("action_queue_status"), "place")
+    n, last = got.agg(F.count(F.lit(1)), F.max("place")).first()
+    late = F.col("place") > F.lit(last if n >= capacity else None).cast("long")
     rest = ranked.where("choice = 1").join(taken.select("customer_id"), "customer_id", "left_anti").select(
-        "customer_id", "intervention_intensity", "coupon_cost", F.lit("deferred_channel_guardrail" if full else "deferred_budget_guardrail").alias("action_queue_status"))
+        "customer_id", "intervention_intensity", "coupon_cost", F.when(late, "deferred_channel_guardrail").otherwise("deferred_budget_guardrail").alias("action_queue_status"))
+    got = got.drop("place")
     return got.unionByName(rest)

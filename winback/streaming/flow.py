@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winback.operators import live
+from winback.sources.catalog import exists
 from winback.sources import adapters
 from winback.sources.schemas import LIVE_EVENT, LIVE_EVENT_TYPES
 from winback.sources.staging import new_path
@@ -59,7 +60,10 @@ def run_available(df: DataFrame, name: str, mode: str = "append", batch: Callabl
 
 def latest_counts(path: str, spark: SparkSession) -> DataFrame:
     """Last version of each customer's row from an update-mode output."""
-    t = spark.read.parquet(path)
+    return latest_of(spark.read.parquet(path))
+
+
+def latest_of(t: DataFrame) -> DataFrame:
     rest = [c for c in t.columns if c not in ("customer_id", "batch_id", "part")]
     return t.groupBy("customer_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("customer_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
@@ -80,11 +84,17 @@ class LiveTables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def latest(self, name: str) -> DataFrame:
-        return latest_counts(f"{self.folder}/{name}", self.spark)
+        """The current rows: the last compaction and the batches after it."""
+        changes, base = self.spark.read.parquet(f"{self.folder}/{name}"), f"{self.folder}/{name}-base"
+        if exists(self.spark, base):
+            folded = self.spark.read.parquet(base)
+            upto = folded.agg(F.max("upto")).first()[0]
+            changes = changes.where(F.col("batch_id") > upto).unionByName(folded.where(F.col("upto") == upto).withColumnRenamed("upto", "batch_id"))
+        return latest_of(changes)
 
     def compact(self, name: str, batch_id: int) -> None:
-        """Fold the changes into one folder, from time to time, so that readers open few files."""
-        self.latest(name).write.mode("overwrite").parquet(f"{self.folder}-compacted/{name}/batch_id={batch_id}")
+        """Fold all batches up to batch_id into one folder, from time to time, so that readers open few files."""
+        self.latest(name).write.mode("overwrite").parquet(f"{self.folder}/{name}-base/upto={batch_id}")
 
 
 def live_flow(known: DataFrame, tables: LiveTables, threshold: float = 0.5) -> Callable[[DataFrame, int], None]:

@@ -61,23 +61,37 @@ def triggers(current: Column, previous: Column, kind: Column, idle: Column) -> C
     return F.array_join(F.array_compact(F.array(*cells)), ", ")
 
 
+#: Half-lives in a stretch of days; powers of two up to it stay far inside a double, and what is older than a stretch is below 2^-500.
+STRETCH = 500
+
+
 def replay(events: DataFrame, base: DataFrame) -> DataFrame:
     """Batch twin of the stateful stream: the score after every event, with the triggers.
 
-    Signals only decay and add, so each is a running sum of 2^(t / half-life) scaled back to the event's time.
-    The sum is cut at day bounds: running totals inside a (customer, day), plus what the days before carry
-    over, so a very busy customer is spread over its days.
+    Signals only decay and add. Inside a (customer, day) they are running sums of 2^(hours of the day / half-life), scaled back to the
+    event's time, so a very busy customer is spread over its days. What earlier days carry over comes from one row a
+    day: sums relative to the start of a stretch of STRETCH half-lives, plus the stretch before it, so no power
+    overflows however long the history is.
     """
     day = F.to_date("event_time")
-    first = events.groupBy("customer_id").agg(F.min("event_time").alias("_t0"))
-    e = events.join(base, "customer_id").join(first, "customer_id").withColumns({
-        "_day": day, "_h": (F.unix_micros("event_time") - F.unix_micros("_t0")) / F.lit(3.6e9)})
+    start = F.unix_micros(F.col("_day").cast("timestamp"))
+    e = events.join(base, "customer_id").withColumn("_day", day).withColumn("_h", (F.unix_micros("event_time") - start) / F.lit(3.6e9))
     e = e.withColumns({f"_x_{n}": F.when(F.col("event_type") == kind, F.pow(F.lit(2.0), F.col("_h") / half)).otherwise(0.0) for n, kind, half, _ in SIGNALS})
     daily = e.groupBy("customer_id", "_day").agg(*[F.sum(f"_x_{n}").alias(f"_d_{n}") for n in NAMES], F.count(F.lit(1)).alias("_d_seen"))
     past = Window.partitionBy("customer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = daily.select("customer_id", "_day", *[F.coalesce(F.sum(f"_d_{n}").over(past), F.lit(0)).alias(f"_c_{n}") for n in [*NAMES, "seen"]])
+    daily = daily.withColumns({"_c_seen": F.coalesce(F.sum("_d_seen").over(past), F.lit(0)), "_at": F.unix_date("_day") * 24.0})
+    for half in sorted({h for _, _, h, _ in SIGNALS}):
+        tag = f"_s{half:g}"
+        daily = daily.withColumn(tag, F.floor(F.col("_at") / (STRETCH * half)).cast("long"))
+        into = (F.col("_at") - F.col(tag) * (STRETCH * half)) / half          # half-lives since the stretch began
+        here = Window.partitionBy("customer_id", tag).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("customer_id").orderBy(tag).rangeBetween(-1, -1)
+        for n in [n for n, _, h, _ in SIGNALS if h == half]:
+            scaled = F.col(f"_d_{n}") * F.pow(F.lit(2.0), into)
+            daily = daily.withColumn("_scaled", scaled).withColumn(f"_c_{n}", F.pow(F.lit(2.0), -into) * (
+                F.coalesce(F.sum("_scaled").over(here), F.lit(0.0)) + F.coalesce(F.sum("_scaled").over(before), F.lit(0.0)) * 2.0 ** -STRETCH))
     inside = Window.partitionBy("customer_id", "_day").orderBy("event_time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    s = e.join(carried, ["customer_id", "_day"])
+    s = e.join(daily.select("customer_id", "_day", *[f"_c_{n}" for n in [*NAMES, "seen"]]), ["customer_id", "_day"])
     s = s.withColumns({**{n: (F.sum(f"_x_{n}").over(inside) + F.col(f"_c_{n}")) * F.pow(F.lit(2.0), -F.col("_h") / half) for n, _, half, _ in SIGNALS},
                        "seen": F.count(F.lit(1)).over(inside) + F.col("_c_seen")})
     s = s.withColumn("churn_score", score(F.col("base"), F.lit(0.0))).select(*events.columns, "base", *NAMES, "seen", "churn_score")
