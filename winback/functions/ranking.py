@@ -18,7 +18,7 @@ RANGE_ROWS = 200_000
 KEYS_PER_BOUND = 20
 
 
-def _range_count(rows: int) -> int:
+def range_count(rows: int) -> int:
     """Ranges follow the number of rows; a small table is one range by the same path."""
     return max(1, -(-rows // RANGE_ROWS))
 
@@ -39,13 +39,13 @@ def _sort_value(df: DataFrame, name: str, descending: bool) -> Column:
     return -c
 
 
-def _nested_range(key: Column, bounds: list[Column], base: int = 0) -> Column:
+def nested_range(key: Column, bounds: list[Column], base: int = 0) -> Column:
     """Index of the range a key falls in, by bisection over the sorted bounds."""
     if not bounds:
         return F.lit(base)
     mid = len(bounds) // 2
-    return F.when(key <= bounds[mid], _nested_range(key, bounds[:mid], base)).otherwise(
-        _nested_range(key, bounds[mid + 1:], base + mid + 1))
+    return F.when(key <= bounds[mid], nested_range(key, bounds[:mid], base)).otherwise(
+        nested_range(key, bounds[mid + 1:], base + mid + 1))
 
 
 def ordered_totals(df: DataFrame, order: list[tuple[str, bool]], totals: dict[str, Column],
@@ -62,20 +62,20 @@ def ordered_totals(df: DataFrame, order: list[tuple[str, bool]], totals: dict[st
     for n, e in totals.items():
         work = work.withColumn(f"_t_{n}", e)
     if dense is not None:
-        ranges = _range_count(dense)
+        ranges = range_count(dense)
         work = work.withColumn("_range", F.floor((F.col(order[0][0]) - 1) * ranges / max(dense, 1)).cast("int"))
     else:
         def sample(n: int) -> list:
             return [r[0] for r in work.select("_key").orderBy(F.xxhash64("_key")).limit(n).collect()]
         keys = sample(SAMPLE_ROWS)
-        ranges = _range_count(len(keys) if len(keys) < SAMPLE_ROWS else work.count())
+        ranges = range_count(len(keys) if len(keys) < SAMPLE_ROWS else work.count())
         if KEYS_PER_BOUND * ranges > SAMPLE_ROWS:
             keys = sample(KEYS_PER_BOUND * ranges)
         types = work.schema["_key"].dataType
         ordered = sorted(keys, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
         picked = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
         bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)]) for r in picked]
-        work = work.withColumn("_range", _nested_range(F.col("_key"), bounds))
+        work = work.withColumn("_range", nested_range(F.col("_key"), bounds))
     run = Window.partitionBy(*by, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     inner = work.select("*", *[F.sum(f"_t_{n}").over(run).alias(f"_r_{n}") for n in totals])
     sums = work.groupBy(*by, "_range").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals])
@@ -99,14 +99,14 @@ def value_cdf(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Da
                                 for c in cols])).alias("p")
     counts = (df.select(*by, pairs).select(*by, "p.col", "p.value").where("value IS NOT NULL")
               .groupBy(*by, "col", "value").agg(F.count(F.lit(1)).alias("n_value")))
-    ranges = _range_count(df.count())
+    ranges = range_count(df.count())
     probs = [i / ranges for i in range(1, ranges)]
     rng = F.lit(0)
     if probs:
         probe = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, max(2000, KEYS_PER_BOUND * ranges)).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         for i, c in enumerate(cols):
             bounds = sorted(set(probe[f"q{i}"] or []))
-            rng = F.when(F.col("col") == c, _nested_range(F.col("value"), [F.lit(b) for b in bounds])).otherwise(rng)
+            rng = F.when(F.col("col") == c, nested_range(F.col("value"), [F.lit(b) for b in bounds])).otherwise(rng)
     counts = counts.withColumn("_range", rng)
     run = Window.partitionBy(*by, "col", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inner = counts.withColumn("_run", F.sum("n_value").over(run))

@@ -68,6 +68,8 @@ def greedy(ranked: DataFrame, budgets: list[float], high_cap: int | None = None,
             if s["cap"] > 0 and s["left"] > 0:
                 nxt[r["budget"]] = s
         states = nxt
+        if states:      # only rows behind every budget's place that some budget can still pay are read again
+            thin = cut(thin.where((F.col("place") > min(s["last"] for s in states.values())) & (F.col("cost") <= max(s["left"] for s in states.values()))), "rest")
     if not taken:
         return ranked.withColumn("budget", F.lit(0)).limit(0)
     chosen = reduce(DataFrame.unionByName, taken).select("budget", "place")

@@ -91,10 +91,10 @@ def recommend(customers: DataFrame, pref: DataFrame, view: DataFrame, segment: D
 
     def scaled(x: Column, lo, hi) -> Column:
         return F.when(hi - lo < 1e-9, 0.0).otherwise((x - lo) / (hi - lo))
-    segs = customers.select("persona", "uplift_segment").distinct()
-    # a small table: segments times categories
-    every = cats.agg(F.collect_set("item_category")).scalar()
-    seg_cat = segs.withColumn("all", every).select("persona", "uplift_segment", F.explode("all").alias("item_category"))
+    # personas times uplift segments, both fixed vocabularies: each category is listed once a segment, spread over the categories
+    segs = [F.struct(F.lit(r[0]).alias("persona"), F.lit(r[1]).alias("uplift_segment")) for r in customers.select("persona", "uplift_segment").distinct().collect()]
+    seg_cat = cats.withColumn("seg", F.explode(F.array(*segs))).select("seg.persona", "seg.uplift_segment", "item_category") if segs else cats.selectExpr(
+        "CAST(NULL AS string) persona", "CAST(NULL AS string) uplift_segment", "item_category").limit(0)
     seg_cat = seg_cat.join(segment, ["persona", "uplift_segment", "item_category"], "left").join(everyone, "item_category", "left").select(
         "persona", "uplift_segment", "item_category", F.coalesce("segment_popularity", F.lit(0.0)).alias("segment_popularity"),
         F.coalesce("global_popularity", F.lit(0.0)).alias("global_popularity"))
@@ -110,7 +110,10 @@ def recommend(customers: DataFrame, pref: DataFrame, view: DataFrame, segment: D
     full = F.col("n_own") >= n_all                # only then can the smallest own value be above zero
     lo = lambda x: F.when(full, F.coalesce(F.col(x), F.lit(0.0))).otherwise(0.0)
     c = c.withColumns({"plo": lo("plo"), "vlo": lo("vlo"), "phi": F.coalesce("phi", F.lit(0.0)), "vhi": F.coalesce("vhi", F.lit(0.0))})
-    listed = c.join(seg_cat, ["persona", "uplift_segment"]).where(F.col("place") <= F.col("n_own") + k).select("customer_id", "item_category")
+    # one row a segment with the head of its list; a customer reads as much of it as it needs, and meets no other category
+    longest = (c.agg(F.max("n_own")).first()[0] or 0) + k
+    heads = seg_cat.where(F.col("place") <= longest).groupBy("persona", "uplift_segment").agg(F.array_sort(F.collect_list(F.struct("place", "item_category"))).alias("head"))
+    listed = c.join(heads, ["persona", "uplift_segment"]).select("customer_id", F.explode(F.slice("head", F.lit(1), (F.col("n_own") + k).cast("int"))).alias("h")).select("customer_id", "h.item_category")
     pairs = listed.unionByName(own.select("customer_id", "item_category").join(c.select("customer_id"), "customer_id", "left_semi")).distinct()
     j = pairs.join(c, "customer_id").join(own, ["customer_id", "item_category"], "left").join(seg_cat.drop("place"), ["persona", "uplift_segment", "item_category"])
     j = j.withColumns({"p": F.coalesce("p", F.lit(0.0)), "v": F.coalesce("v", F.lit(0.0))})

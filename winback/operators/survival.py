@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winback.functions.ranking import ordered_totals, tercile
-from winback.functions.scalars import scalars
+from winback.functions.ranking import nested_range, ordered_totals, range_count, tercile
+from winback.sources.staging import cut
 
 
 def activity(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -200,22 +200,40 @@ def kaplan_meier(df: DataFrame, group: str) -> DataFrame:
 
 
 def concordance(df: DataFrame, hazard: str) -> float:
-    """Share of comparable pairs the hazard orders rightly, ties as one half. Exact, without forming pairs.
+    """Share of comparable pairs the hazard orders rightly, ties as one half. Exact, without forming pairs or copying rows.
 
-    Rows are folded to (duration, event, score). For each event day the rows still at risk after it are
-    counted by score with running totals, and each event reads off how many lie below it.
+    Rows are folded to (duration, event, score) and cut into score ranges. What a range has to know of the lower ones is one count per
+    duration and event, so the sums of all ranges are small; inside a range the rows at risk after a day are counted in score order, day by day.
     """
-    cells = df.groupBy("duration_days", "event_observed", F.col(hazard).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    days = sorted(r[0] for r in cells.where("event_observed = 1").select("duration_days").distinct().collect())
-    if not days:
-        return 0.5
-    t = F.explode(F.filter(F.array(*[F.lit(d) for d in days]), lambda d: (d < F.col("duration_days")) | ((d == F.col("duration_days")) & (F.col("event_observed") == 0)))).alias("t")
-    later = cells.select(t, "s", "n", F.lit(0).cast("long").alias("e"))
-    events = cells.where("event_observed = 1").select(F.col("duration_days").alias("t"), "s", F.lit(0).cast("long").alias("n"), F.col("n").alias("e"))
-    g = later.unionByName(events).groupBy("t", "s").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    run = ordered_totals(g, [("s", False)], {"below": F.col("n")}, by=["t"])
-    tot = g.groupBy("t").agg(F.sum("n").alias("all"))
-    got = scalars(run.join(tot, "t"), c=F.sum(F.col("e") * (F.col("below") - F.col("n") / 2)), a=F.sum(F.col("e") * F.col("all")))
-    return float(got["c"]) / float(got["a"]) if got["a"] else 0.5
-
-
+    cells = cut(df.where(F.col(hazard).isNotNull()).groupBy(F.col("duration_days").cast("int").alias("d"), (F.col("event_observed") == 1).cast("int").alias("e"), F.col(hazard).cast("double").alias("s"))
+                .agg(F.count(F.lit(1)).alias("n")), "concordance")
+    ranges = range_count(cells.count())
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(cells.agg(F.percentile_approx("s", probs, max(2000, 20 * ranges))).first()[0])) if probs else []
+    ranged = cells.withColumn("r", nested_range(F.col("s"), [F.lit(b) for b in bounds]))
+    sums = ranged.groupBy("r", "d", "e").agg(F.sum("n").alias("n")).toPandas()
+    days = sorted(sums.loc[sums["e"] == 1, "d"].unique().tolist())
+
+    def later(part: pd.DataFrame) -> np.ndarray:
+        """Rows of each (day, row) that are at risk after the day."""
+        d, e, n = (part[c].to_numpy() for c in ("d", "e", "n"))
+        return np.where((np.array(days)[:, None] < d) | ((np.array(days)[:, None] == d) & (e == 0)), n, 0)
+    below = {int(r): later(sums[sums["r"] < r]).sum(1) for r in sums["r"].unique()} if days else {}
+    every = later(sums).sum(1) if days else np.zeros(0)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        c = a = 0.0
+        part = part.sort_values("s")
+        first = np.searchsorted(part["s"].to_numpy(), part["s"].to_numpy(), "left")
+        last = np.searchsorted(part["s"].to_numpy(), part["s"].to_numpy(), "right")
+        d, e, n = (part[x].to_numpy() for x in ("d", "e", "n"))
+        for k, day in enumerate(days):
+            hit = np.flatnonzero((d == day) & (e == 1))
+            if len(hit):
+                upto = np.append(0, np.cumsum(np.where((day < d) | ((day == d) & (e == 0)), n, 0)))
+                under = below[int(part["r"].iloc[0])][k] + (upto[first[hit]] + upto[last[hit]]) / 2
+                c += float((n[hit] * under).sum())
+                a += float(n[hit].sum()) * float(every[k])
+        return pd.DataFrame({"c": [c], "a": [a]})
+    got = ranged.groupBy("r").applyInPandas(run, "c double, a double").agg(F.sum("c").alias("c"), F.sum("a").alias("a")).first()
+    return got["c"] / got["a"] if got["a"] else 0.5

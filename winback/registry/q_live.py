@@ -16,7 +16,7 @@ from winback.sources.staging import staged
 _by = {c: ", ".join(f"'{k}'" for k, v in V.COUNTERS.items() if v == c) for c in V.COUNTER_NAMES}
 COUNT_SQL = ", ".join(f"count(*) FILTER (event_type IN ({k})) {c}" for c, k in _by.items())
 cte("c_state", f"""SELECT customer_id, max(event_time) last_event_time, {COUNT_SQL}, coalesce(sum(amount) FILTER (event_type = 'purchase'), 0.0) revenue_30d, min(event_time) first_seen_at, count(*) event_count_total FROM c_events GROUP BY 1""")
-cte("c_known", "SELECT customer_id, 1 known, churn_probability, clv, uplift_score, coupon_cost, persona, uplift_segment FROM c_summary WHERE frequency > 0")
+cte("c_known", "SELECT customer_id, 1 known, churn_probability, clv, uplift_score, coupon_cost, persona, uplift_segment FROM c_summary WHERE frequency > 5")
 cte("c_scores", """SELECT *, clv * uplift_score expected_incremental_profit, CASE WHEN coupon_cost > 0 THEN clv * uplift_score / coupon_cost END expected_roi,
  CASE WHEN is_cold = 1 THEN 'new' WHEN churn_score >= 0.85 THEN 'critical' WHEN churn_score >= 0.70 THEN 'high' WHEN churn_score >= 0.50 THEN 'medium' ELSE 'low' END risk_segment
 FROM (SELECT s.customer_id, CASE WHEN known IS NULL THEN least(greatest(0.60 - 0.06 * greatest(event_count_total, 1), 0.15), 0.70)::DOUBLE ELSE churn_probability END churn_score,
@@ -56,7 +56,8 @@ def state(spark, d):
 
 
 def known(spark, d):
-    return customer_summary(spark, d).where("frequency > 0").select(
+    """Stored scores: of customers with more than five orders by the as-of day. The others have too little history and are scored as new ones."""
+    return customer_summary(spark, d).where("frequency > 5").select(
         "customer_id", F.lit(1).alias("known"), "churn_probability", "clv", "uplift_score", "coupon_cost", "persona", "uplift_segment")
 
 
@@ -78,10 +79,16 @@ def feature_counters(spark, d):
     return s.select("customer_id", TS("last_event_time"), *V.COUNTER_NAMES, F.round("revenue_30d", 4).alias("revenue_30d"), TS("first_seen_at"), "event_count_total")
 
 
-@query("sliding_counters", """SELECT customer_id, strftime(we, '%Y-%m-%d') window_end, count(*) events, count(*) FILTER (event_type = 'visit') visits, count(*) FILTER (event_type = 'purchase') purchases
-FROM (SELECT *, date_trunc('day', event_time) + (unnest(range(1, 8)))::INTEGER * INTERVAL 1 DAY we FROM c_events) GROUP BY 1, 2""")
+def sliding_sql(n):
+    return f"""SELECT customer_id, {n} AS days, strftime(we, '%Y-%m-%d') window_end, count(*) events, count(*) FILTER (event_type = 'visit') visits, count(*) FILTER (event_type = 'purchase') purchases
+FROM (SELECT *, date_trunc('day', event_time) + (unnest(range(1, {n + 1})))::INTEGER * INTERVAL 1 DAY we FROM c_events) GROUP BY 1, 2, 3"""
+
+
+@query("sliding_counters", f"{sliding_sql(7)} UNION ALL {sliding_sql(30)}")
 def sliding_counters(spark, d):
-    return V.sliding_counters(A.events(spark, d)).withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd"))
+    e = A.events(spark, d)
+    both = V.sliding_counters(e, 7).withColumn("days", F.lit(7)).unionByName(V.sliding_counters(e, 30).withColumn("days", F.lit(30)))
+    return both.withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd"))
 
 
 @query("cold_start_score", "SELECT customer_id, round(churn_score, 6) churn_score, round(clv, 4) clv, round(uplift_score, 6) uplift_score, is_new_customer FROM c_scores WHERE is_cold = 1")
@@ -157,12 +164,13 @@ def new_customers(spark, d):
     return s.join(scores(spark, d).where("is_cold = 1").select("customer_id", *R6("churn_score"), "risk_segment"), "customer_id")
 
 
-@query("live_counts", "SELECT (SELECT count(*) FROM c_events) events, (SELECT count(*) FROM c_state) states, (SELECT count(*) FROM c_scores) scores, (SELECT count(*) FROM c_actions WHERE should_queue = 1) queued, (SELECT count(*) FROM c_actions WHERE recommended_action <> 'monitor_only') candidates")
+@query("live_counts", "SELECT (SELECT count(*) FROM c_events) events, (SELECT count(*) FROM c_state) states, (SELECT count(*) FROM c_scores) scores, (SELECT count(*) FROM c_actions WHERE should_queue = 1) queued, (SELECT count(*) FROM c_actions WHERE recommended_action <> 'monitor_only') candidates, (SELECT strftime(max(event_time), '%Y-%m-%d %H:%M:%S') FROM c_events) latest_event, (SELECT strftime(max(scored_at), '%Y-%m-%d %H:%M:%S') FROM c_scores) latest_score")
 def live_counts(spark, d):
-    n = lambda df: df.count()
+    text = lambda c: F.date_format(F.max(c), "yyyy-MM-dd HH:mm:ss")
     a = scalars(actions(spark, d), q=F.count_if(F.col("should_queue") == 1), c=F.count_if(F.col("recommended_action") != "monitor_only"))
-    e = A.events(spark, d)
-    return row(spark, {"events": n(e), "states": n(e.select("customer_id").distinct()), "scores": n(scores(spark, d)), "queued": a["q"], "candidates": a["c"]})
+    s = scalars(scores(spark, d), n=F.count(F.lit(1)), t=text("scored_at"))
+    e = scalars(A.events(spark, d), n=F.count(F.lit(1)), c=F.count_distinct("customer_id"), t=text("event_time"))
+    return row(spark, {"events": e["n"], "states": e["c"], "scores": s["n"], "queued": a["q"], "candidates": a["c"]}).withColumns({"latest_event": F.lit(e["t"]), "latest_score": F.lit(s["t"])})
 
 
 @query("drift_check", "SELECT count(*) n, round(avg(churn_score), 6) mean, round(stddev_samp(churn_score), 6) stddev, count(*) FILTER (churn_score >= 0.5) high_risk, strftime(max(scored_at), '%Y-%m-%d %H:%M:%S') latest FROM c_scores")
