@@ -90,6 +90,55 @@ SELECT vec_id, CAST(COALESCE(others, 0) AS BIGINT) AS n_links, LEAST(vec_id, COA
 FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least ON least.n = vec_id
 """
 
+_TEMPLATES = ", ".join(f"({n}, '{label}', {phrase}, '{text}')" for n, (text, label, phrase) in enumerate(
+    [(p, x, True) for p, x in licenses.PHRASES.items()] + [(t, x, False) for x, t in licenses.NOTICES]))
+
+OP2 = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+templates(template, label, phrase, t) AS (VALUES {_TEMPLATES}),
+wanted AS (
+  SELECT template, label, phrase, len(tw) - 1 AS size, i - 1 AS spot, tw[i] || ' ' || tw[i + 1] AS g
+  FROM (SELECT *, unnest(range(1, len(tw))) AS i FROM (SELECT *, string_split(t, ' ') AS tw FROM templates))),
+hits AS MATERIALIZED (
+  SELECT r, template, label, phrase, size, spot, i - 1 - spot AS diagonal
+  FROM (SELECT r, w[i] || ' ' || w[i + 1] AS g, i FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM docs WHERE len(w) > 1)) JOIN wanted USING (g)),
+steps AS (
+  SELECT *, NOT phrase AND COALESCE(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {licenses.DRIFT}, FALSE) AS near
+  FROM (SELECT DISTINCT r, template, phrase, diagonal FROM hits)),
+spans AS (SELECT r, template, diagonal, SUM(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM steps),
+good AS (
+  SELECT r, template, label, phrase, MIN(diagonal) AS start, COUNT(DISTINCT spot) / size AS share
+  FROM hits JOIN spans USING (r, template, diagonal) GROUP BY r, template, label, phrase, size, span
+  HAVING CASE WHEN phrase THEN COUNT(DISTINCT spot) = size ELSE COUNT(DISTINCT spot) / size >= {licenses.SHARE} END),
+found AS (
+  SELECT r, COUNT(*) FILTER (phrase) AS n_base, MIN(start) FILTER (phrase) AS first_word, MAX(start) FILTER (phrase) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, MAX(share) AS score
+  FROM good GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, COALESCE(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN found USING (r)
+"""
+
+OP4 = """
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, COALESCE(doc_id, 9223372036854775807) AS d, hex(encode(COALESCE(text, ''))) AS h, octet_length(encode(COALESCE(text, ''))) AS n FROM documents),
+windows AS MATERIALIZED (SELECT r, d, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT r, d, h, unnest(range(0, n - 49)) AS i FROM docs WHERE n >= 50)),
+firsts AS (SELECT g, MIN(d) AS m FROM windows GROUP BY g HAVING COUNT(DISTINCT d) > 1),
+bad AS (SELECT r, i FROM windows JOIN firsts USING (g) WHERE m < d),
+steps AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM bad),
+spans AS (SELECT r, MIN(i) AS s, MAX(i) + 50 AS e FROM (SELECT r, i, SUM(new) OVER (PARTITION BY r ORDER BY i) AS span FROM steps) GROUP BY r, span),
+pieces AS (
+  SELECT r, COALESCE(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT r, MAX(e), n FROM spans JOIN docs USING (r) GROUP BY r, n
+  UNION ALL SELECT r, 0, n FROM docs WHERE r NOT IN (SELECT r FROM spans)),
+kept AS (SELECT r, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256 FROM pieces JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, SUM(e - s) AS n_removed, COUNT(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM docs JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
 OP5 = r"""
 WITH found AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, lang, source, text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -141,4 +190,4 @@ best AS (
 SELECT page_id, host, path, found.rule AS rule, COALESCE(found.verdict, 'allow') AS verdict FROM hosts LEFT JOIN best USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op5_quality_rules": OP5, "op7_url_filter": OP7, "op8_mixing": OP8}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op2_license_scan": OP2, "op4_suffix_dedup": OP4, "op5_quality_rules": OP5, "op7_url_filter": OP7, "op8_mixing": OP8}
