@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winback.functions import vocab
 from winback.functions.ranking import exact_quantiles, previous_in_key
@@ -20,12 +21,24 @@ def slug(name: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^a-z0-9가-힣_]", "_", name.strip().lower())).strip("_")
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, missing share and distinct values. One row per distinct value is counted, not one set per column."""
+def value_kind(t: T.DataType) -> str:
+    if isinstance(t, T.NumericType):
+        return "number"
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "time"
+    return "flag" if isinstance(t, T.BooleanType) else "text"
+
+
+def profile(df: DataFrame, samples: int = 3) -> DataFrame:
+    """Per column: rows, missing share, distinct values, kind and its first values in order. One row per distinct value is counted, not one set per column."""
     t = column_counts(df, df.columns)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).isNull().cast("int").alias("z")) for c in df.columns])).alias("p")
-    miss = df.select(pairs).groupBy("p.col").agg(F.sum("p.z").alias("missing"))
-    return t.join(miss, "col").select("col", "n", "n_distinct", F.round(F.col("missing") / F.col("n"), 6).alias("missing_rate"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(value_kind(df.schema[c].dataType)).alias("kind"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("p")
+    long = df.select(pairs).select("p.*")
+    miss = long.groupBy("col", "kind").agg(F.count_if(F.col("v").isNull()).alias("missing"))
+    first = Window.partitionBy("col").orderBy("v")
+    some = (long.where("v IS NOT NULL").groupBy("col", "v").agg(F.lit(1).alias("_o")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= samples)
+            .groupBy("col").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("samples")))
+    return t.join(miss, "col").join(some, "col", "left").select("col", "n", "n_distinct", F.round(F.col("missing") / F.col("n"), 6).alias("missing_rate"), "kind", "samples")
 
 
 def looks_datetime(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -124,7 +137,9 @@ def standardise(df: DataFrame, col: str, out: str = "standard_type") -> DataFram
 
 def mapping_report(m: DataFrame) -> DataFrame:
     total = scalars(m, n=F.sum("n"))["n"] or 1
-    return m.groupBy("event_type").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_values")).withColumn("share", F.round(F.col("rows") / F.lit(total), 6))
+    known = 1 - (scalars(m.where("event_type = 'other'"), n=F.sum("n"))["n"] or 0) / total
+    return m.groupBy("event_type").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_values")).withColumn("share", F.round(F.col("rows") / F.lit(total), 6)).withColumn(
+        "coverage_rate", F.lit(round(known, 4)))
 
 
 def churn_days(df: DataFrame, min_customers: int = 3, default: int = 30) -> int:

@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+RAW: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
 
@@ -41,6 +42,11 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = expand(sql)
+            RAW[name] = sql
         return fn
     return register
+
+
+def finish() -> None:
+    """Complete the statements once all modules have named their common table expressions."""
+    ORACLES.update({name: expand(sql) for name, sql in RAW.items()})

@@ -53,7 +53,7 @@ def keyed(spark, d):
 UCOLS = ["event_id", "customer_id", "action", "campaign_id", "refund_reason", "status", "page_views"]
 
 
-@query("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n, count(DISTINCT {c}) n_distinct, round(count(*) FILTER ({c} IS NULL) / count(*), 6)::DOUBLE missing_rate FROM c_upload" for c in UCOLS))
+@query("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n, count(DISTINCT {c}) n_distinct, round(count(*) FILTER ({c} IS NULL) / count(*), 6)::DOUBLE missing_rate, CASE WHEN typeof(max({c})) = 'VARCHAR' THEN 'text' ELSE 'number' END AS kind, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR v FROM c_upload WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) samples FROM c_upload" for c in UCOLS))
 def column_profile(spark, d):
     return I.profile(upload(spark, d).select(*UCOLS))
 
@@ -115,11 +115,17 @@ def event_standardise(spark, d):
     return I.standardise(upload(spark, d).select("event_id", "action"), "action").select("event_id", "standard_type")
 
 
-@query("event_mapping_report", "SELECT event_type, sum(n)::BIGINT AS \"rows\", count(*) distinct_values, round(sum(n) / (SELECT count(*) FROM c_upload), 6)::DOUBLE AS share FROM c_vmap GROUP BY 1")
+@query("event_mapping_report", "SELECT event_type, sum(n)::BIGINT AS \"rows\", count(*) distinct_values, round(sum(n) / (SELECT count(*) FROM c_upload), 6)::DOUBLE AS share, round(1 - coalesce((SELECT sum(n) FROM c_vmap WHERE event_type = 'other'), 0) / (SELECT sum(n) FROM c_vmap), 4)::DOUBLE AS coverage_rate FROM c_vmap GROUP BY 1")
 def event_mapping_report(spark, d):
     return I.mapping_report(I.event_map(upload(spark, d), "action"))
 
 
+@query("event_mapping_unmapped", "SELECT action AS value, n FROM c_vmap WHERE event_type = 'other'")
+def event_mapping_unmapped(spark, d):
+    """Raw values that no word of the vocabulary explains."""
+    return I.event_map(upload(spark, d), "action").where("event_type = 'other'").select("value", "n")
+
+
 @query("event_mapping_preview", "SELECT action AS value, n, event_type FROM c_vmap")
 def event_mapping_preview(spark, d):
     """Value, count and type, with the limit of the preview left to the caller."""

@@ -108,13 +108,16 @@ def ab_business(spark, d):
 
 
 @query("experiment_overview", """SELECT nt::BIGINT treatment_n, nc::BIGINT control_n, round(kt / nt - kc / nc, 6) incremental_retention, round((SELECT sum(coupon_cost) FROM c_exposures), 2) coupon_spend_total,
- round((rt - rc) * nt, 2) incremental_revenue FROM c_arm""")
+ round((rt - rc) * nt, 2) incremental_revenue, """ + ", ".join(f"(SELECT round(avg(retained) FILTER (dose_intensity = '{a}') - avg(retained) FILTER (dose_intensity = 'control'), 6) FROM c_dose) {a}_dose_effect" for a in ("low", "mid", "high")) + " FROM c_arm")
 def experiment_overview(spark, d):
+    from winback.registry.q_models import dose
     t, c = arms(spark, d)
     spend = scalars(A.exposures(spark, d), s=F.sum("coupon_cost"))["s"]
     b = E.business(t, c)
+    mean = lambda k: F.avg(F.when(F.col("dose_intensity") == k, F.col("retained")))
+    effects = scalars(dose(spark, d), **{f"{k}_dose_effect": F.round(mean(k) - mean("control"), 6) for k in ("low", "mid", "high")})
     return row(spark, {"treatment_n": t["n"], "control_n": c["n"], "incremental_retention": b["retention_lift"], "coupon_spend_total": round(spend, 2),
-                       "incremental_revenue": round(b["incremental_revenue"], 2)})
+                       "incremental_revenue": round(b["incremental_revenue"], 2), **effects})
 
 
 @query("treatment_assign", f"""SELECT customer_id, persona, uplift_segment, (row_number() OVER (PARTITION BY persona, uplift_segment ORDER BY {unit('customer_id', 4177)}, customer_id)
@@ -235,13 +238,47 @@ def ops_persona(spark, d):
                                                              F.round(F.avg("uplift_score"), 6).alias("avg_uplift_score"), F.round(F.avg("clv"), 2).alias("avg_clv"))
 
 
+RESPONSES = "count(*) FILTER (event_type = 'coupon_open') opens, count(*) FILTER (event_type = 'coupon_redeem') redeems"
+cte("c_responses", f"SELECT customer_id, {RESPONSES} FROM c_events GROUP BY 1")
+
+
+def _responses(spark, d):
+    """Summary rows with the coupons a customer opened and redeemed."""
+    r = A.events(spark, d).groupBy("customer_id").agg(*[F.count_if(F.col("event_type") == k).alias(n) for n, k in (("opens", "coupon_open"), ("redeems", "coupon_redeem"))])
+    return customer_summary(spark, d).join(r, "customer_id", "left").na.fill(0, ["opens", "redeems"])
+
+
 @query("coupon_risk", """SELECT persona, count(*) customers, count(*) FILTER (exposure_count > 0) exposed, count(*) FILTER (exposure_count >= 3) high_exposure, round(avg(exposure_count), 6) avg_exposure, round(avg(expected_roi), 4) avg_expected_roi,
- CASE WHEN count(*) FILTER (exposure_count >= 3) / count(*) >= 0.15 THEN '주의' ELSE '양호' END exposure_flag FROM c_summary GROUP BY 1""")
+ round(avg(churn_probability), 6) avg_churn_probability, round(coalesce(sum(opens), 0) / nullif(sum(exposure_count), 0), 6)::DOUBLE open_rate, round(coalesce(sum(redeems), 0) / nullif(sum(exposure_count), 0), 6)::DOUBLE redeem_rate,
+ CASE WHEN count(*) FILTER (exposure_count >= 3) / count(*) >= 0.15 THEN '주의' ELSE '양호' END exposure_flag FROM c_summary LEFT JOIN c_responses USING (customer_id) GROUP BY 1""")
 def coupon_risk(spark, d):
     n, hi = F.count(F.lit(1)), F.count_if(F.col("exposure_count") >= 3)
-    return customer_summary(spark, d).groupBy("persona").agg(
+    shown = F.nullif(F.sum("exposure_count"), F.lit(0))
+    return _responses(spark, d).groupBy("persona").agg(
         n.alias("customers"), F.count_if(F.col("exposure_count") > 0).alias("exposed"), hi.alias("high_exposure"), F.round(F.avg("exposure_count"), 6).alias("avg_exposure"),
-        F.round(F.avg("expected_roi"), 4).alias("avg_expected_roi"), F.when(hi / n >= 0.15, "주의").otherwise("양호").alias("exposure_flag"))
+        F.round(F.avg("expected_roi"), 4).alias("avg_expected_roi"), F.round(F.avg("churn_probability"), 6).alias("avg_churn_probability"),
+        F.round(F.sum("opens") / shown, 6).alias("open_rate"), F.round(F.sum("redeems") / shown, 6).alias("redeem_rate"), F.when(hi / n >= 0.15, "주의").otherwise("양호").alias("exposure_flag"))
+
+
+@query("coupon_risk_flags", """SELECT 'effect_prior' issue, CASE WHEN (SELECT avg(retained) FILTER (dose_intensity = 'high') - avg(retained) FILTER (dose_intensity = 'control') FROM c_dose) < 0 THEN '주의' ELSE '양호' END status
+ UNION ALL SELECT 'high_exposure_share', CASE WHEN count(*) FILTER (exposure_count >= 3) / count(*) >= 0.15 THEN '주의' ELSE '양호' END FROM c_summary
+ UNION ALL SELECT 'redeem_rate', CASE WHEN coalesce(sum(redeems), 0) / nullif(sum(exposure_count), 0) < 0.02 THEN '주의' ELSE '양호' END FROM c_summary LEFT JOIN c_responses USING (customer_id)""")
+def coupon_risk_flags(spark, d):
+    from winback.registry.q_models import dose
+    arm = scalars(dose(spark, d), h=F.avg(F.when(F.col("dose_intensity") == "high", F.col("retained"))), c=F.avg(F.when(F.col("dose_intensity") == "control", F.col("retained"))))
+    s = scalars(_responses(spark, d), n=F.count(F.lit(1)), hi=F.count_if(F.col("exposure_count") >= 3), r=F.sum("redeems"), x=F.sum("exposure_count"))
+    bad = [("effect_prior", arm["h"] is not None and arm["c"] is not None and arm["h"] < arm["c"]), ("high_exposure_share", s["n"] and s["hi"] / s["n"] >= 0.15), ("redeem_rate", s["x"] and s["r"] / s["x"] < 0.02)]
+    return spark.createDataFrame([(k, "주의" if b else "양호") for k, b in bad], "issue string, status string")
+
+
+@query("ops_headline", """SELECT count(*) customers, count(*) FILTER (churn_probability >= 0.5) at_risk, round(avg(churn_probability), 6) avg_churn_probability, round(sum(clv), 2) total_clv,
+ round(sum(expected_incremental_profit), 2) expected_incremental_profit, (SELECT count(*) FROM c_events) events, (SELECT count(*) FROM c_orders) orders, (SELECT count(*) FROM c_exposures) exposures FROM c_summary""")
+def ops_headline(spark, d):
+    n = {k: f(spark, d).agg(F.count(F.lit(1)).alias("n")).scalar() for k, f in (("events", A.events), ("orders", A.orders), ("exposures", A.exposures))}
+    top = customer_summary(spark, d).agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(F.col("churn_probability") >= 0.5).alias("at_risk"), F.round(F.avg("churn_probability"), 6).alias("avg_churn_probability"),
+        F.round(F.sum("clv"), 2).alias("total_clv"), F.round(F.sum("expected_incremental_profit"), 2).alias("expected_incremental_profit"))
+    return top.select("*", *[v.alias(k) for k, v in n.items()])
 
 
 SETS = {"customer_summary": "c_summary", "customers": "c_customers", "events": "c_events", "orders": "c_orders", "campaign_exposures": "c_exposures", "state_snapshots": "c_snapshots", "treatment_assignments": "c_assign"}
@@ -252,14 +289,19 @@ def _sets(spark, d):
             "campaign_exposures": A.exposures(spark, d), "state_snapshots": snapshots(spark, d), "treatment_assignments": A.assignments(spark, d)}
 
 
-@query("data_diagnostics", " UNION ALL ".join(f"""SELECT '{k}' dataset, count(*) AS n_rows, count(DISTINCT customer_id) unique_customers, (SELECT count(*) FROM (SELECT DISTINCT customer_id FROM {v} WHERE customer_id NOT IN (SELECT customer_id FROM c_summary))) orphan_customers FROM {v}""" for k, v in SETS.items()))
+@query("data_diagnostics", " UNION ALL ".join(f"""SELECT '{k}' dataset, count(*) AS n_rows, count(DISTINCT customer_id) unique_customers, (SELECT count(*) FROM (SELECT DISTINCT customer_id FROM {v} WHERE customer_id NOT IN (SELECT customer_id FROM c_summary))) orphan_customers,
+ count(*) FILTER (customer_id IS NULL) null_customers, count(customer_id) - count(DISTINCT customer_id) repeated_rows, round((SELECT count(*) FROM c_summary WHERE customer_id IN (SELECT customer_id FROM {v})) / (SELECT count(*) FROM c_summary), 6)::DOUBLE coverage FROM {v}""" for k, v in SETS.items()))
 def data_diagnostics(spark, d):
-    """Rows, customers and orphan customers per table. Each table is folded to one row per customer first."""
+    """Rows, customers, orphans, missing and repeated ids and the share of known customers per table. Each table is folded to one row per customer first."""
     known = customer_summary(spark, d).select("customer_id", F.lit(1).alias("k"))
+    total = known.count()
     parts = []
     for name, df in _sets(spark, d).items():
         per = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).join(known, "customer_id", "left")
-        parts.append(per.agg(F.lit(name).alias("dataset"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("unique_customers"), F.count_if(F.col("k").isNull()).alias("orphan_customers")))
+        named = F.col("customer_id").isNotNull()
+        parts.append(per.agg(F.lit(name).alias("dataset"), F.sum("n").alias("n_rows"), F.count_if(named).alias("unique_customers"), F.count_if(named & F.col("k").isNull()).alias("orphan_customers"),
+                             F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("null_customers"), F.sum(F.when(named, F.col("n") - 1)).alias("repeated_rows"),
+                             F.round(F.count(F.col("k")) / F.lit(total), 6).alias("coverage")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,5 +1,8 @@
 """Sources, sinks and streams. Streams run over what is there (available-now) and are compared with their batch twins."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winback import params
@@ -10,6 +13,7 @@ from winback.registry.core import cte, query
 from winback.registry.q_decide import R6
 from winback.registry.q_features import fm
 from winback.registry.q_live import COUNT_SQL, known
+from winback.registry.q_report import SETS, _sets
 from winback.sources import adapters as A
 from winback.sources import catalog as C
 from winback.sources.staging import staged_path, new_path, staged
@@ -91,13 +95,20 @@ def sink_tables(spark, d):
     return a.unionByName(spark.read.parquet(f"{pq}/orders").agg(F.lit("parquet").alias("fmt"), F.count(F.lit(1)).alias("n")))
 
 
-@query("sink_preprocessed", "SELECT count(*) AS n, (SELECT count(*) FROM c_orders)::VARCHAR order_rows FROM c_customers")
+PREPROCESSED = {**SETS, "cohort_retention": "c_retention_sink"}
+cte("c_retention_sink", "SELECT cohort_month FROM (SELECT strftime(signup_date, '%Y-%m') cohort_month, count(*) FROM c_customers GROUP BY 1)")
+
+
+@query("sink_preprocessed", " UNION ALL ".join(f"SELECT '{k}' AS dataset, count(*) AS n, (SELECT count(*) FROM c_orders)::VARCHAR order_rows FROM {v}" for k, v in PREPROCESSED.items()))
 def sink_preprocessed(spark, d):
+    """All eight tables and their metadata, written and read back."""
     path = new_path(spark, "preprocessed")
-    o = A.orders(spark, d)
-    C.write_preprocessed({"customers": A.customers(spark, d), "orders": o}, {"order_rows": o.count(), "source": "upload"}, path)
+    months = A.customers(spark, d).groupBy(F.date_format("signup_date", "yyyy-MM").alias("cohort_month")).agg(F.count(F.lit(1)).alias("cohort_size"))
+    tables = {**_sets(spark, d), "cohort_retention": months}
+    C.write_preprocessed(tables, {"order_rows": tables["orders"].count(), "source": "upload"}, path)
     meta = spark.read.json(f"{path}/metadata").first()
-    return spark.read.parquet(f"{path}/customers").agg(F.count(F.lit(1)).alias("n"), F.lit(meta["order_rows"]).alias("order_rows"))
+    counts = [spark.read.parquet(f"{path}/{k}").agg(F.lit(k).alias("dataset"), F.count(F.lit(1)).alias("n"), F.lit(meta["order_rows"]).alias("order_rows")) for k in tables]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("sink_feature_store", f"SELECT customer_id, coalesce(visits_{params.SHORT}d, 0) visits, '{params.AS_OF_EVENTS}' as_of FROM c_customers LEFT JOIN c_evt USING (customer_id)")
@@ -210,6 +221,24 @@ def reopt_trigger(spark, d):
     return replayed(spark, d).where("reasons <> ''").select("customer_id", "event_id", "reasons")
 
 
+@query("realtime_trigger_counts", "SELECT reason, count(*) AS n, count(DISTINCT customer_id) customers FROM (SELECT customer_id, unnest(string_split(reasons, ', ')) reason FROM c_trig WHERE reasons <> '') GROUP BY 1")
+def realtime_trigger_counts(spark, d):
+    """How often each trigger fired, and for how many customers."""
+    t = replayed(spark, d).where("reasons <> ''").select("customer_id", F.explode(F.split("reasons", ", ")).alias("reason"))
+    per = t.groupBy("reason", "customer_id").agg(F.count(F.lit(1)).alias("k"))
+    return per.groupBy("reason").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("customers"))
+
+
+_LAST = ", ".join(f"round(avg({n}), 6) {n}" for n in G.NAMES)
+
+
+@query("realtime_signal_means", f"SELECT count(*) customers, {_LAST} FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY seen DESC) last FROM c_replay) WHERE last = 1")
+def realtime_signal_means(spark, d):
+    """Mean signals over customers, each after its last event."""
+    last = replayed(spark, d).groupBy("customer_id").agg(*[F.max_by(n, "seen").alias(n) for n in G.NAMES])
+    return last.agg(F.count(F.lit(1)).alias("customers"), *[F.round(F.avg(n), 6).alias(n) for n in G.NAMES])
+
+
 @query("trigger_log", "SELECT customer_id, event_id, event_type, round(churn_score, 6) churn_score, reasons FROM c_trig WHERE reasons <> ''")
 def trigger_log(spark, d):
     """Trigger rows of the stateful stream."""
