@@ -77,3 +77,50 @@ CHURN_TEXTS = {"yes": 1.0, "no": 0.0, "y": 1.0, "n": 0.0, "true": 1.0, "false":
 FINANCE_EVENTS = {"visit": "채널접속", "page_view": "계좌·상품조회", "search": "상품탐색", "add_to_cart": "신청시작/관심상품", "purchase": "금융거래", "support_contact": "상담/민원"}
 FINANCE_OTHER = "기타 금융활동"
 DATE_PATTERN = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
+
+# Upload column names of the known customer columns.
+KNOWN_COLUMNS = {
+    "amount": ["amount", "net_amount", "transaction_amount"],
+    "order_count": ["total_order_count", "order_count", "orders_count", "purchase_count"],
+    "registration_days": ["days_since_registration", "customer_age_days", "days_from_signup"],
+    "channel": ["access_channel", "channel", "device", "platform"],
+    "gender": ["gender"],
+    "age_group": ["age_group", "age_band", "age_range"],
+    "payment_method": ["payment_method"],
+    "delivery_type": ["delivery_type", "shipping_type"],
+    "session": ["session_duration_sec", "session_duration", "duration_sec"],
+    "pages": ["page_views", "pageviews", "views"],
+    "discount": ["discount_amount", "discount", "coupon_discount"],
+    "points": ["point_used", "points_used", "mileage_used"],
+    "exposure": ["coupon_exposure", "coupon_exposed", "coupon_sent", "coupon_offer", "promotion_exposure", "campaign_exposure"],
+    "redeem": ["coupon_used", "coupon_use", "coupon_redeemed", "coupon_redemption", "redeemed_coupon"],
+    "campaign": ["campaign_id", "campaign", "campaign_name", "promotion_id", "coupon_id"],
+    "reason": ["refund_reason", "return_reason", "cancel_reason"],
+}
+# Upload column names of the finance numbers.
+FINANCE_NUMBERS = {
+    "account_balance_current": ["account_balance", "balance", "current_balance", "잔고", "계좌잔고"],
+    "avg_balance": ["avg_balance", "average_balance", "평균잔고"],
+    "loan_balance": ["loan_balance", "outstanding_balance", "principal_balance", "대출잔액"],
+    "loan_amount": ["loan_amount", "대출금액"],
+    "credit_limit": ["credit_limit", "available_credit", "한도", "카드한도"],
+    "card_spend_total": ["card_spend", "card_amount", "카드이용금액"],
+    "deposit_amount_total": ["deposit_amount", "입금액", "예금액"],
+    "withdrawal_amount_total": ["withdrawal_amount", "출금액"],
+    "transfer_amount_total": ["transfer_amount", "이체금액"],
+    "aum": ["aum", "asset", "assets", "자산", "운용자산"],
+    "credit_score": ["credit_score", "신용점수"],
+    "delinquency_days": ["delinquency_days", "days_past_due", "dpd", "연체일수"],
+    "missed_payment_count": ["missed_payment_count", "연체횟수", "미납횟수"],
+    "tenure_months": ["tenure_months", "relationship_months", "거래개월수", "가입개월수"],
+    "digital_login_count": ["digital_login_count", "mobile_login_count", "app_login_count", "모바일로그인횟수"],
+    "branch_visit_count": ["branch_visit_count", "영업점방문횟수"],
+    "product_count": ["product_count", "num_products", "보유상품수"],
+}
+# Upload column names of the finance texts.
+FINANCE_TEXTS = {
+    "financial_product": ["financial_product", "product_type", "product_name", "account_type", "card_type", "loan_type", "fund_type", "금융상품", "상품유형"],
+    "risk_grade": ["risk_grade", "credit_grade", "리스크등급", "신용등급"],
+    "account_status": ["account_status", "relationship_status", "status", "계좌상태", "고객상태"],
+    "income_band": ["income_band", "소득구간"],
+}

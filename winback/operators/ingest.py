@@ -215,27 +215,36 @@ def first_name(df: DataFrame, names: list[str]) -> str | None:
     return next((low[n] for n in names if n in low), None)
 
 
+def commonest(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(customer_id, name): the commonest text of each customer, ties to the first in the alphabet, without holding all texts of a customer."""
+    n = df.where(F.col(column).isNotNull()).groupBy("customer_id", F.col(column).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy("customer_id").agg(F.min_by("_v", F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))).alias(name))
+
+
 def known_columns(df: DataFrame) -> DataFrame:
     """Common upload columns under their many names to standard per-customer columns."""
-    pick = lambda *n: first_name(df, list(n))
-    amount, disc = pick("amount", "net_amount", "transaction_amount"), pick("discount_amount", "discount", "coupon_discount")
-    exposed, used = pick("coupon_exposure", "coupon_exposed", "coupon_sent"), pick("coupon_used", "coupon_use", "coupon_redeemed")
-    campaign, sess, pages = pick("campaign_id", "campaign", "promotion_id", "coupon_id"), pick("session_duration_sec", "session_duration", "duration_sec"), pick("page_views", "pageviews", "views")
-    reason = pick("refund_reason", "return_reason", "cancel_reason")
-    aggs = [F.sum(F.coalesce(F.col(amount).cast("double"), F.lit(0.0))).alias("_amount") if amount else F.lit(0.0).alias("_amount"),
-            F.sum(F.coalesce(F.col(disc).cast("double"), F.lit(0.0))).alias("_disc") if disc else F.lit(0.0).alias("_disc")]
-    aggs.append(F.sum(flag(F.col(exposed)) if exposed else flag(F.col(campaign), True) if campaign else F.lit(0)).alias("_exp"))
-    aggs.append(F.sum(flag(F.col(used)) if used else flag(F.col(disc)) if disc else F.lit(0)).alias("_red"))
-    if sess:
-        aggs.append(F.avg(sess).alias("avg_session_duration_sec_uploaded"))
-    if pages:
-        aggs.append(F.avg(pages).alias("pageviews_per_session_uploaded"))
+    at = {k: first_name(df, names) for k, names in vocab.KNOWN_COLUMNS.items()}
+    number = lambda k: F.coalesce(F.col(at[k]).try_cast("double"), F.lit(0.0))
+    aggs = [F.sum(number("amount")).alias("_amount") if at["amount"] else F.lit(0.0).alias("_amount"),
+            F.sum(number("discount")).alias("_disc") if at["discount"] else F.lit(0.0).alias("_disc")]
+    aggs.append(F.sum(flag(F.col(at["exposure"])) if at["exposure"] else flag(F.col(at["campaign"]), True) if at["campaign"] else F.lit(0)).alias("_exp"))
+    aggs.append(F.sum(flag(F.col(at["redeem"])) if at["redeem"] else flag(F.col(at["discount"])) if at["discount"] else F.lit(0)).alias("_red"))
+    for k, f, name in (("session", F.avg, "avg_session_duration_sec_uploaded"), ("pages", F.avg, "pageviews_per_session_uploaded"), ("order_count", F.max, "frequency"),
+                       ("registration_days", F.max, "customer_age_days_uploaded"), ("points", F.sum, "point_used_total")):
+        if at[k]:
+            aggs.append(F.coalesce(f(F.col(at[k]).try_cast("double")), F.lit(0.0)).alias(name))
+    reason = at["reason"]
     g = df.groupBy("customer_id").agg(*aggs)
-    if reason:          # the commonest reason, ties to the first in the alphabet, without holding all texts of a customer
-        n = df.where(F.col(reason).isNotNull()).groupBy("customer_id", F.col(reason).alias("r")).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("customer_id").orderBy(F.desc("n"), "r")
-        top = n.withColumn("k", F.row_number().over(w)).where("k = 1").select("customer_id", F.col("r").alias("refund_reason"))
-        g = g.join(top, "customer_id", "left")
+    if at["registration_days"]:
+        g = g.withColumn("customer_age_days_uploaded", F.greatest("customer_age_days_uploaded", F.lit(0.0)))
+    for k, name in (("reason", "refund_reason"), ("channel", "acquisition_channel"), *[(x, x) for x in ("gender", "age_group", "payment_method", "delivery_type")]):
+        if at[k]:
+            g = g.join(commonest(df, at[k], name), "customer_id", "left")
+            if k != "reason":
+                g = g.withColumn(name, F.coalesce(name, F.lit("unknown")))
+    if at["channel"]:
+        low = F.lower("acquisition_channel")
+        g = g.withColumn("device_type", F.when(low.rlike("mobile|app|ios|android"), "mobile").when(low.rlike("web|pc|desktop"), "web").otherwise(F.col("acquisition_channel")))
     exposures = F.greatest("_exp", "_red")
     dep = clip(F.col("_disc") / F.greatest("_amount", F.lit(1.0)), 0.0, 1.0)
     g = g.withColumns({"coupon_exposure_count": exposures, "discount_dependency_score": dep})
@@ -254,13 +263,21 @@ def known_columns(df: DataFrame) -> DataFrame:
 
 
 def finance(df: DataFrame) -> DataFrame:
-    """Balance, credit and delinquency signals."""
-    bal, score, late = F.coalesce("account_balance", F.lit(0.0)), F.coalesce("credit_score", F.lit(700.0)), F.coalesce("delinquency_days", F.lit(0))
-    g = df.groupBy("customer_id").agg(F.max(bal).alias("account_balance_current"), F.max(score).alias("credit_score"), F.max(late).alias("delinquency_days"))
-    return g.withColumns({
-        "service_contact_propensity": F.when(F.col("delinquency_days") > 0, 0.55).otherwise(0.1),
-        "credit_risk_score": clip((750 - F.col("credit_score")) / 350, 0.0, 1.0),
-        "balance_value_score": clip(F.log1p(F.greatest("account_balance_current", F.lit(0.0))) / 16.0, 0.0, 1.0)})
+    """Finance numbers (sums for totals and counts, else maxima) and texts under their many names, with the signals made of them."""
+    numbers = {k: c for k, names in vocab.FINANCE_NUMBERS.items() if (c := first_name(df, names))}
+    texts = {k: c for k, names in vocab.FINANCE_TEXTS.items() if (c := first_name(df, names))}
+    gather = lambda k: F.sum if k.endswith(("_total", "_count")) else F.max
+    g = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_rows"), *[F.coalesce(gather(k)(F.col(c).try_cast("double")), F.lit(0.0)).alias(k) for k, c in numbers.items()]).drop("_rows")
+    for name, c in texts.items():
+        g = g.join(commonest(df, c, name), "customer_id", "left").withColumn(name, F.coalesce(name, F.lit("unknown")))
+    if "delinquency_days" in numbers:
+        contact = F.when(F.col("delinquency_days") > 0, 0.55).otherwise(0.1)
+        g = g.withColumns({"service_contact_propensity": contact, "support_contact_propensity": contact})
+    if "credit_score" in numbers:
+        g = g.withColumn("credit_risk_score", clip((750 - F.col("credit_score")) / 350, 0.0, 1.0))
+    if balance := next((k for k in ("account_balance_current", "avg_balance") if k in numbers), None):
+        g = g.withColumn("balance_value_score", clip(F.log1p(F.greatest(F.col(balance), F.lit(0.0))) / 16.0, 0.0, 1.0))
+    return g
 
 
 def finance_event_names(kind: Column) -> Column:

@@ -199,12 +199,45 @@ def flag_sum(spark, d):
     return keyed(spark, d).groupBy("customer_id").agg(F.sum(I.flag(F.col("coupon_used"))).alias("used"), F.sum(I.flag(F.col("campaign_id"), True)).alias("campaigns"))
 
 
-@query("finance_enrich", """SELECT c_custkey customer_id, c_acctbal account_balance_current, CASE WHEN c_acctbal < 0 THEN 0.55 ELSE 0.1 END::DOUBLE service_contact_propensity, round(least(greatest((750 - (600 + c_custkey % 200)) / 350.0, 0), 1), 6)::DOUBLE credit_risk_score,
- round(least(ln(1 + greatest(c_acctbal, 0.0)) / 16.0, 1.0), 6) balance_value_score FROM customer""")
+def _mode(col, source):
+    """The commonest text of each customer, ties to the first in the alphabet."""
+    return f"(SELECT customer_id, {col} FROM (SELECT customer_id, {col}, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, {col}) k FROM {source} WHERE {col} IS NOT NULL GROUP BY customer_id, {col}) WHERE k = 1)"
+
+
+cte("c_bank", """SELECT o_custkey customer_id, c_acctbal balance, o_totalprice card_amount, (600 + c_custkey % 200)::DOUBLE credit_score, CASE WHEN c_acctbal < 0 THEN 30 ELSE 0 END dpd, (o_orderkey % 3)::INTEGER app_login_count,
+ c_custkey % 48 relationship_months, o_totalprice * 2 outstanding_balance, o_orderpriority account_type, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END relationship_status, c_mktsegment credit_grade,
+ CASE o_orderstatus WHEN 'F' THEN 'Mobile App' WHEN 'O' THEN 'Web' ELSE 'call' END channel, (o_orderkey % 11)::INTEGER points_used, c_custkey % 7 orders_count, c_custkey % 900 customer_age_days, o_orderpriority payment_method
+ FROM orders JOIN customer ON c_custkey = o_custkey""")
+
+
+def bank(spark, d):
+    """Account rows under names other than the first of each family."""
+    o, c = A.table(spark, d, "orders"), A.table(spark, d, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    return j.select(F.col("o_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"), F.col("o_totalprice").alias("card_amount"), (600 + F.col("c_custkey") % 200).cast("double").alias("credit_score"),
+                    F.when(F.col("c_acctbal") < 0, 30).otherwise(0).alias("dpd"), (F.col("o_orderkey") % 3).cast("int").alias("app_login_count"), (F.col("c_custkey") % 48).alias("relationship_months"),
+                    (F.col("o_totalprice") * 2).alias("outstanding_balance"), F.col("o_orderpriority").alias("account_type"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("relationship_status"),
+                    F.col("c_mktsegment").alias("credit_grade"), F.when(F.col("o_orderstatus") == "F", "Mobile App").when(F.col("o_orderstatus") == "O", "Web").otherwise("call").alias("channel"),
+                    (F.col("o_orderkey") % 11).cast("int").alias("points_used"), (F.col("c_custkey") % 7).alias("orders_count"), (F.col("c_custkey") % 900).alias("customer_age_days"), F.col("o_orderpriority").alias("payment_method"))
+
+
+@query("finance_enrich", f"""SELECT b.*, coalesce(p.account_type, 'unknown') financial_product, coalesce(s.relationship_status, 'unknown') account_status, coalesce(g.credit_grade, 'unknown') risk_grade FROM (
+ SELECT customer_id, max(balance) account_balance_current, round(sum(card_amount), 4) card_spend_total, max(credit_score) credit_score, max(dpd)::DOUBLE delinquency_days, sum(app_login_count)::DOUBLE digital_login_count,
+ max(relationship_months)::DOUBLE tenure_months, round(max(outstanding_balance), 4) loan_balance, CASE WHEN max(balance) < 0 THEN 0.55 ELSE 0.1 END::DOUBLE service_contact_propensity,
+ round(least(greatest((750 - max(credit_score)) / 350.0, 0), 1), 6)::DOUBLE credit_risk_score, round(least(ln(1 + greatest(max(balance), 0.0)) / 16.0, 1.0), 6) balance_value_score FROM c_bank GROUP BY 1) b
+ LEFT JOIN {_mode("account_type", "c_bank")} p USING (customer_id) LEFT JOIN {_mode("relationship_status", "c_bank")} s USING (customer_id) LEFT JOIN {_mode("credit_grade", "c_bank")} g USING (customer_id)""")
 def finance_enrich(spark, d):
-    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("account_balance"), (600 + F.col("c_custkey") % 200).cast("double").alias("credit_score"),
-                                             F.when(F.col("c_acctbal") < 0, 30).otherwise(0).alias("delinquency_days"))
-    return I.finance(c).select("customer_id", "account_balance_current", "service_contact_propensity", F.round("credit_risk_score", 6).alias("credit_risk_score"), F.round("balance_value_score", 6).alias("balance_value_score"))
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return I.finance(bank(spark, d)).select(
+        "customer_id", "account_balance_current", r("card_spend_total", 4), "credit_score", "delinquency_days", "digital_login_count", "tenure_months", r("loan_balance", 4), "service_contact_propensity",
+        r("credit_risk_score"), r("balance_value_score"), "financial_product", "account_status", "risk_grade")
+
+
+@query("known_columns_profile", f"""SELECT b.*, coalesce(c.channel, 'unknown') acquisition_channel, CASE WHEN lower(c.channel) LIKE '%app%' THEN 'mobile' WHEN lower(c.channel) LIKE '%web%' THEN 'web' ELSE coalesce(c.channel, 'unknown') END device_type,
+ coalesce(p.payment_method, 'unknown') payment_method FROM (SELECT customer_id, max(orders_count)::DOUBLE frequency, max(customer_age_days)::DOUBLE customer_age_days_uploaded, sum(points_used)::DOUBLE point_used_total FROM c_bank GROUP BY 1) b
+ LEFT JOIN {_mode("channel", "c_bank")} c USING (customer_id) LEFT JOIN {_mode("payment_method", "c_bank")} p USING (customer_id)""")
+def known_columns_profile(spark, d):
+    return I.known_columns(bank(spark, d)).select("customer_id", "frequency", "customer_age_days_uploaded", "point_used_total", "acquisition_channel", "device_type", "payment_method")
 
 
 _fin = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.FINANCE_EVENTS.items()) + f" ELSE '{V.FINANCE_OTHER}' END"
