@@ -199,8 +199,11 @@ def align(one: list, two: list) -> list:
     if one == two:
         return one
     one, two = grouped(one, two), grouped(two, one)
+    left, right = [n[0] for n in one], [n[0] for n in two]
+    if left == right:
+        return folded([merged(x, y) for x, y in zip(one, two)])
     out: list = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, [n[0] for n in one], [n[0] for n in two], autojunk=False).get_opcodes():
+    for op, a, b, c, d in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if op == "equal":
             out += [merged(x, y) for x, y in zip(one[a:b], two[c:d])]
         else:
@@ -251,20 +254,22 @@ def main_text(page: str, where: str, template: frozenset) -> str:
 
 def learned(own: DataFrame) -> DataFrame:
     """(host, region, template): what the pages of a host have in common. template holds at most twice the texts of a page."""
-    def shapes(batches):
+    def seen(batches):
+        """The stream of each page, and its texts outside a marked article, once a page."""
         for b in batches:
-            yield pd.DataFrame({"host": b["host"], "stream": [json.dumps(Walk(p or "").shape()) for p in b["html"]]})
-
-    def loose(batches):
-        for b in batches:
-            rows = [(host, t) for host, page in zip(b["host"], b["html"]) for t in {t for t, regions in Walk(page or "").blocks if not regions & {"article", "main"}}]
-            yield pd.DataFrame(rows, columns=["host", "block"], dtype=object)
+            rows = []
+            for host, page in zip(b["host"], b["html"]):
+                walk = Walk(page or "")
+                rows.append((host, True, json.dumps(walk.shape())))
+                rows += [(host, False, t) for t in {t for t, regions in walk.blocks if not regions & {"article", "main"}}]
+            yield pd.DataFrame(rows, columns=["host", "is_stream", "value"], dtype=object).astype({"is_stream": bool})
 
     where = F.udf(region, "string")
-    found = cut(wrappers(own.select("host", "html").mapInPandas(shapes, "host string, stream string")), "page-wrappers")
+    counts = cut(own.select("host", "html").mapInPandas(seen, "host string, is_stream boolean, value string").groupBy("host", "is_stream", "value").agg(F.count("*").alias("n")), "page-streams")
+    found = cut(wrappers(counts.where("is_stream").select("host", F.col("value").alias("stream"))), "page-wrappers")
     size = own.groupBy("host").agg(F.countDistinct(F.xxhash64("html")).alias("pages")).where(F.col("pages") >= MANY_PAGES)
-    common = (own.select("host", "html").mapInPandas(loose, "host string, block string").groupBy("host", "block").agg(F.count("*").alias("n"))
-              .join(size, "host").where(2 * F.col("n") > F.col("pages")).groupBy("host").agg(F.collect_set("block").alias("template")))
+    common = (counts.where("NOT is_stream").join(size, "host").where(2 * F.col("n") > F.col("pages"))
+              .groupBy("host").agg(F.collect_set("value").alias("template")))
     return found.join(common, "host", "left").select("host", where("wrapper").alias("region"), F.coalesce("template", F.array().cast("array<string>")).alias("template"))
 
 
