@@ -309,6 +309,20 @@ def dose_effect_predict(spark, d):
     return dose_scored(spark, d).select("customer_id", *R6("effect_low", "effect_mid", "effect_high"))
 
 
+@query("effect_learned_dose")
+def effect_learned_dose(spark, d):
+    """Learned-effect economics with the effect of each offer from the fitted dose response; the uplift score stands in where a customer has no fit."""
+    from winback.operators import policy as P
+    from winback.plans import decision as D
+    from winback.plans.summary import survival_scores
+    base = P.action_base(P.with_strategy(D.segments(spark, d)), survival_scores(spark, d))
+    fitted = dose_scored(spark, d).select("customer_id", "effect_low", "effect_mid", "effect_high")
+    kind = F.col("intervention_intensity")
+    effect = F.coalesce(F.when(kind == "low", F.col("effect_low")).when(kind == "mid", F.col("effect_mid")).otherwise(F.col("effect_high")), F.col("uplift_score"))
+    return P.learned_effect(P.explode_intensities(base).join(fitted, "customer_id", "left"), effect).select(
+        "customer_id", "intervention_intensity", *R6("dose_response_incremental_effect", "intensity_effect_multiplier"), F.round("expected_incremental_profit", 2).alias("expected_incremental_profit"))
+
+
 # lifetime value -----------------------------------------------------------------------------------------------------
 
 ANCHOR = "2000-12-31"
