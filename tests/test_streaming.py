@@ -92,3 +92,17 @@ def test_deferral_is_decided_at_the_customers_turn(spark):
         F.lit(50.0).alias("expected_incremental_profit"), F.lit(1.0).alias("expected_roi"), F.lit(1.0).alias("action_priority"), F.lit(1).alias("choice"))
     got = {r["customer_id"]: r["action_queue_status"] for r in closed_loop(ch, 100.0, 2).collect()}
     assert got == {1: "queued", 2: "deferred_budget_guardrail", 3: "queued", 4: "deferred_channel_guardrail"}
+
+
+def test_decay_in_one_go_equals_step_by_step():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    hours = np.cumsum(np.append(rng.random(50) * 40, rng.random(6) * 30000))
+    hit = rng.random(len(hours)) < 0.5
+    for half in (18.0, 96.0):
+        value, last, want = 0.7, 0.0, []
+        for h, x in zip(hours, hit):
+            value = value * 0.5 ** ((h - last) / half) + x
+            last = h
+            want.append(value)
+        assert np.allclose(signals.decayed(hours, hit, half, 0.7), want, rtol=1e-12, atol=1e-300)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,9 +101,23 @@ def replay(events: DataFrame, base: DataFrame) -> DataFrame:
     return s.withColumn("reasons", triggers(F.col("churn_score"), F.col("previous_score"), F.col("event_type"), inactivity(F.lit(0.0))))
 
 
+def decayed(hours: np.ndarray, hit: np.ndarray, half: float, start: float) -> np.ndarray:
+    """A signal after each of a run of events: `hours` since the start never fall, `hit` tells which events add one, `start` is its value at hour 0."""
+    out = np.empty(len(hours))
+    part = np.floor(hours / (STRETCH * half)).astype(np.int64)
+    at, value = 0.0, start
+    for lo in np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist():
+        hi = int(np.searchsorted(part, part[lo], "right"))
+        since = (hours[lo:hi] - hours[lo]) / half
+        value *= 0.5 ** ((hours[lo] - at) / half)
+        out[lo:hi] = (value + np.cumsum(hit[lo:hi] * np.exp2(since))) * np.exp2(-since)
+        at, value = float(hours[hi - 1]), float(out[hi - 1])
+    return out
+
+
 class SignalProcessor(StatefulProcessor):
-    """One customer's state. Events of a batch are applied in time order; the last time kept is a maximum, so a late
-    event decays nothing and does not turn the clock back."""
+    """One customer's state. Events of a batch are applied in time order, all at once; the last time kept is a maximum, so a late
+    event decays nothing and does not turn the clock back. The inactivity rule needs no event and is left to `signals_at` with `score`."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("signals", STATE)
@@ -114,25 +129,25 @@ class SignalProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         st = self._state.get() if self._state.exists() else (0.5, 0.5, 0, 0, *[0.0] * len(NAMES))
         base, prev, last, seen = float(st[0]), float(st[1]), int(st[2]), int(st[3])
-        sig = [float(v) for v in st[4:]]
         frame = pd.concat(list(rows)).sort_values(["event_time", "event_id"])
-        quiet = 0.22 / (1 + math.exp(7.0 / 3.0))
-        out = []
-        for r in frame.itertuples(index=False):
-            now = int(r.event_time.value // 1000)
-            gap = max(now - last, 0) / 3.6e9 if seen else 0.0
-            sig = [v * 0.5 ** (gap / half) + (r.event_type == kind) for v, (_, kind, half, _) in zip(sig, SIGNALS)]
-            cur = min(max(base + quiet + sum(w * v for v, (_, _, _, w) in zip(sig, SIGNALS)), 0.001), 0.999)
-            s = dict(zip(NAMES, sig))
-            why = [name for name, hit in (
-                ("critical_risk_cross", cur >= CRITICAL > prev), ("risk_threshold_cross", cur >= RISK > prev), ("score_spike", cur - prev >= SPIKE),
-                (f"{r.event_type}_event", r.event_type in ("remove_from_cart", "support_contact") and cur >= RISK),
-                ("support_and_cart_remove_without_purchase", s["support_signal"] >= 0.85 and s["cart_remove_signal"] >= 0.85 and s["purchase_signal"] <= 0.15)) if hit]
-            last, seen = max(last, now), seen + 1
-            out.append((key[0], r.event_id, r.event_time, r.event_type, cur, prev, ", ".join(why), seen, *sig))
-            prev = cur
-        self._state.update((base, prev, last, seen, *sig))
-        yield pd.DataFrame(out, columns=["customer_id", "event_id", "event_time", "event_type", "churn_score", "previous_score", "reasons", "seen", *NAMES])
+        now = frame["event_time"].astype("int64").to_numpy() // 1000 if frame["event_time"].dtype == "datetime64[ns]" else frame["event_time"].astype("datetime64[us]").astype("int64").to_numpy()
+        kinds = frame["event_type"].to_numpy()
+        clock = np.maximum.accumulate(np.maximum(now, last) if seen else now)
+        hours = (clock - (last if seen else clock[0])) / 3.6e9
+        sig = {n: decayed(hours, kinds == kind, half, float(v)) for v, (n, kind, half, _) in zip(st[4:], SIGNALS)}
+        cur = np.clip(base + 0.22 / (1 + math.exp(7.0 / 3.0)) + sum(w * sig[n] for n, _, _, w in SIGNALS), 0.001, 0.999)
+        before = np.append(prev, cur[:-1])
+        rules = [
+            ("critical_risk_cross", (cur >= CRITICAL) & (before < CRITICAL)), ("risk_threshold_cross", (cur >= RISK) & (before < RISK)), ("score_spike", cur - before >= SPIKE),
+            *[(f"{k}_event", (kinds == k) & (cur >= RISK)) for k in ("remove_from_cart", "support_contact")],
+            ("support_and_cart_remove_without_purchase", (sig["support_signal"] >= 0.85) & (sig["cart_remove_signal"] >= 0.85) & (sig["purchase_signal"] <= 0.15))]
+        why = np.full(len(frame), "", object)
+        for name, hit in rules:
+            why[hit] = np.where(why[hit] == "", name, why[hit] + ", " + name)
+        total = seen + 1 + np.arange(len(frame))
+        self._state.update((base, float(cur[-1]), max(last, int(clock[-1])), int(total[-1]), *[float(sig[n][-1]) for n in NAMES]))
+        yield pd.DataFrame({"customer_id": key[0], "event_id": frame["event_id"].to_numpy(), "event_time": frame["event_time"].to_numpy(), "event_type": kinds, "churn_score": cur,
+                            "previous_score": before, "reasons": why, "seen": total, **sig})
 
     def close(self) -> None:
         pass
