@@ -173,16 +173,25 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: Parts in which the edges of one node meet its smallest neighbour.
+SALTS = 16
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): each node that has an edge, with the smallest node it can reach.
 
     edges has long columns a and b. Large-star and small-star steps in turn make every component a star round its smallest
-    node in a logarithmic number of rounds. The smallest neighbour of a node is a partially aggregated minimum, so a busy
-    node isn't gathered anywhere; each round is written to the shared folder, which also survives a lost executor.
+    node in a logarithmic number of rounds. The smallest neighbour of a node is a partially aggregated minimum, and it is handed
+    back to the node's edges in SALTS parts, so a busy node isn't gathered anywhere; each round is written to the shared folder,
+    which also survives a lost executor.
     """
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
+    def with_least(e: DataFrame) -> DataFrame:
+        parts = least(e).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(parts, ["u", "salt"]).drop("salt")
+
     def write(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = cut(df.distinct(), name)
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -190,7 +199,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now, seen = write(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = large.join(least(large), "u")
         now, new = write(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v"))
         if new == seen:
