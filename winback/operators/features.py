@@ -327,15 +327,25 @@ def winsorise_impute(df: DataFrame, cols: list[str], text: list[str] | None = No
     return df.withColumns(out)
 
 
+def exposure_features(exposures: DataFrame, as_of: str, mid: int = 30) -> DataFrame:
+    """Coupons shown in the last window and the one before, and their cost."""
+    end = _ts(as_of)
+    before, t = end - F.expr(f"INTERVAL {mid} DAYS"), F.col("exposure_time")
+    return exposures.groupBy("customer_id").agg(
+        F.count_if(in_window(t, end, mid)).alias(f"exposure_count_{mid}d"), F.count_if(in_window(t, before, mid)).alias(f"exposure_count_prev_{mid}d"),
+        F.sum(F.when(in_window(t, end, mid), F.col("coupon_cost")).otherwise(0)).cast("double").alias(f"coupon_cost_{mid}d"))
+
+
 def feature_matrix(customers: DataFrame, events: DataFrame, orders: DataFrame, as_of: str, short: int = 14, mid: int = 30,
-                   long: int = 90, n_recent: int = 10) -> DataFrame:
-    """The joined per-customer feature table. Each part is aggregated to one row per customer before it is joined."""
+                   long: int = 90, n_recent: int = 10, exposures: DataFrame | None = None, parts: list[DataFrame] | None = None) -> DataFrame:
+    """The joined per-customer feature table. Each part is aggregated to one row per customer before it is joined; `parts` are further
+    tables with one row per customer (states, time of day, clusters)."""
     end = _ts(as_of)
     out = customers
     for part in (event_features(events, as_of, short, mid, long), active_days(events, as_of, mid), order_features(orders, as_of, mid, long),
                  median_gap(orders, as_of), session_features(events, as_of, mid), session_conversion(events, orders, as_of, 2 * mid),
-                 recent_sequence(events, as_of, n_recent)):
-        out = out.join(part, "customer_id", "left")
+                 recent_sequence(events, as_of, n_recent), *([exposure_features(exposures, as_of, mid)] if exposures is not None else []), *(parts or [])):
+        out = out.join(part.select("customer_id", *[c for c in part.columns if c not in out.columns]), "customer_id", "left")
     counts = [c for c, t in out.dtypes if c not in customers.columns and t in ("bigint", "int")]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
     conv = lambda tag: ratio(F.col(f"frequency_{tag}"), F.col(f"searches_{tag}"))
@@ -354,4 +364,9 @@ def feature_matrix(customers: DataFrame, events: DataFrame, orders: DataFrame, a
         f"monetary_per_visit_{long}d": F.round(ratio(F.col(f"monetary_{long}d"), F.col(f"visits_{long}d")), 6),
         "recent_event_sequence": F.coalesce("recent_event_sequence", F.lit("no_history")),
         f"dominant_event_type_{long}d": F.coalesce(f"dominant_event_type_{long}d", F.lit("none"))})
+    if exposures is not None:
+        opened = lambda tag: ratio(F.col(f"coupon_open_{tag}"), F.col(f"exposure_count_{tag}"))
+        out = out.withColumns({
+            f"coupon_cost_{d}": F.coalesce(f"coupon_cost_{d}", F.lit(0.0)), f"coupon_open_rate_{d}": F.round(opened(d), 6), f"coupon_open_rate_{p}": F.round(opened(p), 6),
+            "coupon_response_change_rate": F.round(change_rate(opened(d), opened(p)), 6)})
     return out.drop("last_event_time", "last_purchase_time")

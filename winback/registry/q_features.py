@@ -137,8 +137,13 @@ def session_conversion(spark, d):
 
 
 def fm(spark, d):
-    return staged(spark, d, "features", lambda: X.feature_matrix(
-        A.customers(spark, d).select("customer_id", "persona", "signup_date"), A.events(spark, d), A.event_orders(spark, d), END, S, M, L))
+    """The feature table with exposures, times of day, behaviour cluster and state."""
+    def build():
+        cluster = behaviour_cluster(spark, d)
+        further = [time_of_day_ratios(spark, d), cluster.select("customer_id", *[c for c in cluster.columns if c != "customer_id"]), state_at_asof(spark, d)]
+        return X.feature_matrix(A.customers(spark, d).select("customer_id", "persona", "signup_date"), A.events(spark, d), A.event_orders(spark, d), END, S, M, L,
+                                exposures=A.exposures(spark, d), parts=further)
+    return staged(spark, d, "features", build)
 
 
 @query("conversion_rates", f"""SELECT c.customer_id, {div(f'frequency_{M}d', f'searches_{M}d')} search_to_purchase_conversion_{M}d, {div(f'frequency_prev_{M}d', f'searches_prev_{M}d')} search_to_purchase_conversion_prev_{M}d,
@@ -150,6 +155,16 @@ def conversion_rates(spark, d):
                                "search_purchase_conv_change_rate")
 
 
+_win = lambda c, end, n: f"{c} > {end} - INTERVAL {n} DAY AND {c} <= {end}"
+_END = f"TIMESTAMP '{params.AS_OF_ORDERS}'"
+
+
+@query("exposure_features", f"""SELECT customer_id, count(*) FILTER ({_win('exposure_time', _END, 30)}) exposure_count_30d, count(*) FILTER ({_win('exposure_time', f"({_END} - INTERVAL 30 DAY)", 30)}) exposure_count_prev_30d,
+ coalesce(sum(coupon_cost) FILTER ({_win('exposure_time', _END, 30)}), 0)::DOUBLE coupon_cost_30d FROM c_exposures GROUP BY 1""")
+def exposure_features(spark, d):
+    return X.exposure_features(A.exposures(spark, d), params.AS_OF_ORDERS, 30)
+
+
 @query("recent_sequence", "SELECT * FROM c_seq")
 def recent_sequence(spark, d):
     return X.recent_sequence(A.events(spark, d), END)
