@@ -92,13 +92,18 @@ def value_cdf(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Da
     """(by, col, value, n_value, n_upto, n_total) for every distinct non-NULL value of each column.
 
     Rows are pre-aggregated to distinct values before anything is ordered, so ties, however many,
-    cost one row each.
+    cost one row each. With `by` a group's distinct values are ordered in one window, which may spill; without it
+    the table is cut into ranges.
     """
     by = by or []
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value"))
                                 for c in cols])).alias("p")
     counts = (df.select(*by, pairs).select(*by, "p.col", "p.value").where("value IS NOT NULL")
               .groupBy(*by, "col", "value").agg(F.count(F.lit(1)).alias("n_value")))
+    if by:
+        group = Window.partitionBy(*by, "col")
+        upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(*by, "col", "value", "n_value", F.sum("n_value").over(upto).alias("n_upto"), F.sum("n_value").over(group).alias("n_total"))
     ranges = range_count(df.count())
     probs = [i / ranges for i in range(1, ranges)]
     rng = F.lit(0)
@@ -108,16 +113,16 @@ def value_cdf(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Da
             bounds = sorted(set(probe[f"q{i}"] or []))
             rng = F.when(F.col("col") == c, nested_range(F.col("value"), [F.lit(b) for b in bounds])).otherwise(rng)
     counts = counts.withColumn("_range", rng)
-    run = Window.partitionBy(*by, "col", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("col", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inner = counts.withColumn("_run", F.sum("n_value").over(run))
-    sums = counts.groupBy(*by, "col", "_range").agg(F.sum("n_value").alias("_s"))
-    grp = Window.partitionBy(*by, "col")
-    offsets = sums.select(*by, "col", "_range",
+    sums = counts.groupBy("col", "_range").agg(F.sum("n_value").alias("_s"))
+    grp = Window.partitionBy("col")
+    offsets = sums.select("col", "_range",
                           F.coalesce(F.sum("_s").over(grp.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
                                      F.lit(0)).alias("_o"),
                           F.sum("_s").over(grp).alias("n_total"))
-    return inner.join(offsets, [*by, "col", "_range"]).select(
-        *by, "col", "value", "n_value", (F.col("_run") + F.col("_o")).alias("n_upto"), "n_total")
+    return inner.join(offsets, ["col", "_range"]).select(
+        "col", "value", "n_value", (F.col("_run") + F.col("_o")).alias("n_upto"), "n_total")
 
 
 def with_rank_pct(df: DataFrame, cols: dict[str, str], key: str = "customer_id") -> DataFrame:
