@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from winback.llm.common import components, cut, forest, only, sorted_groups
 
+#: Vectors of a tile at most, and bytes of its matrix in single precision.
 TILE = 4096
+TILE_BYTES = 1 << 20
 STRIP = 512
 #: Leading components that bound a tile.
 BOX = 8
@@ -51,6 +53,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def tile_rows(dim: int) -> int:
+    return max(1, min(TILE, TILE_BYTES // (4 * dim)))
+
+
 def by_dim(batch: pa.RecordBatch):
     dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
     for d in np.unique(dims):
@@ -77,7 +83,7 @@ def bases(classes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def tiles(classes: DataFrame) -> DataFrame:
-    """(tile, dim, size, low, high, nodes, counts, turned, given): blocks of at most TILE vectors, neighbours along the first component."""
+    """(tile, dim, size, low, high, nodes, counts, turned, given): blocks of at most TILE vectors and TILE_BYTES, neighbours along the first component."""
     basis = bases(classes)
 
     def first(batches):
@@ -90,7 +96,7 @@ def tiles(classes: DataFrame) -> DataFrame:
     sizes = {r["dim"]: r["rows"] for r in placed.groupBy("dim").agg(F.count("*").alias("rows")).collect()}
     bounds: dict[int, np.ndarray] = {}
     for d, rows in sizes.items():
-        parts = -(-rows // TILE)
+        parts = -(-rows // tile_rows(d))
         probes = [k / parts for k in range(1, parts)]
         bounds[d] = np.array(placed.where(F.col("dim") == d).agg(F.percentile_approx("c", probes, max(10_000, 20 * parts))).first()[0] if probes else [])
     fields = [("tile", pa.int64()), ("dim", pa.int32()), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
@@ -104,8 +110,9 @@ def tiles(classes: DataFrame) -> DataFrame:
 
     def build(batches):
         for g in sorted_groups(batches, "part"):
-            for k, lo in enumerate(range(0, g.num_rows, TILE)):
-                t = g.slice(lo, TILE).combine_chunks()
+            rows = tile_rows(g["dim"][0].as_py())
+            for k, lo in enumerate(range(0, g.num_rows, rows)):
+                t = g.slice(lo, rows).combine_chunks()
                 d = t["dim"][0].as_py()
                 given = matrix(t["vec"].combine_chunks())
                 y = unit(given) @ basis[d]
