@@ -30,6 +30,7 @@ def test_text_bytes_and_slices():
         assert [raw[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:])] == texts
     assert list(common.slices(np.array([0, 2, 2, 2, 4, 7]), 3)) == [(0, 3), (3, 4), (4, 5)]
     assert list(common.slices(np.array([0]))) == []
+    assert list(common.slices(np.zeros(8, np.int64), 3, 3)) == [(0, 3), (3, 6), (6, 7)]
 
 
 def test_runs_stay_in_rows():

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from winback.sources.staging import cut  # noqa: E402
 
 U64 = np.uint64
-#: Text bytes handled at once inside a task; a single longer text is handled alone.
-SLICE_BYTES = 1 << 20
+#: Text bytes and rows handled at once inside a task; a single longer text is handled alone.
+SLICE_BYTES = 1 << 18
+SLICE_ROWS = 256
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +56,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold at most so many bytes each, or one row."""
+def slices(at: np.ndarray, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold at most so many bytes and rows each, or one row."""
     row, n = 0, len(at) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        end = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1))
         yield row, end
         row = end
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winback.llm.common import U64, cut, mix, only, row_of, slices, sorted_groups, span_hashes, text_bytes
+from winback.llm.common import SLICE_BYTES, U64, cut, mix, only, row_of, slices, sorted_groups, span_hashes, text_bytes
 
 LENGTH = 50
 #: Bytes of the ranks that are made locally.
@@ -95,7 +95,7 @@ class Runs:
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, length: int) -> None:
         starts, ends, docs, ranks = [], [], [], []
-        for lo, hi in slices(at, 1 << 18):
+        for lo, hi in slices(at, rows=1 << 30):
             a, part = at[lo], raw[at[lo]: at[hi]]
             if len(part) < length:
                 continue
@@ -128,6 +128,18 @@ def dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, kept, np.append(first, len(order))
 
 
+def run_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the runs' bytes; starts are in order, and the text is passed in parts."""
+    out = np.empty(len(start), U64)
+    lo = 0
+    while lo < len(start):
+        a = int(start[lo])
+        hi = int(np.searchsorted(start, a + SLICE_BYTES, "left"))
+        out[lo:hi] = span_hashes(raw[a: int(end[lo:hi].max())], start[lo:hi] - a, end[lo:hi] - a)
+        lo = hi
+    return out
+
+
 def to_blob(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -159,7 +171,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             _, at = text_bytes(b.column(1))
-            for lo, hi in slices(at, BLOCK_BYTES):
+            for lo, hi in slices(at, BLOCK_BYTES, rows=1 << 30):
                 if held and size + at[hi] - at[lo] > BLOCK_BYTES:
                     yield flush()
                 held.append(b.slice(lo, hi - lo))
@@ -249,7 +261,7 @@ def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: i
             end = np.minimum(start + RUN, runs.end[pick])
             doc, name = ids[runs.doc[pick]], runs.name[pick]
             # Runs of equal bytes: those of the smallest document are sent; the others are known to repeat.
-            content = span_hashes(raw, start, end + length - 1)
+            content = run_names(raw, start, end + length - 1)
             by = np.lexsort((doc, end - start, content))
             head = np.ones(len(by), bool)
             head[1:] = (content[by][1:] != content[by][:-1]) | ((end - start)[by][1:] != (end - start)[by][:-1])
