@@ -2,8 +2,8 @@
 
 Bounded-space online best-fit: a task keeps a fixed number of open bins. An integer is used as a bitset with one bit per free
 space, next to a list of the open bins with that much room; the smallest free space that still holds a piece is the
-lowest set bit at or above its length. When all places are taken, the fullest bin closes. Pieces pass through the task once, so memory is
-the open bins. Tokens are counted where the text is read; only lengths and checksums are shuffled, by doc_id.
+lowest set bit at or above its length. When all places are taken, the fullest bin closes. Pieces pass through the task once, in runs
+that are placed longest first, so memory is the open bins and one run. Tokens are counted where the text is read; only lengths and checksums are shuffled, by doc_id.
 
 Defined cases: a null or empty text is one token (the end id); a text longer than a sequence is cut, the first piece may be
 shorter; repeated doc_ids are packed row by row; an empty table gives no rows; further columns are ignored.
@@ -25,6 +25,8 @@ from winback.llm.common import only
 
 CAPACITY = 2048
 OPEN_BINS = 1024
+#: Pieces that are placed longest first before the next ones are looked at.
+RUN = 2048
 END_ID = 0
 _LOADED: dict[tuple[str, str], tuple] = {}
 
@@ -117,8 +119,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
     def run(batches):
         bins, base = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for b in batches:
-            placed = [bins.place(n) for n in b.column(b.schema.get_field_index("length")).to_pylist()]
-            at = np.array(placed, np.int64).reshape(-1, 2)
+            length = b.column(b.schema.get_field_index("length")).to_numpy()
+            at = np.empty((len(length), 2), np.int64)
+            for lo in range(0, len(length), RUN):
+                order = lo + np.argsort(-length[lo: lo + RUN], kind="stable")
+                at[order] = [bins.place(n) for n in length[order].tolist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at[:, 0] + base), pa.array(at[:, 1])], names=[*b.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
