@@ -64,3 +64,12 @@ def test_survival_falls_with_time_and_risk(spark):
     days = [f"survival_prob_{d}d" for d in (1, 30, 60, 90)]
     assert (got[days].diff(axis=1).iloc[:, 1:] <= 1e-12).all().all() and got[days].min().min() >= 0 and got[days].max().max() <= 1
     assert (got[days].diff().iloc[1:] <= 1e-12).all().all() and (got["predicted_median_time_to_churn_days"].diff().iloc[1:] <= 0).all()
+
+
+def test_survival_encoding(spark):
+    rows = [(i, None if i % 10 == 0 else float(i % 7), "common" if i % 2 else "other" if i % 4 else None) for i in range(200)] + [(500 + k, 1.0, f"odd{k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "customer_id long, x double, kind string")
+    got, cols = survival.encode(df, ["x"], ["kind"])
+    levels = {c for c in cols if c.startswith("kind_")}
+    assert {"kind_common", "kind_other", "kind_unknown"} <= levels and len(levels) <= 9
+    assert got.where("x IS NULL").isEmpty() and got.where("customer_id = 10").first()["x"] == 2.0 + (sorted(v for _, v, _ in rows if v is not None)[len([1 for _, v, _ in rows if v is not None]) // 2] - 2.0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winback.functions.ranking import nested_range, ordered_totals, range_count, tercile
+from winback.functions.ranking import exact_quantiles, nested_range, ordered_totals, range_count, tercile
 from winback.sources.staging import cut
 
 
@@ -67,9 +67,12 @@ def rare_collapse(df: DataFrame, col: str, max_levels: int = 8, min_share: float
 
 
 def encode(df: DataFrame, numeric: list[str], text: list[str]) -> tuple[DataFrame, list[str]]:
-    """Numbers and 0/1 level columns (first level dropped), NULLs as the mean."""
+    """Numbers with NULLs as the median, and 0/1 level columns (first level dropped). Rare levels are collapsed first, so few levels reach the driver."""
+    for c in text:
+        df = rare_collapse(df, c)
     levels = {c: sorted(r[0] for r in df.select(c).distinct().collect() if r[0] is not None) for c in text}
-    out = {c: F.col(c).cast("double") for c in numeric}
+    middle = {r["col"]: r["q0"] for r in exact_quantiles(df, numeric, [0.5]).collect()} if numeric else {}
+    out = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle.get(c, 0.0)))) for c in numeric}
     for c, vals in levels.items():
         out.update({f"{c}_{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v in vals[1:]})
     return df.withColumns(out), list(out)
