@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winback.functions.scalars import stable_unit
+
 from winback.sources.staging import staged
 
 # Event type of each raw type.
