@@ -16,7 +16,6 @@ fingerprint, null where only such rows have it, and links nothing; an empty tabl
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
