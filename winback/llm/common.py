@@ -5,6 +5,7 @@ Python code here works on one Arrow batch, or on a bounded slice of it, inside a
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 # One BLAS thread per Python worker: Spark already runs one worker per core.
@@ -39,6 +40,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, between one large piece of work and the next of a Python worker."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 # ---------------------------------------------------------------- text bytes
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +204,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
     def with_least(e: DataFrame) -> DataFrame:
-        parts = least(e).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(parts, ["u", "salt"]).drop("salt")
+        # one key column of both parts: keys u and salt apart would be dealt by u alone, as the minima are already
+        place = lambda salt: F.struct(F.col("u"), salt.cast("int").alias("salt"))
+        parts = least(e).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), place)).alias("key"), "m")
+        return e.withColumn("key", place(F.pmod(F.xxhash64("v"), F.lit(SALTS)))).join(parts, "key").drop("key")
 
     def write(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = cut(df.distinct(), name)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winback.llm.common import SLICE_BYTES, U64, cut, mix, only, row_of, slices, sorted_groups, span_hashes, text_bytes
+from winback.llm.common import SLICE_BYTES, U64, cut, give_back, mix, only, row_of, slices, sorted_groups, span_hashes, text_bytes
 
 LENGTH = 50
 #: Bytes of the ranks that are made locally.
@@ -227,6 +227,7 @@ def by_block(batches):
         for block, blob, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
             told = answers.values
             yield block, from_blob(blob), [] if told is None else list(zip(told.field("bucket").to_pylist(), told.field("answer")))
+            give_back()
 
 
 def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -288,6 +289,7 @@ def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: i
     def meet(batches):
         unpack = zstandard.ZstdDecompressor()
         for g in sorted_groups(batches, "bucket"):
+            give_back()
             bucket = g["bucket"][0].as_py()
             if bucket < 0:  # known already; on their way to their block
                 yield pa.RecordBatch.from_arrays([g["block"].combine_chunks(), pa.array([0] * g.num_rows, pa.int64()), g["runs"].combine_chunks()], schema=ANSWER)
@@ -331,12 +333,19 @@ def repeated_windows(whole: DataFrame, ranks: DataFrame, length: int, buckets: i
 def covered(rows: pa.RecordBatch, answers: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, row offsets, which bytes go) of a block."""
     raw, at = text_bytes(rows.column(1))
-    change = np.zeros(len(raw) + 1, np.int64)
+    change = np.zeros(len(raw) + 1, np.int32)
     for _, answer in answers:
         pairs = np.frombuffer(answer.as_buffer(), "<i8").reshape(-1, 2)
         np.add.at(change, pairs[:, 0], 1)
         np.add.at(change, pairs[:, 1] + length - 1, -1)
-    return raw, at, np.cumsum(change[:-1]) > 0
+    return raw, at, np.cumsum(change[:-1], out=change[:-1]) > 0
+
+
+def row_sums(member: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are members."""
+    upto = np.zeros(len(member) + 1, np.int32 if len(member) < 1 << 31 else np.int64)
+    np.cumsum(member, out=upto[1:])
+    return (upto[at[1:]] - upto[at[:-1]]).astype(np.int64)
 
 
 def marked(docs: DataFrame, length: int) -> DataFrame:
@@ -358,11 +367,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             first[1:] &= ~gone[:-1]
             edge = at[:-1][at[1:] > at[:-1]]
             first[edge] = gone[edge]
-            total = np.append(0, np.cumsum(gone))
-            spans = np.append(0, np.cumsum(first))
-            removed = total[at[1:]] - total[at[:-1]]
+            removed, spans = row_sums(gone, at), row_sums(first, at)
             digests = [hashlib.sha256((raw[a:b][~gone[a:b]] if n else raw[a:b]).tobytes()).hexdigest() for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), removed.tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(removed), pa.array(spans[at[1:]] - spans[at[:-1]]), pa.array(digests, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], schema=schema)
 
     own = only(docs, _id="doc_id", _text="text").select(F.col("_id").cast("long").alias("_id"), "_text")
     return marked(own, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -384,8 +391,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 lost = np.zeros(int(char[-1]) + 1, bool)
                 lost[char[gone]] = True
                 gone = lost[char]
-            removed = np.append(0, np.cumsum(gone))
-            removed = removed[at[1:]] - removed[at[:-1]]
+            removed = row_sums(gone, at)
             texts = [raw[a:b][~gone[a:b]].tobytes().decode() if n else old for old, a, b, n in zip(rows.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), removed.tolist())]
             stay = pa.array((removed == 0) | (removed < np.diff(at)))
             columns: list = [None] * len(names)
