@@ -84,6 +84,7 @@ def text_slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES) -> It
     raw, at = text_bytes(batch.column(batch.schema.get_field_index(name)))
     for lo, hi in slices(at, most):
         yield lo, hi, raw[at[lo]: at[hi]], at[lo: hi + 1] - at[lo]
+    give_back()
 
 
 def byte_class(word) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winback.llm.common import LOWER, only, row_of, slices, text_bytes, text_slices
+from winback.llm.common import LOWER, give_back, only, row_of, slices, text_bytes, text_slices
 
 UNKNOWN = "und"
 CLASSES = 64
@@ -150,6 +150,7 @@ def predictor(model: Model):
             known = has_letter(part, edge) & bool(model.languages)
             langs.append(names[np.where(known, best, len(model.languages))])
             scores.append(np.where(known, score, 0.0))
+        give_back()
         return pd.DataFrame({"lang_pred": np.concatenate(langs) if langs else [], "score": np.concatenate(scores) if scores else []})
 
     return read

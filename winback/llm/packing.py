@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winback.llm.common import only
+from winback.llm.common import give_back, only
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -76,6 +76,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
                 raw = np.array(ids, "<u4")
                 rows += [(doc, k, s, n, zlib.crc32(raw[s: s + n])) for k, (s, n) in enumerate(cut_points(len(raw), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            give_back()
 
     return only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winback.llm.common import U64, components, cut, forest, only, sorted_groups
+from winback.llm.common import U64, components, cut, forest, give_back, only, sorted_groups
 
 SEED = 42
 #: Members of a bucket that are compared as one cell side.
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), U64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], schema=schema)
+            give_back()
 
     return only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
