@@ -50,6 +50,15 @@ def test_wrapper():
     assert pages.region(json.dumps(shape("<article>x</article>"))) == "article" and pages.region(json.dumps(one)) == "body"
 
 
+@pytest.mark.parametrize("attributes,gone", [
+    ('style="overflow:hidden"', False), ('href="/hidden-valley"', False), ("title='The hidden garden'", False), ('href="?id=search"', False), ('data-id="share"', False),
+    ("title='class=ad'", False), ("href=/a?role=banner", False), ("hidden", True), ("HIDDEN=''", True), ('title="a" hidden', True), ('data-x=1 class = "x share"', True), ("id=search", True), ('aria-hidden="true"', True)])
+def test_attributes(attributes, gone):
+    """Words inside other attributes' values, and parts of longer names, hide nothing."""
+    assert pages.main_text(f"<body><p>one <a {attributes}>two</a></p></body>", "body", frozenset()) == ("one" if gone else "one two")
+    assert pages.main_text(f"<body {attributes}><p>one</p></body>", "body", frozenset()) == ("" if gone and "idden" in attributes.lower() else "one")
+
+
 def test_urls_sql(spark):
     rows = table()
     con = duckdb.connect()

@@ -29,7 +29,8 @@ from winback.llm.common import cut, only
 from winback.llm.urls import parts
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, its value included, so that no part of a value passes for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,7 +79,9 @@ def tokens(page: str):
 
 def role(name: str, attributes: str) -> str | None:
     """'never', or the region an element opens."""
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+    found: dict[str, str] = {}
+    for k, v in ATTRIBUTE.findall(attributes or ""):
+        found.setdefault(k.lower(), v.strip("\"'").lower())  # the first of a name counts, as in HTML
     words = set(re.split(r"[^a-z0-9]+", " ".join(v for k, v in found.items() if k in ("class", "id", "role")))) if found else set()
     if name in NEVER or "hidden" in found or found.get("aria-hidden") == "true" or name not in ("html", "body", "article", "main") and words & WORDS or words & {"comment", "comments", "reply"}:
         return "never"
