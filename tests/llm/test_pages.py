@@ -38,6 +38,14 @@ def test_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
 
 
+def test_copied_page(spark):
+    """A page copied more often than half the distinct pages keeps its own text, and the others' template text still goes."""
+    own = [(k, f"http://h.org/{k}", f"<body><div>Home</div><p>Own {k}</p></body>") for k in range(10)]
+    rows = own + [(100 + k, f"http://h.org/c{k}", own[0][2]) for k in range(50)] + [(200 + k, "http://h.org/e", [None, ""][k % 2]) for k in range(20)]
+    got = pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == {k: "" if k >= 200 else f"Own {k if k < 100 else 0}" for k, _, _ in rows}
+
+
 def test_wrapper():
     shape = lambda body: pages.Walk(f"<body>{body}</body>").shape()
     one, two, three = shape("<h1>a</h1><p>x</p>"), shape("<h1>a</h1><p>x</p><p>y</p><p>z</p>"), shape("<h1>a</h1><div>ad</div><p><b>x</b></p>")

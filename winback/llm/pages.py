@@ -8,7 +8,8 @@ of a host are aligned in the same way, so a host with a third of all pages is al
 
 The wrapper tells where a host keeps its article: the innermost of `article`, `main` or role=main that its pages have, else the body. Texts of
 that region are the main text, but for elements that are never part of it (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments). Outside a marked article, texts that stand on most pages of a host are template text and go as well.
+scripts, styles, comments). Outside a marked article, texts that stand on most distinct pages of a
+host are template text and go as well.
 
 Defined cases: null or empty html gives an empty text; a page without a marked region uses its body; broken or unclosed tags end with the
 block that follows; repeated rows give equal texts; an empty table gives no rows; further columns are ignored.
@@ -258,19 +259,20 @@ def main_text(page: str, where: str, template: frozenset) -> str:
 def learned(own: DataFrame) -> DataFrame:
     """(host, region, template): what the pages of a host have in common. template holds at most twice the texts of a page."""
     def seen(batches):
-        """The stream of each page, and its texts outside a marked article, once a page."""
+        """The stream of each distinct page, and its texts outside a marked article, once a page."""
         for b in batches:
             rows = []
             for host, page in zip(b["host"], b["html"]):
-                walk = Walk(page or "")
+                walk = Walk(page)
                 rows.append((host, True, json.dumps(walk.shape())))
                 rows += [(host, False, t) for t in {t for t, regions in walk.blocks if not regions & {"article", "main"}}]
             yield pd.DataFrame(rows, columns=["host", "is_stream", "value"], dtype=object).astype({"is_stream": bool})
 
     where = F.udf(region, "string")
-    counts = cut(own.select("host", "html").mapInPandas(seen, "host string, is_stream boolean, value string").groupBy("host", "is_stream", "value").agg(F.count("*").alias("n")), "page-streams")
+    distinct = own.select("host", F.coalesce("html", F.lit("")).alias("html")).distinct()  # copies of a page say once what is common
+    counts = cut(distinct.mapInPandas(seen, "host string, is_stream boolean, value string").groupBy("host", "is_stream", "value").agg(F.count("*").alias("n")), "page-streams")
     found = cut(wrappers(counts.where("is_stream").select("host", F.col("value").alias("stream"))), "page-wrappers")
-    size = own.groupBy("host").agg(F.countDistinct(F.xxhash64("html")).alias("pages")).where(F.col("pages") >= MANY_PAGES)
+    size = counts.where("is_stream").groupBy("host").agg(F.sum("n").alias("pages")).where(F.col("pages") >= MANY_PAGES)
     common = (counts.where("NOT is_stream").join(size, "host").where(2 * F.col("n") > F.col("pages"))
               .groupBy("host").agg(F.collect_set("value").alias("template")))
     return found.join(common, "host", "left").select("host", where("wrapper").alias("region"), F.coalesce("template", F.array().cast("array<string>")).alias("template"))
