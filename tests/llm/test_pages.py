@@ -67,6 +67,16 @@ def test_attributes(attributes, gone):
     assert pages.main_text(f"<body {attributes}><p>one</p></body>", "body", frozenset()) == ("" if gone and "idden" in attributes.lower() else "one")
 
 
+@pytest.mark.parametrize("which", ["main", "article"])
+def test_marked_by_role(which):
+    """A host whose only mark is a role: the marked element is the region, not the whole body."""
+    page = f"<body><div>Before {{k}}</div><div role='{which}'><p>Own {{k}}</p></div><div>After {{k}}</div></body>"
+    shapes = [pages.Walk(page.format(k=k)).shape() for k in range(2)]
+    where = pages.region(json.dumps(pages.align(*shapes)))
+    assert where == "main" and pages.main_text(page.format(k=1), where, frozenset()) == "Own 1"
+    assert pages.align(shapes[0], pages.Walk("<body><div>a</div><main><p>b</p></main><div>c</div></body>").shape()) == shapes[0]
+
+
 def test_urls_sql(spark):
     rows = table()
     con = duckdb.connect()

@@ -1,4 +1,4 @@
-"""Main text of pages by union-free wrappers.
+"""Main text of pages by marked regions and text frequency, with union-free wrappers of hosts.
 
 A page is a nested stream of tags and texts. Repeated neighbours, and repeated groups of them, are folded, so pages of one template have few
 distinct streams; Spark folds equal streams of a host before anything meets. The streams of a host are then aligned one after the other, level
@@ -6,10 +6,10 @@ by level: parts that agree are merged, parts that only one side has become optio
 repeated, `( )+`, and texts are slots, `#`. The result is one regular expression without unions for each host, its wrapper. Wrappers of parts
 of a host are aligned in the same way, so a host with a third of all pages is aligned in many tasks first.
 
-The wrapper tells where a host keeps its article: the innermost of `article`, `main` or role=main that its pages have, else the body. Texts of
-that region are the main text, but for elements that are never part of it (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments). Outside a marked article, texts that stand on most distinct pages of a
-host are template text and go as well.
+The text of a page is that of its innermost marked region: `article`, else `main` or an element with role=main or role=article, else the body. The
+wrapper, whose labels name such elements by their region, tells which of them a host has; its slots, options and repeats don't choose texts.
+Elements that are never main text go (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), by fixed lists of
+names and words. Outside a marked article, texts that stand on most distinct pages of a host are template text and go as well.
 
 Defined cases: null or empty html gives an empty text; a page without a marked region uses its body; broken or unclosed tags end with the
 block that follows; repeated rows give equal texts; an empty table gives no rows; further columns are ignored.
@@ -134,7 +134,7 @@ class Walk:
                 else:
                     children = above[2] if len(stack) >= DEEPEST else []
                     if children is not above[2]:
-                        above[2].append([name, False, False, children])
+                        above[2].append([kind if kind in REGIONS else name, False, False, children])
                     stack.append((name, above[0] or kind == "never", above[1] | {kind} if kind in REGIONS else above[1], children))
             elif any(s[0] == name for s in stack):
                 if state[0]:
@@ -153,7 +153,7 @@ class Walk:
         return fold(self.top)
 
 
-# A wrapper node is [label, optional, repeated, children]; a label is a tag, `#` for a text slot, or the labels of a group of siblings.
+# A wrapper node is [label, optional, repeated, children]; a label is a tag or the region it opens, `#` for a text slot, or the labels of a group of siblings.
 
 def merged(one: list, two: list) -> list:
     return [one[0], one[1] or two[1], one[2] or two[2], align(one[3], two[3])]
