@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter) go, and those without a doc_id, which no later result could name."""
+    """Documents whose language can't be told (no text, no letter; no labels are needed) go, and those without a doc_id, which no later result could name."""
     return langid.identified(docs.where("doc_id IS NOT NULL"))
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_documents import duck, fingerprint, repeats
@@ -34,6 +35,13 @@ def test_language(steps):
     assert Counter(plain(steps["language"])) == Counter(want)
 
 
+def test_language_without_labels(spark, docs):
+    """Where no model can be learned, the documents with a letter stay."""
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = [r for r in plain(bare) if r[0] is not None and any(map(str.isalpha, r[1] or ""))]
+    assert want and Counter(plain(corpus_pipeline.language(spark, bare, ""))) == Counter(want)
+
+
 def test_near_duplicates(steps):
     given = plain(steps["language"])
     fps = [fingerprint(r[1]) for r in given]

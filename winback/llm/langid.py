@@ -175,6 +175,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def lettered(texts):
+    """Whether a text has a letter."""
+    @F.pandas_udf("boolean")
+    def read(texts: pd.Series) -> pd.Series:
+        raw, at = text_bytes(pa.array(texts, pa.string()))
+        seen = [has_letter(raw[at[lo]: at[hi]], at[lo: hi + 1] - at[lo]) for lo, hi in slices(at)]
+        give_back()
+        return pd.Series(np.concatenate(seen) if seen else np.zeros(0, bool))
+
+    return read(texts)
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told."""
-    return docs.where(predictor(learn(docs))(docs["text"])["lang_pred"] != UNKNOWN)
+    """The rows of docs whose language can be told; where no language could be learned, nothing is known against a text with a letter, and all of those stay."""
+    model = learn(docs)
+    return docs.where(predictor(model)(docs["text"])["lang_pred"] != UNKNOWN if model.languages else lettered(docs["text"]))
