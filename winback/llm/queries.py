@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from winback.llm import langid, licenses, mixing, packing, pages, quality, simhash, suffix, urls, vectors
+from winback.llm import bpe, infill, langid, licenses, mixing, negatives, packing, pages, quality, simhash, suffix, urls, vectors
 from winback.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +53,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_language_id, op4_suffix_dedup, op5_quality_rules, op6_html_extraction, op7_url_filter, op8_mixing, op9_packing, op10_simhash)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mined(vecs, F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.restored(infill.transformed(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_language_id, op4_suffix_dedup, op5_quality_rules, op6_html_extraction, op7_url_filter, op8_mixing, op9_packing, op10_simhash,
+                                                     op11_hard_negatives, op12_fill_in_middle, op13_byte_bpe)}
 
 OP8 = r"""
 WITH sized AS MATERIALIZED (
@@ -190,4 +207,33 @@ best AS (
 SELECT page_id, host, path, found.rule AS rule, COALESCE(found.verdict, 'allow') AS verdict FROM hosts LEFT JOIN best USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op2_license_scan": OP2, "op4_suffix_dedup": OP4, "op5_quality_rules": OP5, "op7_url_filter": OP7, "op8_mixing": OP8}
+OP11 = """
+WITH usable AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, other) AS k FROM scores WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.k ORDER BY n.score DESC, n.other) AS INTEGER) AS rank, n.other AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.r = p.r AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+OP12 = """
+WITH drawn AS (SELECT doc_id, COALESCE(text, '') AS t, CAST(length(COALESCE(text, '')) AS BIGINT) AS n, sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 8) AS BIGINT)) AS x FROM drawn),
+planned AS (
+  SELECT *, LEAST(x[1] % (n + 1), x[2] % (n + 1)) AS one, GREATEST(x[1] % (n + 1), x[2] % (n + 1)) AS two,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (SELECT *, substr(t, 1, one) AS prefix, substr(t, one + 1, two - one) AS middle, substr(t, two + 1) AS suffix FROM planned)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN one END AS prefix_chars, CASE WHEN form <> 'plain' THEN two - one END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op2_license_scan": OP2, "op4_suffix_dedup": OP4, "op5_quality_rules": OP5, "op7_url_filter": OP7, "op8_mixing": OP8,
+                           "op11_hard_negatives": OP11, "op12_fill_in_middle": OP12}
