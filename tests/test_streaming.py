@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from winback.operators.live import feature_counters, ts_normalise, upsert
 from winback.registry import q_stream
-from winback.streaming import flow, signals
+from winback.streaming import flow, keyed, signals
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,14 +34,14 @@ def test_a_batch_run_twice_changes_nothing(spark, tmp_path):
     known = spark.createDataFrame([(1, 1, 0.7, 100.0, 0.1, 10.0, "p", "s")], "customer_id long, known int, churn_probability double, clv double, uplift_score double, coupon_cost double, persona string, uplift_segment string")
     ev = lambda t, n: spark.createDataFrame([(c, f"2024-01-0{t} 00:00:00", "visit", 0.0) for c in range(1, n)], "customer_id long, t string, event_type string, amount double").select(
         "customer_id", F.col("t").cast("timestamp").alias("event_time"), "event_type", "amount")
-    tables = flow.LiveTables(spark, str(tmp_path))
+    tables = keyed.KeyedStore(spark, str(tmp_path))
     run = flow.live_flow(known, tables)
     run(feature_counters(ev(1, 4)), 0)
     for _ in range(2):
         run(feature_counters(ev(1, 3).unionByName(ev(2, 3))), 1)
-    got = {r["customer_id"]: r["event_count_total"] for r in tables.latest("state").collect()}
+    got = {r["customer_id"]: r["event_count_total"] for r in tables.read("state").collect()}
     assert got == {1: 2, 2: 2, 3: 1}
-    assert tables.latest("actions").count() == 3
+    assert tables.read("actions").count() == 3 and tables.versions() == [0, 1]
 
 
 def test_odd_timestamps(spark):
@@ -71,18 +71,6 @@ def test_a_history_of_years(spark):
         assert 0 < got[t]["churn_score"] < 0.9
 
 
-def test_compaction_is_what_readers_read(spark, tmp_path):
-    tables = flow.LiveTables(spark, str(tmp_path))
-    row = lambda *r: spark.createDataFrame([r], "customer_id long, v long")
-    for i, r in enumerate([(1, 10), (2, 20), (1, 11)]):
-        tables.write("t", row(*r), i)
-    tables.compact("t", 2)
-    tables.write("t", row(2, 21), 3)
-    assert sorted(tuple(r) for r in tables.latest("t").collect()) == [(1, 11), (2, 21)]
-    tables.compact("t", 3)
-    assert sorted(tuple(r) for r in tables.latest("t").collect()) == [(1, 11), (2, 21)]
-
-
 def test_deferral_is_decided_at_the_customers_turn(spark):
     """Customer 2 is too dear while places are left; customer 4 comes after the last place went."""
     from winback.streaming.decisions import closed_loop

@@ -9,19 +9,20 @@ from winback import params
 from winback.plans import decision as D
 from winback.plans import jobs as J
 from winback.plans.summary import customer_summary
-from winback.registry.core import cte, query
+from winback.registry.core import CTES, cte, query
 from winback.registry.q_decide import R6
 from winback.registry.q_features import fm
 from winback.registry.q_live import COUNT_SQL, known
 from winback.registry.q_report import SETS, _sets
 from winback.sources import adapters as A
 from winback.sources import catalog as C
+from winback.sources import replay as R
 from winback.sources.staging import staged_path, new_path, staged
 from winback.streaming import decisions as Q
 from winback.streaming import flow as W
+from winback.streaming import ledger as L
 from winback.streaming import signals as G
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from winback.streaming.keyed import KeyedStore
 
 
 def _orders_csv(spark, d):
@@ -121,13 +122,44 @@ def sink_feature_store(spark, d):
     return got.select("customer_id", "visits", store.metadata("customer_features").select("as_of").scalar().alias("as_of"))
 
 
-@query("source_event_replay", "SELECT event_type, count(*) AS n, round(sum(amount), 4) amount FROM c_events WHERE event_type IN ('visit', 'search', 'purchase', 'support_contact') GROUP BY 1")
-def source_event_replay(spark, d):
+@query("source_event_files", "SELECT event_type, count(*) AS n, round(sum(amount), 4) amount FROM c_events WHERE event_type IN ('visit', 'search', 'purchase', 'support_contact') GROUP BY 1")
+def source_event_files(spark, d):
     e = W.event_stream(spark, d).where(F.col("event_type").isin("visit", "search", "purchase", "support_contact"))
     t = spark.read.parquet(W.run_available(e, "replay"))
     return t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"))
 
 
+def placed_events(spark, d):
+    """The events in order of time, as the replaying source reads them. One in 97 has a text for its time that is none."""
+    text = F.when(F.col("event_id") % 97 == 0, "no time").otherwise(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    e = A.events(spark, d).select("event_id", "customer_id", "event_time", "event_type", "amount", text.alias("timestamp"))
+    return staged(spark, d, "placed_events_folder", lambda: _placed(spark, e)).first()
+
+
+def _placed(spark, events):
+    path = new_path(spark, "placed-events")
+    total = R.prepare(events, ["event_time", "event_id"], path)
+    return spark.createDataFrame([(path, total)], "path string, total long")
+
+
+TICK = 4000
+
+
+def ticks(spark, d):
+    """Two rounds of the replaying source, TICK rows a batch."""
+    def build():
+        at = placed_events(spark, d)
+        return spark.read.parquet(W.drained(R.replay(spark, at["path"], new_path(spark, "replay-mark"), TICK, 2, at["total"]), "ticks"))
+    return staged(spark, d, "ticks", build)
+
+
+@query("source_event_replay", "SELECT round, event_type, count(*) AS n, round(sum(amount), 4) amount FROM c_events, (VALUES (0), (1)) r(round) WHERE event_type IN ('visit', 'search', 'purchase', 'support_contact') GROUP BY 1, 2")
+def source_event_replay(spark, d):
+    """The replaying source, started again at its end, by round and type."""
+    t = ticks(spark, d).where(F.col("event_type").isin("visit", "search", "purchase", "support_contact"))
+    return t.groupBy("round", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"))
+
+
 def _json_files(spark, d):
     def build():
         e = A.events(spark, d)
@@ -182,11 +214,9 @@ def replayed(spark, d):
 
 def streamed(spark, d):
     def build():
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-        try:
-            return spark.read.parquet(W.run_available(G.score_stream(W.event_stream(spark, d).select("customer_id", "event_id", "event_time", "event_type"), base(spark, d)), "signals"))
-        finally:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        with W.rocks(spark):
+            e = W.event_stream(spark, d).select("customer_id", "event_id", "event_time", "event_type")
+            return spark.read.parquet(W.run_available(G.score_stream(e, base(spark, d)), "signals")).where(F.col("event_type") != G.SILENT)
     return staged(spark, d, "streamed", build)
 
 
@@ -287,16 +317,77 @@ q AS (SELECT customer_id, intervention_intensity, coupon_cost, 'queued' action_q
 SELECT * FROM q UNION ALL SELECT customer_id, intervention_intensity, coupon_cost, CASE WHEN (SELECT count(*) FROM q) >= {LOOP_C} AND rn > (SELECT max(rn) FROM w WHERE pick) THEN 'deferred_channel_guardrail' ELSE 'deferred_budget_guardrail' END FROM c_loop WHERE choice = 1 AND customer_id NOT IN (SELECT customer_id FROM q)"""
 
 
-@query("closed_loop_guard", LOOP)
-def closed_loop_guard(spark, d):
+@query("closed_loop_batch", LOOP)
+def closed_loop_batch(spark, d):
+    """All triggers as one batch, the last of each customer."""
     return Q.closed_loop(choices(spark, d), LOOP_B, LOOP_C)
 
 
+SNAPSHOT_EVERY = 2500
+
+
+def menu(spark, d):
+    return staged(spark, d, "action_menus", lambda: L.menus(D.api_actions(spark, d)))
+
+
+def consumed(spark, d):
+    """(folder, counts) of the whole path as one stream, TICK events a batch: bad timestamps, scores, triggers, closed loop, snapshots."""
+    def build():
+        at, folder = placed_events(spark, d), new_path(spark, "consumer")
+        c = _consumer(spark, d, folder)
+        c.run(R.replay(spark, at["path"], new_path(spark, "consumer-mark"), TICK, 1, at["total"]).drop("event_time"), new_path(spark, "consumer-checkpoint"))
+        got = c.summary()
+        return spark.createDataFrame([(folder, got["good"], got["bad"], got["snapshots"], got["asked_total"])], "folder string, good long, bad long, snapshots long, asked long")
+    return staged(spark, d, "consumer_folder", build)
+
+
+def _consumer(spark, d, folder):
+    return W.Consumer(folder, base(spark, d), menu(spark, d), LOOP_B, LOOP_C, every=SNAPSHOT_EVERY)
+
+
+cte("c_good", "SELECT * FROM c_events WHERE event_id % 97 <> 0")
+for _name in ("c_replay", "c_scored", "c_trig"):
+    cte(f"{_name}_good", CTES[_name].replace("c_events", "c_good").replace("FROM c_replay ", "FROM c_replay_good ").replace("FROM c_scored", "FROM c_scored_good"))
+# what is open for each set of used intensities, best first
+_N = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-12 THEN 0.0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
+cte("c_menu", f"""SELECT customer_id, mask, list({{'bit': bit, 'cost': cost}} ORDER BY round(priority, 9) DESC, profit DESC, roi DESC, cost, bit) items FROM (
+SELECT *, 0.34 * {_N('profit')} + 0.28 * {_N('gain')} + 0.23 * urgency priority FROM (SELECT customer_id, mask, list_position(['low', 'mid', 'high'], intervention_intensity) - 1 bit, coupon_cost AS cost, expected_incremental_profit profit, expected_roi roi,
+ greatest(expected_roi, 0.0) gain, greatest(least(timing_urgency_score, 1.0), 0.0) urgency FROM c_api_actions, range(8) m(mask) WHERE coupon_cost > 0 AND expected_incremental_profit > 0) WHERE (mask::INTEGER >> bit::INTEGER) & 1 = 0 WINDOW w AS (PARTITION BY customer_id, mask)) GROUP BY 1, 2""")
+cte("c_ask", "SELECT *, row_number() OVER (ORDER BY event_time, event_id) rn FROM c_trig_good WHERE reasons <> ''")
+_STATE = "STRUCT(s VARCHAR, b INTEGER, c DOUBLE, u INTEGER)"
+WALK = f"""WITH RECURSIVE w(rn, customer_id, event_id, s, b, c, u, money, room, m) AS (
+ SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, -1, 0.0::DOUBLE, 0, {LOOP_B}::DOUBLE, {LOOP_C}::BIGINT, MAP([]::BIGINT[], []::{_STATE}[]) UNION ALL
+ SELECT rn, customer_id, event_id, s2, b2, c2, u2, money + CASE WHEN o.s = 'queued' THEN o.c ELSE 0 END - CASE WHEN s2 = 'queued' THEN c2 ELSE 0 END,
+        room + (o.s = 'queued')::INTEGER - (s2 = 'queued')::INTEGER, map_concat(m, MAP([customer_id], [{{'s': s2, 'b': b2, 'c': c2, 'u': u2}}::{_STATE}]))
+ FROM (SELECT *, CASE WHEN items IS NULL THEN o.b ELSE coalesce(pick, items[1]).bit::INTEGER END b2, CASE WHEN items IS NULL THEN o.c ELSE coalesce(pick, items[1]).cost END c2,
+         CASE WHEN pick IS NOT NULL THEN o.u | (1 << pick.bit::INTEGER) ELSE o.u END u2,
+         CASE WHEN items IS NULL THEN 'hold' WHEN pick IS NOT NULL THEN 'queued' WHEN money > 0 AND room <= 0 THEN 'deferred_channel_guardrail' ELSE 'deferred_budget_guardrail' END s2
+   FROM (SELECT p.rn, p.customer_id, p.event_id, money, room, m, o, n.items, CASE WHEN money > 0 AND room > 0 THEN list_filter(n.items, lambda x: x.cost <= money)[1] END pick
+     FROM (SELECT w.money, w.room, w.m, p.rn, p.customer_id, p.event_id, coalesce(w.m[p.customer_id], {{'s': 'idle', 'b': -1, 'c': 0.0, 'u': 0}}::{_STATE}) o FROM w JOIN c_ask p ON p.rn = w.rn + 1) p
+     LEFT JOIN c_menu n ON n.customer_id = p.customer_id AND n.mask = (p.o.u | CASE WHEN p.o.b >= 0 THEN 1 << p.o.b ELSE 0 END)))),
+done AS (SELECT rn, customer_id, event_id, s, CASE WHEN b >= 0 THEN ['low', 'mid', 'high'][b + 1] END AS intensity, c, money, room FROM w WHERE rn > 0)
+"""
+
+
+@query("closed_loop_guard", WALK + "SELECT customer_id, arg_max(s, rn) action_queue_status, arg_max({'i': intensity}, rn).i intervention_intensity, round(arg_max(c, rn), 4) coupon_cost, count(*) asked FROM done GROUP BY 1")
+def closed_loop_guard(spark, d):
+    """What the stream left in every customer's queue: one budget over all batches, each trigger in turn, replaced actions released."""
+    ledger = _consumer(spark, d, consumed(spark, d).first()["folder"]).ledger
+    return ledger.queue().select("customer_id", F.col("status").alias("action_queue_status"), F.col("intensity").alias("intervention_intensity"), F.round("cost", 4).alias("coupon_cost"), F.col("asked").cast("long").alias("asked"))
+
+
+@query("closed_loop_ledger", WALK + "SELECT event_id, customer_id, s action_queue_status, intensity intervention_intensity, round(money, 4) money_left, room places_left FROM done")
+def closed_loop_ledger(spark, d):
+    """The decision on every trigger, with the money and places left after it."""
+    log = _consumer(spark, d, consumed(spark, d).first()["folder"]).ledger.log()
+    return log.select("event_id", "customer_id", F.col("status").alias("action_queue_status"), F.col("intensity").alias("intervention_intensity"), F.round("money_left", 4).alias("money_left"), "places_left")
+
+
 def flowed(spark, d):
     def build():
-        tables = W.LiveTables(spark, new_path(spark, "live-flow"))
+        tables = KeyedStore(spark, new_path(spark, "live-flow"))
         W.run_available(W.counter_stream(W.event_stream(spark, d)), "flow", "update", W.live_flow(known(spark, d), tables))
-        return tables.latest("actions")
+        return tables.read("actions")
     return staged(spark, d, "flow_actions", build)
 
 
@@ -306,20 +397,69 @@ def live_event_flow(spark, d):
     return flowed(spark, d).select("customer_id", "recommended_action", "action_cost", *R6("churn_score"), "should_queue")
 
 
-@query("stream_consume", "SELECT count(*) AS n, count(DISTINCT customer_id) customers, round(max(churn_score), 6) top_score FROM c_scored")
-def stream_consume(spark, d):
+@query("stream_scored", "SELECT count(*) AS n, count(DISTINCT customer_id) customers, round(max(churn_score), 6) top_score FROM c_scored")
+def stream_scored(spark, d):
     return streamed(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("customer_id").alias("customers"), F.round(F.max("churn_score"), 6).alias("top_score"))
 
 
-@query("stream_tick", "SELECT date_trunc('day', event_time)::DATE::VARCHAR AS day, count(*) AS n FROM c_events GROUP BY 1")
+@query("stream_consume", f"""SELECT count(*) FILTER (event_id % 97 <> 0) good, count(*) FILTER (event_id % 97 = 0) bad, count(*) FILTER (event_id % 97 <> 0) // {SNAPSHOT_EVERY} snapshots,
+ (SELECT count(*) FROM c_ask) asked, (SELECT count(DISTINCT customer_id) FROM c_good) customers, (SELECT round(sum(s), 4) FROM (SELECT arg_max(churn_score, seen) s FROM c_scored_good GROUP BY customer_id)) score_sum FROM c_events""")
+def stream_consume(spark, d):
+    """The counts a consumer commits batch by batch, and the scores it keeps."""
+    got = consumed(spark, d)
+    kept = _consumer(spark, d, got.first()["folder"]).scores.read("scores").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("churn_score"), 4).alias("score_sum"))
+    return got.select("good", "bad", "snapshots", "asked").crossJoin(kept)
+
+
+@query("stream_bad_times", "SELECT event_id, customer_id, 'no time' AS \"timestamp\" FROM c_events WHERE event_id % 97 = 0")
+def stream_bad_times(spark, d):
+    """The side table of events that could not be placed in time."""
+    return spark.read.parquet(f"{consumed(spark, d).first()['folder']}/bad").select("event_id", "customer_id", "timestamp")
+
+
+@query("stream_tick", f"""SELECT pos // {TICK} tick, count(*) AS n, min(round) first_round, max(round) last_round, sum(event_id)::BIGINT event_ids FROM (
+SELECT *, round * (count(*) OVER (PARTITION BY round)) + row_number() OVER (PARTITION BY round ORDER BY event_time, event_id) - 1 AS pos FROM c_events, (VALUES (0), (1)) r(round)) GROUP BY 1""")
 def stream_tick(spark, d):
-    """One tick per file of the source folder, each its own micro-batch: events laid out by day, then advanced."""
-    path = new_path(spark, "ticks")
-    A.events(spark, d).withColumn("day", F.date_format("event_time", "yyyy-MM-dd")).repartition("day").write.partitionBy("day").parquet(path)
-    schema = spark.read.parquet(path).schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
-    t = spark.read.parquet(W.run_available(s, "tick"))
-    return t.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """So many rows a tick in order of time, over the end of the table into the next round."""
+    return ticks(spark, d).groupBy(F.col("batch_id").cast("long").alias("tick")).agg(F.count(F.lit(1)).alias("n"), F.min("round").alias("first_round"), F.max("round").alias("last_round"), F.sum("event_id").alias("event_ids"))
+
+
+# Behind the last order by more than a day, so that no check falls on the watermark itself.
+SILENCE_DELAY = "25 hours"
+
+
+def order_silences(spark, d):
+    """Customers whose orders stop, as the stream's timers find them."""
+    def build():
+        path, o = new_path(spark, "placed-orders"), A.orders(spark, d)
+        total = R.prepare(o.select(F.col("order_id").alias("event_id"), "customer_id", F.col("order_time").alias("event_time"), F.lit("purchase").alias("event_type")), ["event_time", "event_id"], path)
+        with W.rocks(spark):
+            e = R.replay(spark, path, new_path(spark, "orders-mark"), -(-total // 4), 1, total).select("customer_id", "event_id", "event_time", "event_type")
+            return spark.read.parquet(W.drained(G.score_stream(e, base(spark, d), SILENCE_DELAY), "silences")).where(F.col("event_type") == G.SILENT)
+    return staged(spark, d, "order_silences", build)
+
+
+cte("c_bought", "SELECT order_id event_id, customer_id, order_time event_time, lead(order_time) OVER (PARTITION BY customer_id ORDER BY order_time, order_id) AS next FROM c_orders")
+cte("c_silent", f"""SELECT customer_id, event_id, base, seen, day, event_time + to_days(day::INTEGER) AS due, base + 0.22::DOUBLE / (1 + exp(-((day - 7) / 3.0::DOUBLE))) - 0.16::DOUBLE * p raw, p FROM (
+SELECT a.customer_id, a.event_id, a.event_time, any_value(a.next) AS next, any_value(base) base, count(*) seen, day, sum(pow(0.5::DOUBLE, ((epoch_us(a.event_time) - epoch_us(b.event_time)) / 3600000000.0::DOUBLE + 24 * day) / 72.0)) p
+FROM c_bought a JOIN (SELECT customer_id, churn_probability base FROM c_summary) USING (customer_id) JOIN c_bought b ON b.customer_id = a.customer_id AND (b.event_time < a.event_time OR (b.event_time = a.event_time AND b.event_id <= a.event_id)), range({G.FIRST_DAY}, {G.LAST_DAY + 1}) days(day)
+WHERE a.event_time + to_days(day::INTEGER) <= coalesce(a.next, (SELECT max(event_time) - INTERVAL 25 HOUR FROM c_bought)) GROUP BY ALL)""")
+SILENCE = f"SELECT customer_id, min(epoch_us(due)) at_us, min(day) AS day, round(arg_min(least(raw, 0.999), day), 6) churn_score, min(seen) seen FROM c_silent WHERE p <= 0.10 AND raw >= {G.RISK} GROUP BY customer_id, event_id"
+
+
+@query("stream_inactivity", f"SELECT customer_id, at_us, churn_score, seen FROM ({SILENCE})")
+def stream_inactivity(spark, d):
+    """`extended_inactivity` as the stream fires it."""
+    return order_silences(spark, d).select("customer_id", F.unix_micros("event_time").alias("at_us"), *R6("churn_score"), "seen")
+
+
+@query("inactivity_at", f"SELECT customer_id, at_us, day, churn_score, seen FROM ({SILENCE})")
+def inactivity_at(spark, d):
+    """The batch twin of the timers."""
+    e = A.orders(spark, d).select(F.col("order_id").alias("event_id"), "customer_id", F.col("order_time").alias("event_time"), F.lit("purchase").alias("event_type"))
+    end = e.agg(F.max("event_time") - F.expr("INTERVAL 25 HOURS")).first()[0]
+    got = G.silences(G.replay(e, base(spark, d)), F.lit(end))
+    return got.select("customer_id", F.unix_micros("event_time").alias("at_us"), F.col("day").cast("long").alias("day"), *R6("churn_score"), "seen")
 
 
 cte("c_rank", "SELECT customer_id, arg_max(churn_score, seen) churn_score FROM c_scored GROUP BY 1")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from winback.operators import live
-from winback.sources.catalog import exists
 from winback.sources import adapters
 from winback.sources.schemas import LIVE_EVENT, LIVE_EVENT_TYPES
 from winback.sources.staging import new_path
+from winback.streaming import signals
+from winback.streaming.keyed import KeyedStore
+from winback.streaming.ledger import Ledger
 
 
 def event_stream(spark: SparkSession, d: str, files_per_batch: int = 1) -> DataFrame:
@@ -68,43 +73,129 @@ def latest_of(t: DataFrame) -> DataFrame:
     return t.groupBy("customer_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("customer_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-class LiveTables:
-    """Keyed tables kept as one folder of changed rows per micro-batch; the latest row of a key is the current one.
+def live_flow(known: DataFrame, tables: KeyedStore, threshold: float = 0.5) -> Callable[[DataFrame, int], None]:
+    """Counters -> scores -> actions for the customers each micro-batch touches, as one version of the three tables.
 
-    A batch costs what it touches, not the size of the table, and a batch that is run again after a failure
-    rewrites its own folder.
+    The counters come from an update-mode aggregate, so Spark's state store holds them and hands over only the
+    customers that changed. A batch that is run again finds its version there and does nothing.
     """
+    def batch(b: DataFrame, i: int) -> None:
+        draft = tables.begin(i)
+        if draft is None:
+            return
+        state = draft.put("state", b)
+        scored = draft.put("scores", live.live_scores(state, known))
+        draft.put("actions", live.live_actions(scored, threshold).withColumn("source_type", F.lit("live")))
+        draft.commit()
+    return batch
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
 
-    def write(self, name: str, df: DataFrame, batch_id: int) -> DataFrame:
-        path = f"{self.folder}/{name}/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+class Progress(StreamingQueryListener):
+    """Adds up the observed counts of a stream's batches, for as long as the session lives."""
 
-    def latest(self, name: str) -> DataFrame:
-        """The current rows: the last compaction and the batches after it."""
-        changes, base = self.spark.read.parquet(f"{self.folder}/{name}"), f"{self.folder}/{name}-base"
-        if exists(self.spark, base):
-            folded = self.spark.read.parquet(base)
-            upto = folded.agg(F.max("upto")).first()[0]
-            changes = changes.where(F.col("batch_id") > upto).unionByName(folded.where(F.col("upto") == upto).withColumnRenamed("upto", "batch_id"))
-        return latest_of(changes)
+    def __init__(self, name: str) -> None:
+        self.name, self.counts, self.batches = name, {}, set()
 
-    def compact(self, name: str, batch_id: int) -> None:
-        """Fold all batches up to batch_id into one folder, from time to time, so that readers open few files."""
-        self.latest(name).write.mode("overwrite").parquet(f"{self.folder}/{name}-base/upto={batch_id}")
+    def onQueryStarted(self, event) -> None:
+        pass
 
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        slot = (event.progress.id, event.progress.batchId)
+        if row is not None and slot not in self.batches:
+            self.batches.add(slot)
+            for k, v in row.asDict().items():
+                self.counts[k] = self.counts.get(k, 0) + (v or 0)
 
-def live_flow(known: DataFrame, tables: LiveTables, threshold: float = 0.5) -> Callable[[DataFrame, int], None]:
-    """Counters -> scores -> actions for the customers each micro-batch touches.
+    def onQueryIdle(self, event) -> None:
+        pass
 
-    The counters come from an update-mode aggregate, so Spark's state store holds them and hands over only the
-    customers that changed.
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+class Consumer:
+    """Reads raw events (customer_id, event_id, timestamp as text, event_type) into scores, triggers and the closed loop.
+
+    Events whose timestamp can't be read, or that have no customer, go to a table of their own, with the stream's other rows in one batch. Each batch commits its scores and
+    counts as one version of a store, then its triggers as versions of the ledger's; both skip what they have, so a batch that is run again after a failure at any point
+    ends what was begun. Whenever the number of good events passes a multiple of `every`, the ranking's first `top` customers are written as a snapshot.
     """
-    def batch(b: DataFrame, i: int) -> None:
-        state = tables.write("state", b, i)
-        scored = tables.write("scores", live.live_scores(state, known), i)
-        tables.write("actions", live.live_actions(scored, threshold).withColumn("source_type", F.lit("live")), i)
-    return batch
+
+    OBSERVED = "consumed"
+
+    def __init__(self, folder: str, base: DataFrame, menu: DataFrame, budget: float, capacity: int, every: int = 250, top: int = 200, delay: str = "1 day") -> None:
+        spark = base.sparkSession
+        self.folder, self.base, self.menu, self.every, self.top, self.delay = folder, base, menu, every, top, delay
+        self.scores = KeyedStore(spark, f"{folder}/scores")
+        self.ledger = Ledger(KeyedStore(spark, f"{folder}/ledger"), budget, capacity)
+
+    def stream(self, raw: DataFrame) -> DataFrame:
+        e = raw.withColumn("event_time", live.ts_normalise(F.col("timestamp")))
+        ok = F.col("event_time").isNotNull() & F.col("customer_id").isNotNull()
+        seen = e.observe(self.OBSERVED, F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
+        scored = signals.score_stream(seen.where(ok).select("customer_id", "event_id", "event_time", "event_type"), self.base, self.delay)
+        bad = e.where(~ok).select(*[F.col(c) if c in ("customer_id", "event_id", "event_type") else F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in scored.columns], "timestamp")
+        return scored.withColumn("timestamp", F.lit(None).cast("string")).unionByName(bad)
+
+    def batch(self, rows: DataFrame, i: int) -> None:
+        spark = self.base.sparkSession
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batches/batch_id={i}")  # a repeated batch rewrites itself
+        rows = spark.read.schema(rows.schema).parquet(f"{self.folder}/batches/batch_id={i}")
+        good = rows.where("event_time IS NOT NULL")
+        draft = self.scores.begin(i)
+        if draft is not None:
+            bad = rows.where("event_time IS NULL")
+            bad.select("customer_id", "event_id", "event_type", "timestamp").write.mode("overwrite").parquet(f"{self.folder}/bad/batch_id={i}")
+            own = good.where(F.col("event_type") != signals.SILENT)
+            n, m, last = own.agg(F.count(F.lit(1)), F.lit(bad.count()), F.max("event_time")).first()
+            draft.put("scores", own.groupBy("customer_id").agg(F.max_by(F.struct("churn_score", "event_time", "seen", *signals.NAMES), "seen").alias("r")).select("customer_id", "r.*"))
+            old = draft.meta
+            done = old.get("good", 0) + n
+            draft.commit(good=done, bad=old.get("bad", 0) + m, last_event_at=str(last) if n else old.get("last_event_at"), snapshots=done // self.every)
+            if done // self.every > old.get("snapshots", 0):
+                self.snapshot(i)
+        asks = good.where(F.col("reasons") != "")
+        self.ledger.decide(asks, self.menu, i)
+
+    def snapshot(self, version: int) -> None:
+        self.scores.read("scores", version).orderBy(F.desc("churn_score"), "customer_id").limit(self.top).write.mode("overwrite").option("header", True).csv(f"{self.folder}/snapshots/version={version}")
+
+    def summary(self) -> dict:
+        return {**{"good": 0, "bad": 0, "snapshots": 0, "last_event_at": None}, **self.scores.meta(), **self.ledger.left()}
+
+    def run(self, raw: DataFrame, checkpoint: str) -> None:
+        """Until the source has no more rows."""
+        with rocks(raw.sparkSession):
+            drain(self.stream(raw).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self.batch).start())
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(q: StreamingQuery) -> None:
+    """Waits until a stream of a source that ends has taken everything, then stops it."""
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
+def drained(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> str:
+    """As run_available, for sources that hand out a few rows a batch: runs until they have no more, and gives the path of the rows."""
+    spark = df.sparkSession
+    out, checkpoint = out or new_path(spark, name), checkpoint or new_path(spark, f"{name}-checkpoint")
+
+    def write(b: DataFrame, i: int) -> None:
+        b.withColumn("batch_id", F.lit(i)).write.mode("overwrite").parquet(f"{out}/part={i}")
+    drain(df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).start())
+    return out

@@ -28,7 +28,10 @@ SIGNALS = [
 NAMES = [s[0] for s in SIGNALS]
 # Trigger limits.
 CRITICAL, RISK, SPIKE = 0.80, 0.65, 0.12
-STATE = "base double, score double, last_us long, seen long, " + ", ".join(f"{n} double" for n in NAMES)
+# The inactivity rule looks at whole days of silence, from the first on which its limit of 0.75 can hold.
+FIRST_DAY, LAST_DAY = 11, 30
+DAY_US = 86_400_000_000
+STATE = "base double, score double, last_us long, seen long, silent int, " + ", ".join(f"{n} double" for n in NAMES)
 OUTPUT = ("customer_id long, event_id long, event_time timestamp, event_type string, churn_score double, previous_score double, "
           "reasons string, seen long, " + ", ".join(f"{n} double" for n in NAMES))
 
@@ -115,26 +118,47 @@ def decayed(hours: np.ndarray, hit: np.ndarray, half: float, start: float) -> np
     return out
 
 
+def silences(scored: DataFrame, until: Column) -> DataFrame:
+    """Batch twin of the timers, from the rows of `replay`: customers who fall silent, at the first whole day of silence on which the inactivity rule holds, before their
+    next event and up to `until`. One row for each such silence."""
+    kept = ["event_id", "event_time", "churn_score", "seen", *NAMES]
+    rows = scored.select("customer_id", "base", *kept)
+    gaps = previous_in_key(rows, ["customer_id"], "event_time", {c: f"_p_{c}" for c in kept}, ["event_id"]).where("_p_event_time IS NOT NULL")
+    inner = gaps.select("customer_id", "base", *[F.col(f"_p_{c}").alias(c) for c in kept], F.col("event_time").alias("next"))
+    last = rows.groupBy("customer_id").agg(F.max_by(F.struct("base", *kept), F.struct("event_time", "event_id")).alias("r")).select("customer_id", "r.*", until.alias("next"))
+    span = (F.unix_micros("next") - F.unix_micros("event_time")) / F.lit(float(DAY_US))
+    quiet = inner.unionByName(last).where(span >= FIRST_DAY).withColumn("day", F.explode(F.sequence(F.lit(FIRST_DAY), F.least(F.lit(LAST_DAY), F.floor(span).cast("int")))))
+    aged = quiet.withColumns({n: F.col(n) * F.pow(F.lit(0.5), F.col("day") * 24.0 / half) for n, _, half, _ in SIGNALS}).withColumn("previous_score", F.col("churn_score"))
+    aged = aged.withColumn("churn_score", score(F.col("base"), F.col("day").cast("double")))
+    hit = aged.where((inactivity(F.col("day").cast("double")) >= 0.75) & (F.col("purchase_signal") <= 0.10) & (F.col("churn_score") >= RISK))
+    first = hit.groupBy("customer_id", "event_id").agg(F.min_by(F.struct("event_time", "day", "churn_score", "previous_score", "seen"), "day").alias("r"))
+    at = F.timestamp_micros(F.unix_micros("r.event_time") + F.col("r.day") * F.lit(DAY_US))
+    return first.select("customer_id", at.alias("event_time"), "r.day", "r.churn_score", "r.previous_score", "r.seen")
+
+
 class SignalProcessor(StatefulProcessor):
     """One customer's state. Events of a batch are applied in time order, all at once; the last time kept is a maximum, so a late
-    event decays nothing and does not turn the clock back. The inactivity rule needs no event and is left to `signals_at` with `score`."""
+    event decays nothing and does not turn the clock back. A timer in event time looks at a customer after FIRST_DAY days of silence, and from then on day by day until the
+    inactivity rule fires, the customer comes back or LAST_DAY is past. A silence that ended before the watermark saw it is found at the event that ended it, so triggers don't
+    depend on how events are cut into batches. Rows of silences have no event_id, and change neither signals nor the score that the next event is compared with."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("signals", STATE)
 
     def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
         base = float(initial["base"].iloc[0])
-        self._state.update((base, base, 0, 0, *[0.0] * len(NAMES)))
+        self._state.update((base, base, 0, 0, 0, *[0.0] * len(NAMES)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        st = self._state.get() if self._state.exists() else (0.5, 0.5, 0, 0, *[0.0] * len(NAMES))
-        base, prev, last, seen = float(st[0]), float(st[1]), int(st[2]), int(st[3])
+        st = self._state.get() if self._state.exists() else (0.5, 0.5, 0, 0, 0, *[0.0] * len(NAMES))
+        base, prev, last, seen, silent = float(st[0]), float(st[1]), int(st[2]), int(st[3]), int(st[4])
         frame = pd.concat(list(rows)).sort_values(["event_time", "event_id"])
         now = frame["event_time"].astype("int64").to_numpy() // 1000 if frame["event_time"].dtype == "datetime64[ns]" else frame["event_time"].astype("datetime64[us]").astype("int64").to_numpy()
         kinds = frame["event_type"].to_numpy()
         clock = np.maximum.accumulate(np.maximum(now, last) if seen else now)
         hours = (clock - (last if seen else clock[0])) / 3.6e9
-        sig = {n: decayed(hours, kinds == kind, half, float(v)) for v, (n, kind, half, _) in zip(st[4:], SIGNALS)}
+        sig = {n: decayed(hours, kinds == kind, half, float(v)) for v, (n, kind, half, _) in zip(st[5:], SIGNALS)}
         cur = np.clip(base + 0.22 / (1 + math.exp(7.0 / 3.0)) + sum(w * sig[n] for n, _, _, w in SIGNALS), 0.001, 0.999)
         before = np.append(prev, cur[:-1])
         rules = [
@@ -145,15 +169,74 @@ class SignalProcessor(StatefulProcessor):
         for name, hit in rules:
             why[hit] = np.where(why[hit] == "", name, why[hit] + ", " + name)
         total = seen + 1 + np.arange(len(frame))
-        self._state.update((base, float(cur[-1]), max(last, int(clock[-1])), int(total[-1]), *[float(sig[n][-1]) for n in NAMES]))
+        # silences that an event of this batch ended: of the state before it, and between its own events
+        quiet = []
+        if silent:
+            quiet.append(self._fallen_silent(key[0], (base, prev, last, seen, silent, *st[5:]), int(clock[0])))
+        for i in np.flatnonzero(np.diff(clock) >= FIRST_DAY * DAY_US).tolist():
+            quiet.append(self._fallen_silent(key[0], (base, float(cur[i]), int(clock[i]), int(total[i]), FIRST_DAY, *[float(sig[n][i]) for n in NAMES]), int(clock[i + 1])))
+        end = int(clock[-1])
+        if end != last or not silent:
+            silent = FIRST_DAY
+        self._state.update((base, float(cur[-1]), end, int(total[-1]), silent, *[float(sig[n][-1]) for n in NAMES]))
+        self._look_again(end, silent)
+        for _, row in filter(None, quiet):
+            yield row
         yield pd.DataFrame({"customer_id": key[0], "event_id": frame["event_id"].to_numpy(), "event_time": frame["event_time"].to_numpy(), "event_type": kinds, "churn_score": cur,
                             "previous_score": before, "reasons": why, "seen": total, **sig})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        st = self._state.get() if self._state.exists() else None
+        if st is None or not st[4] or expiredTimerInfo.getExpiryTimeInMs() < self._due(int(st[2]), int(st[4])):
+            return  # of a silence that is over
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        found = self._fallen_silent(key[0], st, watermark)
+        day = 0 if found else self._next_day(int(st[2]), watermark)
+        self._state.update((*st[:4], day, *st[5:]))
+        if found:
+            yield found[1]
+        elif day:
+            self._look_again(int(st[2]), day)
+
+    @staticmethod
+    def _due(last: int, day: int) -> int:
+        return -(-(last + day * DAY_US) // 1000)
+
+    @staticmethod
+    def _next_day(last: int, until: int) -> int:
+        """The first day of silence after `until`, 0 if it is past the last one."""
+        day = max(FIRST_DAY, (until - last) // DAY_US + 1)
+        return day if day <= LAST_DAY else 0
+
+    def _look_again(self, last: int, day: int) -> None:
+        for t in list(self._handle.listTimers()):
+            self._handle.deleteTimer(t)
+        if day:
+            self._handle.registerTimer(self._due(last, day))
+
+    @staticmethod
+    def _fallen_silent(customer, st, until: int) -> tuple[int, pd.DataFrame] | None:
+        """The first day, from the one the state waits for, on which the inactivity rule holds, no later than `until`; and its row."""
+        base, prev, last, seen, first = float(st[0]), float(st[1]), int(st[2]), int(st[3]), int(st[4])
+        for day in range(first, min(LAST_DAY, (until - last) // DAY_US) + 1):
+            sig = {n: float(v) * 0.5 ** (day * 24.0 / half) for v, (n, _, half, _) in zip(st[5:], SIGNALS)}
+            idle = 1 / (1 + math.exp(-((day - 7.0) / 3.0)))
+            now = min(max(base + 0.22 * idle + sum(w * sig[n] for n, _, _, w in SIGNALS), 0.001), 0.999)
+            if idle >= 0.75 and sig["purchase_signal"] <= 0.10 and now >= RISK:
+                return day, pd.DataFrame({"customer_id": [customer], "event_id": pd.array([None], "Int64"), "event_time": [pd.Timestamp((last + day * DAY_US) * 1000)], "event_type": [SILENT],
+                                          "churn_score": [now], "previous_score": [prev], "reasons": ["extended_inactivity"], "seen": [seen], **{n: [v] for n, v in sig.items()}})
+        return None
+
     def close(self) -> None:
         pass
 
 
-def score_stream(events: DataFrame, base: DataFrame) -> DataFrame:
-    """Stateful stream of scores and triggers; `base` (customer_id, base) is the state each customer starts from."""
-    return events.groupBy("customer_id").transformWithStateInPandas(
-        SignalProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="none", initialState=base.groupBy("customer_id"))
+#: The event type of rows that a silence made.
+SILENT = "inactivity"
+
+
+def score_stream(events: DataFrame, base: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Stateful stream of scores and triggers; `base` (customer_id, base) is the state each customer starts from. Silences are seen once the watermark, `delay` behind the
+    latest event, has passed them; events behind the watermark are dropped."""
+    return events.withWatermark("event_time", delay).groupBy("customer_id").transformWithStateInPandas(
+        SignalProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime", initialState=base.groupBy("customer_id"))
