@@ -11,7 +11,7 @@ from winback.functions import ranking as R
 
 @pytest.fixture(params=["one_range", "many_ranges"])
 def cut(request, monkeypatch):
-    monkeypatch.setattr(R, "RANGE_ROWS", 16 if request.param == "many_ranges" else 4096)
+    monkeypatch.setattr(R, "range_count", lambda spark: 40 if request.param == "many_ranges" else 1)
 
 
 def frame(spark, n=500, hot=True):
@@ -72,15 +72,23 @@ def test_previous_row_over_day_bounds(spark):
     assert got == {(1, "a"): None, (1, "b"): "a", (1, "c"): "b", (2, "x"): None}
 
 
-def test_many_bounds_plan(spark, monkeypatch):
-    monkeypatch.setattr(R, "RANGE_ROWS", 1000)
-    spark.conf.set("spark.sql.shuffle.partitions", "400")
-    try:
-        df = spark.range(3000).select(F.col("id").alias("customer_id"), (F.col("id") * 7919 % 3001).cast("double").alias("v"))
-        got = R.ordered_totals(df, [("v", True), ("customer_id", False)], {"k": F.lit(1)}).agg(F.min("k"), F.max("k"), F.count_distinct("k")).first()
-        assert tuple(got) == (1, 3000, 3000)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+def test_plan_does_not_grow_with_the_rows(spark, monkeypatch):
+    plans = []
+    for n in (50, 30_000):
+        df = spark.range(n).select(F.col("id").alias("customer_id"), (F.col("id") * 7919 % 30_011).cast("double").alias("v"))
+        got = R.ordered_totals(df, [("v", True), ("customer_id", False)], {"k": F.lit(1)})
+        assert tuple(got.agg(F.min("k"), F.max("k"), F.count_distinct("k")).first()) == (1, n, n)
+        plans.append(len(got._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(plans[0] - plans[1]) < 50
+
+
+def test_cdf_of_columns_of_different_reach(spark, cut):
+    rows = [(i, float(i % 5), None if i % 3 else float(-i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "customer_id long, a double, b double")
+    got = {(r["col"], r["value"]): (r["n_value"], r["n_upto"], r["n_total"]) for r in R.value_cdf(df, ["a", "b"]).collect()}
+    for c, k in (("a", 1), ("b", 2)):
+        v = [r[k] for r in rows if r[k] is not None]
+        assert {x: y for (col, x), y in got.items() if col == c} == {x: (v.count(x), sum(y <= x for y in v), len(v)) for x in set(v)}
 
 
 def test_descending_keys_of_any_type(spark, cut):

@@ -1,26 +1,29 @@
 """Orderings over a whole table without a one-task window.
 
-Each function cuts the rows into value ranges with fixed bounds, sums every range, and adds the total
-of the ranges before it. The bounds are literals in the plan, so a recomputed task puts a row in the
-same range as before, and the result never depends on where the bounds happen to fall.
+Rows are dealt into value ranges by Spark's own range partitioning and written with the number of their range; every range is summed, and the total of the ranges
+before it is added. There are as many ranges as the session deals partitions in a shuffle, however many rows there are, and their bounds are neither in the plan nor
+in Python. As the range is written down, a recomputed task finds its rows where they were, and the result never depends on where the bounds happen to fall.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys looked at to place the bounds, at least; and rows of a range, on average.
-SAMPLE_ROWS = 4096
-RANGE_ROWS = 200_000
-KEYS_PER_BOUND = 20
+from winback.sources.staging import cut
 
 
-def range_count(rows: int) -> int:
-    """Ranges follow the number of rows; a small table is one range by the same path."""
-    return max(1, -(-rows // RANGE_ROWS))
+def range_count(spark: SparkSession) -> int:
+    """Ranges follow the cluster, not the rows."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranged(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows, written with the number of their range (`_range`); ranges are in the order of the keys, and rows of equal keys share one."""
+    dealt = df.repartitionByRange(range_count(df.sparkSession), *keys)
+    return cut(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def _sort_value(df: DataFrame, name: str, descending: bool) -> Column:
@@ -39,22 +42,12 @@ def _sort_value(df: DataFrame, name: str, descending: bool) -> Column:
     return -c
 
 
-def nested_range(key: Column, bounds: list[Column], base: int = 0) -> Column:
-    """Index of the range a key falls in, by bisection over the sorted bounds."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(key <= bounds[mid], nested_range(key, bounds[:mid], base)).otherwise(
-        nested_range(key, bounds[mid + 1:], base + mid + 1))
-
-
 def ordered_totals(df: DataFrame, order: list[tuple[str, bool]], totals: dict[str, Column],
                    by: list[str] | None = None, dense: int | None = None) -> DataFrame:
     """Running totals (current row included) in a given order, per `by` group or over the table.
 
-    `order` holds (column, descending) pairs and should end in a unique column; NULL comes last either way. A sample of
-    keys, taken by hash, gives the bounds of ranges whose number follows the number of rows. With `dense` the only key is
-    a whole number from 1 to that size, and no sample is needed.
+    `order` holds (column, descending) pairs and should end in a unique column; NULL comes last either way. The input is read twice, for
+    Spark's sample of keys and to write the ranges. With `dense` the only key is a whole number from 1 to that size, its range is computed and nothing is written.
     """
     by = by or []
     key = F.struct(*[x for i, (c, d) in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), _sort_value(df, c, d).alias(f"k{i}"))])
@@ -62,20 +55,9 @@ def ordered_totals(df: DataFrame, order: list[tuple[str, bool]], totals: dict[st
     for n, e in totals.items():
         work = work.withColumn(f"_t_{n}", e)
     if dense is not None:
-        ranges = range_count(dense)
-        work = work.withColumn("_range", F.floor((F.col(order[0][0]) - 1) * ranges / max(dense, 1)).cast("int"))
+        work = work.withColumn("_range", F.floor((F.col(order[0][0]) - 1) * range_count(df.sparkSession) / max(dense, 1)).cast("int"))
     else:
-        def sample(n: int) -> list:
-            return [r[0] for r in work.select("_key").orderBy(F.xxhash64("_key")).limit(n).collect()]
-        keys = sample(SAMPLE_ROWS)
-        ranges = range_count(len(keys) if len(keys) < SAMPLE_ROWS else work.count())
-        if KEYS_PER_BOUND * ranges > SAMPLE_ROWS:
-            keys = sample(KEYS_PER_BOUND * ranges)
-        types = work.schema["_key"].dataType
-        ordered = sorted(keys, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
-        picked = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
-        bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, types)]) for r in picked]
-        work = work.withColumn("_range", nested_range(F.col("_key"), bounds))
+        work = ranged(work, [F.col("_key")])
     run = Window.partitionBy(*by, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     inner = work.select("*", *[F.sum(f"_t_{n}").over(run).alias(f"_r_{n}") for n in totals])
     sums = work.groupBy(*by, "_range").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals])
@@ -104,15 +86,7 @@ def value_cdf(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Da
         group = Window.partitionBy(*by, "col")
         upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         return counts.select(*by, "col", "value", "n_value", F.sum("n_value").over(upto).alias("n_upto"), F.sum("n_value").over(group).alias("n_total"))
-    ranges = range_count(df.count())
-    probs = [i / ranges for i in range(1, ranges)]
-    rng = F.lit(0)
-    if probs:
-        probe = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, max(2000, KEYS_PER_BOUND * ranges)).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        for i, c in enumerate(cols):
-            bounds = sorted(set(probe[f"q{i}"] or []))
-            rng = F.when(F.col("col") == c, nested_range(F.col("value"), [F.lit(b) for b in bounds])).otherwise(rng)
-    counts = counts.withColumn("_range", rng)
+    counts = ranged(counts, [F.col("col"), F.col("value")])
     run = Window.partitionBy("col", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inner = counts.withColumn("_run", F.sum("n_value").over(run))
     sums = counts.groupBy("col", "_range").agg(F.sum("n_value").alias("_s"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winback.functions.ranking import exact_quantiles, nested_range, ordered_totals, range_count, tercile
+from winback.functions.ranking import exact_quantiles, ordered_totals, range_count, ranged, tercile
 from winback.sources.staging import cut
 
 
@@ -202,41 +202,52 @@ def kaplan_meier(df: DataFrame, group: str) -> DataFrame:
     return per.select(group, "duration_days", "events", "at_risk", F.when(dead == 1, 0.0).otherwise(s).alias("survival"))
 
 
+def ordered_pairs(rank: np.ndarray, score: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each row the weight of all rows of higher rank and lower score, rows of equal score counted by half. score is ascending.
+
+    Two ranks differ first in one bit, so each pair is counted at that bit: among rows that agree above it, rows with the bit are summed in order of score.
+    """
+    out = np.zeros(len(rank))
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        group = rank >> (bit + 1)
+        order = np.argsort(group, kind="stable")
+        g, s, upper = group[order], score[order], (rank[order] >> bit & 1).astype(bool)
+        total = np.append(0.0, np.cumsum(np.where(upper, weight[order], 0)))
+        new = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))
+        tie = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(g))
+        start = np.searchsorted(g, g, "left")
+        under = (total[first[tie]] + total[last[tie]]) / 2 - total[start]
+        out[order[~upper]] += under[~upper]
+    return out
+
+
 def concordance(df: DataFrame, hazard: str) -> float:
     """Share of comparable pairs the hazard orders rightly, ties as one half. Exact, without forming pairs or copying rows.
 
-    Rows are folded to (duration, event, score) and cut into score ranges. What a range has to know of the lower ones is one count per
-    duration and event, so the sums of all ranges are small; inside a range the rows at risk after a day are counted in score order, day by day.
+    Rows are folded to (duration, event, score) and cut into score ranges. Of the lower ranges a range has to know one count for each day with an event: the rows at risk
+    after that day, summed from the latest day down inside each range and then over the ranges, both by Spark. Inside a range pairs are counted bit by bit of the day's rank.
     """
-    cells = cut(df.where(F.col(hazard).isNotNull()).groupBy(F.col("duration_days").cast("int").alias("d"), (F.col("event_observed") == 1).cast("int").alias("e"), F.col(hazard).cast("double").alias("s"))
-                .agg(F.count(F.lit(1)).alias("n")), "concordance")
-    ranges = range_count(cells.count())
-    probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(cells.agg(F.percentile_approx("s", probs, max(2000, 20 * ranges))).first()[0])) if probs else []
-    ranged = cells.withColumn("r", nested_range(F.col("s"), [F.lit(b) for b in bounds]))
-    sums = ranged.groupBy("r", "d", "e").agg(F.sum("n").alias("n")).toPandas()
-    days = sorted(sums.loc[sums["e"] == 1, "d"].unique().tolist())
-
-    def later(part: pd.DataFrame) -> np.ndarray:
-        """Rows of each (day, row) that are at risk after the day."""
-        d, e, n = (part[c].to_numpy() for c in ("d", "e", "n"))
-        return np.where((np.array(days)[:, None] < d) | ((np.array(days)[:, None] == d) & (e == 0)), n, 0)
-    below = {int(r): later(sums[sums["r"] < r]).sum(1) for r in sums["r"].unique()} if days else {}
-    every = later(sums).sum(1) if days else np.zeros(0)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        c = a = 0.0
+    cells = df.where(F.col(hazard).isNotNull()).groupBy(F.col("duration_days").cast("int").alias("d"), (F.col("event_observed") == 1).cast("int").alias("e"), F.col(hazard).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    cells = ranged(cells, [F.col("s")]).withColumnRenamed("_range", "r")
+    sums = cells.groupBy("r", "d", "e").agg(F.sum("n").alias("n"))
+    # every range has a place for every day with an event: ranges follow the cluster, so this is days x partitions
+    days = sums.where("e = 1").select("d").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(range_count(df.sparkSession) - 1))).alias("r"), "d", F.lit(1).alias("e"), F.lit(0).cast("long").alias("n"))
+    # of one day, censored rows outlive those with the event
+    grid = sums.unionByName(days).groupBy("r", "d", "e").agg(F.sum("n").alias("n")).withColumn("later", F.sum("n").over(Window.partitionBy("r").orderBy(F.desc("d"), "e").rowsBetween(Window.unboundedPreceding, -1)))
+    grid = grid.where("e = 1").select("r", "d", F.coalesce("later", F.lit(0)).alias("later"))
+    below = grid.withColumn("below", F.coalesce(F.sum("later").over(Window.partitionBy("d").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("every", F.sum("later").over(Window.partitionBy("d")))
+
+    def run(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return pd.DataFrame({"c": [0.0], "a": [0.0]})
         part = part.sort_values("s")
-        first = np.searchsorted(part["s"].to_numpy(), part["s"].to_numpy(), "left")
-        last = np.searchsorted(part["s"].to_numpy(), part["s"].to_numpy(), "right")
-        d, e, n = (part[x].to_numpy() for x in ("d", "e", "n"))
-        for k, day in enumerate(days):
-            hit = np.flatnonzero((d == day) & (e == 1))
-            if len(hit):
-                upto = np.append(0, np.cumsum(np.where((day < d) | ((day == d) & (e == 0)), n, 0)))
-                under = below[int(part["r"].iloc[0])][k] + (upto[first[hit]] + upto[last[hit]]) / 2
-                c += float((n[hit] * under).sum())
-                a += float(n[hit].sum()) * float(every[k])
-        return pd.DataFrame({"c": [c], "a": [a]})
-    got = ranged.groupBy("r").applyInPandas(run, "c double, a double").agg(F.sum("c").alias("c"), F.sum("a").alias("a")).first()
+        d, e, s, n = (part[x].to_numpy() for x in ("d", "e", "s", "n"))
+        _, rank = np.unique(2 * d.astype(np.int64) + (e == 0), return_inverse=True)
+        under = ordered_pairs(rank, s, n)
+        hit = e == 1
+        at = known.set_index("d").loc[d[hit]]
+        return pd.DataFrame({"c": [float((n[hit] * (under[hit] + at["below"].to_numpy())).sum())], "a": [float((n[hit] * at["every"].to_numpy()).sum())]})
+    got = cells.groupBy("r").cogroup(below.select("r", "d", "below", "every").groupBy("r")).applyInPandas(run, "c double, a double").agg(F.sum("c").alias("c"), F.sum("a").alias("a")).first()
     return got["c"] / got["a"] if got["a"] else 0.5
