@@ -66,8 +66,9 @@ def test_window_edges_and_change_rate(spark):
     assert spark.range(1).select(change_rate(F.lit(3), F.lit(0))).first()[0] == 0.0
 
 
-@pytest.mark.parametrize("k", [1, 3, 5])
-def test_recommend_equals_all_pairs(spark, k):
+@pytest.mark.parametrize("k, chunk", [(1, 64), (3, 2), (5, 2), (3, 1)])
+def test_recommend_equals_all_pairs(spark, monkeypatch, k, chunk):
+    monkeypatch.setattr(recommend, "CHUNK", chunk)
     rng = random.Random(3)
     cats = [f"c{i}" for i in range(6)]
     people = [(i, rng.choice("ab"), rng.choice("xy"), round(rng.random(), 2)) for i in range(12)]

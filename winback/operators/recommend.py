@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winback.functions.ranking import with_rank_pct
 from winback.functions.scalars import scalars
+from winback.sources.staging import cut
 
 # Event types that show interest.
 VIEW_EVENTS = ["view", "browse", "page_view", "search", "product_view", "add_to_cart"]
@@ -78,12 +81,38 @@ TARGET_ORDER = [("target_priority_score", True), ("expected_incremental_profit",
                 ("intervention_window_days", False), ("clv", True), ("customer_id", False)]
 
 
+#: Categories of a segment's list that a customer reads at once.
+CHUNK = 64
+
+
+def unseen_heads(c: DataFrame, lists: DataFrame, chunks: int, k: int) -> DataFrame:
+    """c with `found`: the first k categories of its segment's list that are not in its own `seen`.
+
+    The list comes in chunks; a round hands the next one, of one row a segment, to the customers that still need it. A customer is done once it has k, or once what follows in the list can no
+    longer reach `theta`, its own k-th best score. So what a customer reads depends on its own categories and scores only.
+    """
+    todo, done = c.withColumn("found", F.expr("CAST(array() AS array<struct<place:int,item_category:string,segment_popularity:double,base_score:double>>)")), []
+    for n in range(chunks):
+        head = F.broadcast(lists.where(F.col("chunk") == n).select("persona", "uplift_segment", "items"))  # segments x CHUNK entries, whatever the number of categories
+        fresh = F.filter("items", lambda x: ~F.coalesce(F.array_contains(F.col("seen"), x["item_category"]), F.lit(False)))
+        todo = todo.join(head, ["persona", "uplift_segment"]).withColumn("found", F.slice(F.concat("found", fresh), 1, k))
+        if n == chunks - 1:
+            return reduce(DataFrame.unionByName, [*done, todo.drop("items")])
+        reach = F.round(F.element_at("items", -1)["base_score"] + 0.05 * F.coalesce("coupon_affinity", F.lit(0.0)), 9)
+        todo = cut(todo.withColumn("ended", (F.size("found") >= k) | F.coalesce(reach < F.col("theta"), F.lit(False))).drop("items"), "heads")
+        done.append(todo.where("ended").drop("ended"))
+        todo = todo.where(~F.col("ended")).drop("ended")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    return todo
+
+
 def recommend(customers: DataFrame, pref: DataFrame, view: DataFrame, segment: DataFrame, everyone: DataFrame, k: int = 3) -> DataFrame:
     """Top-k categories per customer over all categories, without pairing every customer with every category.
 
     A category the customer never bought or viewed scores by segment and overall popularity only, so among
-    those the order is the same for a whole segment. The candidates are the customer's own categories and
-    the first k + (own count) of the segment's list: always enough for k unseen ones.
+    those the order is the same for a whole segment. Two sorted lists are walked: the customer's own categories, and its segment's
+    until it has k unseen ones or their bound is below the k-th own score.
     """
     cats = everyone.select("item_category").unionByName(pref.select("item_category")).unionByName(view.select("item_category")).distinct()
     n_all = cats.count()
@@ -102,7 +131,9 @@ def recommend(customers: DataFrame, pref: DataFrame, view: DataFrame, segment: D
     base = (0.20 * scaled(F.col("segment_popularity"), F.min("segment_popularity").over(w), F.max("segment_popularity").over(w))
             + 0.15 * scaled(F.col("global_popularity"), F.lit(pops["lo"]), F.lit(pops["hi"])))
     seg_cat = seg_cat.withColumn("base_score", base)
-    seg_cat = seg_cat.withColumn("place", F.row_number().over(w.orderBy(F.desc("base_score"), "item_category")))
+    seg_cat = cut(seg_cat.withColumn("place", F.row_number().over(w.orderBy(F.desc("base_score"), "item_category"))), "segment-lists")
+    chunk = F.floor((F.col("place") - 1) / CHUNK).cast("int").alias("chunk")
+    lists = seg_cat.groupBy("persona", "uplift_segment", chunk).agg(F.array_sort(F.collect_list(F.struct("place", "item_category", "segment_popularity", "base_score"))).alias("items"))
     own = pref.join(view, ["customer_id", "item_category"], "full").select(
         "customer_id", "item_category", F.coalesce("customer_pref_score", F.lit(0.0)).alias("p"), F.coalesce("view_score", F.lit(0.0)).alias("v"))
     span = own.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_own"), F.min("p").alias("plo"), F.max("p").alias("phi"), F.min("v").alias("vlo"), F.max("v").alias("vhi"))
@@ -110,17 +141,19 @@ def recommend(customers: DataFrame, pref: DataFrame, view: DataFrame, segment: D
     full = F.col("n_own") >= n_all                # only then can the smallest own value be above zero
     lo = lambda x: F.when(full, F.coalesce(F.col(x), F.lit(0.0))).otherwise(0.0)
     c = c.withColumns({"plo": lo("plo"), "vlo": lo("vlo"), "phi": F.coalesce("phi", F.lit(0.0)), "vhi": F.coalesce("vhi", F.lit(0.0))})
-    # one row a segment with the head of its list; a customer reads as much of it as it needs, and meets no other category
-    longest = (c.agg(F.max("n_own")).first()[0] or 0) + k
-    heads = seg_cat.where(F.col("place") <= longest).groupBy("persona", "uplift_segment").agg(F.array_sort(F.collect_list(F.struct("place", "item_category"))).alias("head"))
-    listed = c.join(heads, ["persona", "uplift_segment"]).select("customer_id", F.explode(F.slice("head", F.lit(1), (F.col("n_own") + k).cast("int"))).alias("h")).select("customer_id", "h.item_category")
-    pairs = listed.unionByName(own.select("customer_id", "item_category").join(c.select("customer_id"), "customer_id", "left_semi")).distinct()
-    j = pairs.join(c, "customer_id").join(own, ["customer_id", "item_category"], "left").join(seg_cat.drop("place"), ["persona", "uplift_segment", "item_category"])
-    j = j.withColumns({"p": F.coalesce("p", F.lit(0.0)), "v": F.coalesce("v", F.lit(0.0))})
-    score = (0.50 * scaled(F.col("p"), F.col("plo"), F.col("phi")) + 0.15 * scaled(F.col("v"), F.col("vlo"), F.col("vhi")) + F.col("base_score")
-             + 0.05 * F.coalesce("coupon_affinity", F.lit(0.0)))
-    j = j.withColumn("recommendation_score", F.round(score, 9))
+    score = F.round(0.50 * scaled(F.col("p"), F.col("plo"), F.col("phi")) + 0.15 * scaled(F.col("v"), F.col("vlo"), F.col("vhi")) + F.col("base_score")
+                    + 0.05 * F.coalesce("coupon_affinity", F.lit(0.0)), 9)
+    columns = ["customer_id", "persona", "uplift_segment", "item_category", "p", "v", "segment_popularity", "recommendation_score"]
     top = Window.partitionBy("customer_id").orderBy(F.desc("recommendation_score"), "item_category")
+    # own categories beyond the k best can't be among the k best of all
+    mine = own.join(c, "customer_id").join(seg_cat.drop("place"), ["persona", "uplift_segment", "item_category"]).withColumn("recommendation_score", score)
+    best = mine.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+    theta = best.groupBy("customer_id").agg(F.min(F.when(F.col("_r") == k, F.col("recommendation_score"))).alias("theta"))
+    seen = own.groupBy("customer_id").agg(F.collect_set("item_category").alias("seen"))
+    asked = c.join(seen, "customer_id", "left").join(theta, "customer_id", "left")
+    heads = unseen_heads(asked, lists, max(1, -(-n_all // CHUNK)), k).select(*c.columns, F.explode("found").alias("h"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"))
+    heads = heads.select("*", "h.item_category", "h.segment_popularity", "h.base_score").withColumn("recommendation_score", score)
+    j = best.select(*columns).unionByName(heads.select(*columns))
     return j.withColumn("recommendation_rank", F.row_number().over(top)).where(F.col("recommendation_rank") <= k).select(
         "customer_id", "persona", "uplift_segment", "recommendation_rank", F.col("item_category").alias("recommended_category"),
         "recommendation_score", reasons().alias("reason_tags"))

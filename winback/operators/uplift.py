@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from winback.functions.ranking import ordered_totals, quantile_values
 from winback.functions.scalars import clip, minmax, ratio, scalars, stable_unit
 from winback.operators.churn import preprocess
+from winback.sources.staging import cut
 
 ARMS = ["control", "low", "mid", "high"]
 
@@ -25,19 +28,25 @@ def _p(model, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(name))
 
 
-def s_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42) -> DataFrame:
-    """One model with the treatment flag as a feature; the gain is the difference of two predictions."""
-    model = _forest([*numeric, "treatment_flag"], text, trees, seed).fit(df)
+def s_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42, on: DataFrame | None = None) -> DataFrame:
+    """One model with the treatment flag as a feature; the gain is the difference of two predictions. Fitted on df, applied to `on` (df itself where it isn't given)."""
+    model, on = _forest([*numeric, "treatment_flag"], text, trees, seed).fit(df), df if on is None else on
     flag = F.col("treatment_flag")
-    on = _p(model, df.withColumns({"_flag": flag, "treatment_flag": F.lit(1.0)}), "_p1")
-    both = _p(model, on.withColumn("treatment_flag", F.lit(0.0)), "_p0")
+    with_ = _p(model, on.withColumns({"_flag": flag, "treatment_flag": F.lit(1.0)}), "_p1")
+    both = _p(model, with_.withColumn("treatment_flag", F.lit(0.0)), "_p0")
     return both.withColumn("treatment_flag", F.col("_flag")).withColumn("predicted_uplift", F.col("_p1") - F.col("_p0")).drop("_flag", "_p1", "_p0")
 
 
-def t_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42) -> DataFrame:
+def _arms(df: DataFrame, numeric: list[str], text: list[str], trees: int, seed: int, on: DataFrame) -> DataFrame:
+    """`on` with the outcome that a model of the treated (_p1) and one of the others (_p0) of df expect."""
     treated = _forest(numeric, text, trees, seed).fit(df.where("treatment_flag = 1"))
     control = _forest(numeric, text, trees, seed).fit(df.where("treatment_flag = 0"))
-    return _p(control, _p(treated, df, "_p1"), "_p0").withColumn("predicted_uplift", F.col("_p1") - F.col("_p0")).drop("_p1", "_p0")
+    return _p(control, _p(treated, on, "_p1"), "_p0")
+
+
+def t_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42, on: DataFrame | None = None) -> DataFrame:
+    both = _arms(df, numeric, text, trees, seed, df if on is None else on)
+    return both.withColumn("predicted_uplift", F.col("_p1") - F.col("_p0")).drop("_p1", "_p0")
 
 
 def dr_pseudo(df: DataFrame, p1: str, p0: str, propensity: float) -> Column:
@@ -47,13 +56,46 @@ def dr_pseudo(df: DataFrame, p1: str, p0: str, propensity: float) -> Column:
     return clip(F.col(p1) - F.col(p0) + w * (y - F.col(p1)) / e - (1 - w) * (y - F.col(p0)) / (1 - e), -0.5, 0.5)
 
 
-def dr_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42) -> DataFrame:
-    treated = _forest(numeric, text, trees, seed).fit(df.where("treatment_flag = 1"))
-    control = _forest(numeric, text, trees, seed).fit(df.where("treatment_flag = 0"))
-    both = _p(control, _p(treated, df, "_p1"), "_p0")
+def _gain_model(df: DataFrame, numeric: list[str], text: list[str], trees: int, seed: int):
+    return Pipeline(stages=[*preprocess(numeric, text), RandomForestRegressor(labelCol="_pseudo", numTrees=trees, maxDepth=5, seed=seed)]).fit(df)
+
+
+def dr_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42, on: DataFrame | None = None) -> DataFrame:
+    both = _arms(df, numeric, text, trees, seed, df)
     both = both.withColumn("_pseudo", dr_pseudo(both, "_p1", "_p0", scalars(df, w=F.avg("treatment_flag"))["w"]))
-    reg = Pipeline(stages=[*preprocess(numeric, text), RandomForestRegressor(labelCol="_pseudo", numTrees=trees, maxDepth=5, seed=seed)]).fit(both)
-    return reg.transform(both).select(*df.columns, F.col("prediction").alias("predicted_uplift"))
+    on = df if on is None else on
+    return _gain_model(both, numeric, text, trees, seed).transform(on).select(*on.columns, F.col("prediction").alias("predicted_uplift"))
+
+
+LEARNERS = {"s_learner": s_learner, "t_learner": t_learner, "dr_learner": dr_learner}
+FOLDS = 3
+
+
+def fold(folds: int) -> Column:
+    """The fold of a customer, by a hash of its id: all its rows are in one."""
+    return F.pmod(F.xxhash64("customer_id", F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows where and in the order that their customer decides: a forest draws its bootstrap by partition and place, so a repeated fit is the same."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "customer_id").sortWithinPartitions("customer_id")
+
+
+def cross_fitted(df: DataFrame, learner: str, numeric: list[str], text: list[str], folds: int = FOLDS, trees: int = 40, seed: int = 42) -> DataFrame:
+    """df with `predicted_uplift`, every customer scored by models that have not seen it.
+
+    The doubly robust learner is held out twice: the arms' models that make a customer's pseudo-outcome are fitted without its fold, and so is the model of the pseudo-outcomes
+    that scores it.
+    """
+    d = cut(df.withColumn("_fold", fold(folds)), "folds")
+    parts = [(settled(d.where(F.col("_fold") != k)), d.where(F.col("_fold") == k)) for k in range(folds)]
+    if learner != "dr_learner":
+        return reduce(DataFrame.unionByName, [LEARNERS[learner](train, numeric, text, trees, seed, on=held) for train, held in parts]).drop("_fold")
+    share = scalars(df, w=F.avg("treatment_flag"))["w"]
+    both = reduce(DataFrame.unionByName, [_arms(train, numeric, text, trees, seed, held) for train, held in parts])
+    both = cut(both.withColumn("_pseudo", dr_pseudo(both, "_p1", "_p0", share)), "pseudo-outcomes")
+    scored = [_gain_model(settled(both.where(F.col("_fold") != k)), numeric, text, trees, seed).transform(both.where(F.col("_fold") == k)) for k in range(folds)]
+    return reduce(DataFrame.unionByName, [x.select(*df.columns, F.col("prediction").alias("predicted_uplift")) for x in scored])
 
 
 def qini(df: DataFrame, score: str, outcome: str = "retained", flag: str = "treatment_flag") -> DataFrame:

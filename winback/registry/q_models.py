@@ -17,7 +17,7 @@ from winback.registry.q_features import fm, label, snapshots
 from winback.registry.q_report import outcomes, row
 from winback.registry.tables import mm, rank_pct, unit
 from winback.sources import adapters as A
-from winback.sources.staging import staged
+from winback.sources.staging import staged, version
 
 NUM = ["frequency", "monetary", "price_sensitivity", "coupon_affinity", "support_contact_propensity", "discount_pressure_score", "account_balance", "exposure_count"]
 TEXT = ["persona", "region"]
@@ -215,26 +215,33 @@ def uplift_curve(spark, d):
     return qini_rows(spark, d).select("customer_id", F.round(F.col("qini_gain") / F.col("fraction"), 6).alias("uplift"))
 
 
+def learned(spark, d, name):
+    """Held-out scores of one learner."""
+    return staged(spark, d, f"{name}_scored", lambda: U.cross_fitted(upl(spark, d), name, UNUM, ["persona"]))
+
+
+def _uplift(spark, d, name):
+    return learned(spark, d, name).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+
+
 @query("s_learner")
 def s_learner(spark, d):
-    return staged(spark, d, "s_learner_scored", lambda: U.s_learner(upl(spark, d), UNUM, ["persona"])).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+    return _uplift(spark, d, "s_learner")
 
 
 @query("t_learner")
 def t_learner(spark, d):
-    return staged(spark, d, "t_learner_scored", lambda: U.t_learner(upl(spark, d), UNUM, ["persona"])).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+    return _uplift(spark, d, "t_learner")
 
 
 @query("dr_learner")
 def dr_learner(spark, d):
-    return staged(spark, d, "dr_learner_scored", lambda: U.dr_learner(upl(spark, d), UNUM, ["persona"])).select("customer_id", F.round("predicted_uplift", 6).alias("predicted_uplift"))
+    return _uplift(spark, d, "dr_learner")
 
 
 @query("learner_select")
 def learner_select(spark, d):
-    u = upl(spark, d)
-    scored = {name: staged(spark, d, f"{name}_scored", lambda f=f: f(u, UNUM, ["persona"])) for name, f in (("s_learner", U.s_learner), ("t_learner", U.t_learner), ("dr_learner", U.dr_learner))}
-    best, areas = U.select_learner(scored)
+    best, areas = U.select_learner({name: learned(spark, d, name) for name in U.LEARNERS})
     return spark.createDataFrame([(k, float(v), int(k == best)) for k, v in areas.items()], "learner string, auuc double, selected int")
 
 
@@ -455,7 +462,7 @@ _COX = {}
 
 
 def cox(spark, d):
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, version(spark, d))
     if key not in _COX:
         f, cols = S.encode(surv_frame(spark, d), SNUM, ["persona"])
         keep = [r["col"] for r in S.encoded_stats(f, cols).where("verdict = 'keep'").orderBy(F.desc("variance")).limit(140).collect()]

@@ -481,10 +481,27 @@ def sink_snapshot_topn(spark, d):
     return spark.read.schema("customer_id long, churn_score double").csv(path, header=True).select("customer_id", *R6("churn_score"), F.lit(n).alias("high_risk"))
 
 
-@query("stage_jobs", "SELECT * FROM (SELECT 'summary' stage, count(*) AS n FROM c_summary UNION ALL SELECT 'segments', count(*) FROM c_segments UNION ALL SELECT 'pool', count(*) FROM c_pool UNION ALL SELECT 'cohorts', count(*) FROM c_cohort)")
+def batch_run(spark, d):
+    """The folder of one finished run of all stages."""
+    def build():
+        folder = new_path(spark, "batch-run")
+        J.Run(spark, folder, d, J.batch_stages(spark, d)).go()
+        return spark.createDataFrame([(folder,)], "folder string")
+    return J.Run(spark, staged(spark, d, "batch_run_folder", build).first()["folder"], d, J.batch_stages(spark, d))
+
+
+@query("stage_jobs", """SELECT 'summary' stage, count(*) AS n FROM c_summary UNION ALL SELECT 'segments', count(*) FROM c_segments UNION ALL SELECT 'pool', count(*) FROM c_pool UNION ALL SELECT 'cohorts', count(*) FROM c_cohort
+UNION ALL SELECT 'uplift_model', count(*) FROM c_upl UNION ALL SELECT 'survival_model', count(*) FROM c_summary UNION ALL SELECT 'dose_model', count(*) FROM c_dose UNION ALL SELECT 'fitted_actions', 3 * count(*) FROM c_summary""")
 def stage_jobs(spark, d):
-    """One job function per stage, run in order; rows per stage."""
-    return J.run_stages(spark, d)
+    """Rows of every stage of the batch run, models included, whose number doesn't hang on what the models say."""
+    return batch_run(spark, d).rows().where(~F.col("stage").isin("fitted_pool", "fitted_selected"))
+
+
+@query("fitted_plan")
+def fitted_plan(spark, d):
+    """Whom to contact by the fitted models."""
+    got = batch_run(spark, d).table("fitted_selected")
+    return got.select("customer_id", "intervention_intensity", "coupon_cost", *R6("uplift_score", "expected_incremental_profit", "selection_score"))
 
 
 @query("session_window_counts", "SELECT customer_id, count(*) sessions, max(n) longest FROM (SELECT customer_id, s, count(*) n FROM (SELECT *, sum(brk) OVER (PARTITION BY customer_id ORDER BY event_time, event_id) s FROM (SELECT *, (coalesce(epoch_us(event_time) - epoch_us(lag(event_time) OVER (PARTITION BY customer_id ORDER BY event_time, event_id)), 1e18) >= 7200000000)::INTEGER brk FROM c_events)) GROUP BY 1, 2) GROUP BY 1")
