@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winback.functions.ranking import exact_quantiles, previous_in_key
 from winback.functions.scalars import change_rate, clip, days_between, in_window, ratio, scalars
+from winback.sources.staging import cut
 
 # The standard event types, in alphabetical order.
 EVENT_TYPES = ["add_to_cart", "coupon_open", "coupon_redeem", "other", "page_view", "purchase", "remove_from_cart", "search",
@@ -167,16 +165,45 @@ def recent_sequence(events: DataFrame, as_of: str, n: int = 10) -> DataFrame:
     return top.groupBy("customer_id").agg(F.array_join(F.transform(packed, lambda x: x["event_type"]), " > ").alias("recent_event_sequence"))
 
 
-def behaviour_cluster(features: DataFrame, k: int = 6, seed: int = 42) -> DataFrame:
-    """K-means on the event type shares of a customer."""
+#: Steps of the clustering. A fixed number, so that a repeated run ends in the same place.
+LLOYD_STEPS = 8
+
+
+def event_mix(features: DataFrame) -> DataFrame:
+    """(customer_id, mix): the share of each event type, for customers with an event."""
     total = sum((F.col(f"n_{t}") for t in EVENT_TYPES), F.lit(0))
-    mix = features.withColumn("_t", total).where("_t > 0").select(
-        "customer_id", *[(F.col(f"n_{t}") / F.col("_t")).alias(f"share_{t}") for t in EVENT_TYPES])
-    cols = [f"share_{t}" for t in EVENT_TYPES]
+    return features.withColumn("_t", total).where("_t > 0").select("customer_id", F.array(*[F.round(F.col(f"n_{t}") / F.col("_t"), 9) for t in EVENT_TYPES]).alias("mix"))
+
+
+def _apart(a: Column, centre: list[float]) -> Column:
+    return F.round(sum(((a[i] - F.lit(x)) * (a[i] - F.lit(x)) for i, x in enumerate(centre)), F.lit(0.0)), 9)
+
+
+def _nearest(centres: list[list[float]]) -> Column:
+    """(squared distance, number) of the nearest centre, the first of equally near ones."""
+    return F.array_min(F.array(*[F.struct(_apart(F.col("mix"), c).alias("far"), F.lit(i).alias("id")) for i, c in enumerate(centres)]))
+
+
+def behaviour_cluster(features: DataFrame, k: int = 6, steps: int = LLOYD_STEPS) -> DataFrame:
+    """Clusters of the event type shares of a customer: k-means by plain aggregates.
+
+    The first centre is the mix of the smallest customer_id, each further one the mix farthest from those before it (of the smallest customer_id among equally far ones). Then come a
+    fixed number of steps, each one aggregate over all customers of which k means reach the driver; a centre without customers stays. Shares, distances and means are held to
+    nine places, so the order of summing doesn't show.
+    """
+    mix = cut(event_mix(features), "event-mix")
     k = max(2, min(k, mix.limit(k + 1).count()))
-    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="mix"),
-                             KMeans(featuresCol="mix", predictionCol="behavior_cluster_id", k=k, seed=seed)]).fit(mix)
-    return model.transform(mix).select("customer_id", "behavior_cluster_id")
+    first = mix.agg(F.min_by("mix", "customer_id")).first()[0]
+    if first is None:
+        return mix.select("customer_id", F.lit(0).alias("behavior_cluster_id"))
+    centres = [list(first)]
+    while len(centres) < k:
+        centres.append(list(mix.agg(F.max_by("mix", F.struct(_nearest(centres)["far"].alias("far"), (-F.col("customer_id")).alias("id")))).first()[0]))
+    for _ in range(steps):
+        means = mix.groupBy(_nearest(centres)["id"].alias("id")).agg(*[F.round(F.avg(F.col("mix")[i]), 9).alias(f"m{i}") for i in range(len(EVENT_TYPES))]).collect()
+        for r in means:
+            centres[r["id"]] = [r[f"m{i}"] for i in range(len(EVENT_TYPES))]
+    return mix.select("customer_id", _nearest(centres)["id"].alias("behavior_cluster_id"))
 
 
 def activity_snapshots(activity: DataFrame, amounts: DataFrame, end: str, step: int = 7, risk: int = 30) -> DataFrame:
@@ -339,7 +366,7 @@ def exposure_features(exposures: DataFrame, as_of: str, mid: int = 30) -> DataFr
 def feature_matrix(customers: DataFrame, events: DataFrame, orders: DataFrame, as_of: str, short: int = 14, mid: int = 30,
                    long: int = 90, n_recent: int = 10, exposures: DataFrame | None = None, parts: list[DataFrame] | None = None) -> DataFrame:
     """The joined per-customer feature table. Each part is aggregated to one row per customer before it is joined; `parts` are further
-    tables with one row per customer (states, time of day, clusters)."""
+    tables with one row per customer (states, clusters)."""
     end = _ts(as_of)
     out = customers
     for part in (event_features(events, as_of, short, mid, long), active_days(events, as_of, mid), order_features(orders, as_of, mid, long),

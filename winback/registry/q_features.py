@@ -137,22 +137,24 @@ def session_conversion(spark, d):
 
 
 def fm(spark, d):
-    """The feature table with exposures, times of day, behaviour cluster and state."""
+    """The feature table with exposures."""
     def build():
-        cluster = behaviour_cluster(spark, d)
-        further = [time_of_day_ratios(spark, d), cluster.select("customer_id", *[c for c in cluster.columns if c != "customer_id"]), state_at_asof(spark, d)]
-        return X.feature_matrix(A.customers(spark, d).select("customer_id", "persona", "signup_date"), A.events(spark, d), A.event_orders(spark, d), END, S, M, L,
-                                exposures=A.exposures(spark, d), parts=further)
+        return X.feature_matrix(A.customers(spark, d).select("customer_id", "persona", "signup_date"), A.events(spark, d), A.event_orders(spark, d), END, S, M, L, exposures=A.exposures(spark, d))
     return staged(spark, d, "features", build)
 
 
+_xwin = ", ".join(f"count(*) FILTER ({win('exposure_time', M, back)}) x{i}" for i, back in enumerate((0, M)))
+
+
 @query("conversion_rates", f"""SELECT c.customer_id, {div(f'frequency_{M}d', f'searches_{M}d')} search_to_purchase_conversion_{M}d, {div(f'frequency_prev_{M}d', f'searches_prev_{M}d')} search_to_purchase_conversion_prev_{M}d,
   {div(f'frequency_{M}d', f'add_to_cart_{M}d')} cart_to_purchase_rate_{M}d,
-  {rate(f'coalesce(frequency_{M}d / nullif(searches_{M}d, 0), 0)', f'coalesce(frequency_prev_{M}d / nullif(searches_prev_{M}d, 0), 0)')} search_purchase_conv_change_rate
-FROM c_customers c LEFT JOIN c_evt USING (customer_id) LEFT JOIN c_ord USING (customer_id)""")
+  {rate(f'coalesce(frequency_{M}d / nullif(searches_{M}d, 0), 0)', f'coalesce(frequency_prev_{M}d / nullif(searches_prev_{M}d, 0), 0)')} search_purchase_conv_change_rate,
+  {div(f'coupon_open_{M}d', 'x0')} coupon_open_rate_{M}d, {div(f'coupon_open_prev_{M}d', 'x1')} coupon_open_rate_prev_{M}d,
+  {rate(f'coalesce(coupon_open_{M}d / nullif(x0, 0), 0)', f'coalesce(coupon_open_prev_{M}d / nullif(x1, 0), 0)')} coupon_response_change_rate
+FROM c_customers c LEFT JOIN c_evt USING (customer_id) LEFT JOIN c_ord USING (customer_id) LEFT JOIN (SELECT customer_id, {_xwin} FROM c_exposures GROUP BY 1) USING (customer_id)""")
 def conversion_rates(spark, d):
     return fm(spark, d).select("customer_id", f"search_to_purchase_conversion_{M}d", f"search_to_purchase_conversion_prev_{M}d", f"cart_to_purchase_rate_{M}d",
-                               "search_purchase_conv_change_rate")
+                               "search_purchase_conv_change_rate", f"coupon_open_rate_{M}d", f"coupon_open_rate_prev_{M}d", "coupon_response_change_rate")
 
 
 _win = lambda c, end, n: f"{c} > {end} - INTERVAL {n} DAY AND {c} <= {end}"
@@ -170,9 +172,35 @@ def recent_sequence(spark, d):
     return X.recent_sequence(A.events(spark, d), END)
 
 
-@query("behaviour_cluster")
+_K, _N = 6, len(TYPES)
+cte("c_mix", f"SELECT customer_id, [{', '.join(f'round(n_{t} / t::DOUBLE, 9)' for t in TYPES)}]::DOUBLE[] mix FROM (SELECT *, {' + '.join(f'n_{t}' for t in TYPES)} t FROM c_evt) WHERE t > 0")
+
+
+def _far(centre):
+    return "round(" + " + ".join(f"(mix[{i}] - {centre}[{i}]) * (mix[{i}] - {centre}[{i}])" for i in range(1, _N + 1)) + ", 9)::DOUBLE"
+
+
+# centres: each the mix farthest from those before, then the means of what is nearest to them, step by step
+cte("c_centre_1", "SELECT [arg_min(mix, customer_id)] cs FROM c_mix")
+for _k in range(2, _K + 1):
+    cte(f"c_centre_{_k}", f"SELECT list_append(cs, mix) cs FROM c_mix, c_centre_{_k - 1} ORDER BY least({', '.join(_far(f'cs[{j}]') for j in range(1, _k))}, 1e9::DOUBLE) DESC, customer_id LIMIT 1")
+
+
+def _assigned(centres):
+    far = f"[{', '.join(_far(f'cs[{j}]') for j in range(1, _K + 1))}]"
+    return f"SELECT customer_id, mix, cs, (list_position({far}, list_min({far})) - 1)::INTEGER id FROM c_mix, {centres}"
+
+
+cte("c_step_0", f"SELECT cs FROM c_centre_{_K}")
+for _k in range(1, X.LLOYD_STEPS + 1):
+    cte(f"c_step_{_k}", f"""SELECT list(coalesce(m, p.cs[i]) ORDER BY i) cs FROM (SELECT unnest(range(1, {_K + 1})) i) CROSS JOIN c_step_{_k - 1} p
+ LEFT JOIN (SELECT id, [{', '.join(f'round(avg(mix[{i}]), 9)' for i in range(1, _N + 1))}]::DOUBLE[] m FROM ({_assigned(f'c_step_{_k - 1}')}) GROUP BY id) ON id = i - 1""")
+cte("c_cluster", f"SELECT customer_id, id behavior_cluster_id FROM ({_assigned(f'c_step_{X.LLOYD_STEPS}')})")
+
+
+@query("behaviour_cluster", "SELECT * FROM c_cluster")
 def behaviour_cluster(spark, d):
-    return X.behaviour_cluster(staged(spark, d, "event_features", lambda: evt(spark, d)))
+    return staged(spark, d, "behaviour_cluster", lambda: X.behaviour_cluster(staged(spark, d, "event_features", lambda: evt(spark, d))))
 
 
 @query("dominant_event", f"SELECT customer_id, coalesce(dominant, 'none') dominant_event_type_{L}d FROM c_evt LEFT JOIN c_dom USING (customer_id)")
@@ -253,9 +281,12 @@ def summary_snapshots(spark, d):
     return s.withColumn("snapshot_date", F.date_format("snapshot_date", "yyyy-MM-dd"))
 
 
-@query("state_at_asof", f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY snapshot_date DESC) rn FROM c_snapshots WHERE snapshot_date <= DATE '{params.AS_OF_ORDERS}'),
+cte("c_state_at", f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY snapshot_date DESC) rn FROM c_snapshots WHERE snapshot_date <= DATE '{params.AS_OF_ORDERS}'),
 l AS (SELECT customer_id, snapshot_date d, current_status s, inactivity_days i FROM h WHERE rn = 1), b AS (SELECT l.customer_id, max(h.snapshot_date) FILTER (current_status <> s) brk FROM l JOIN h USING (customer_id) GROUP BY 1)
 SELECT customer_id, any_value(s) current_journey_stage, any_value(i) inactivity_days, (any_value(d) - min(snapshot_date) FILTER (brk IS NULL OR snapshot_date > brk) + 1)::INTEGER journey_stage_days FROM h JOIN l USING (customer_id) JOIN b USING (customer_id) GROUP BY 1""")
+
+
+@query("state_at_asof", "SELECT * FROM c_state_at")
 def state_at_asof(spark, d):
     return X.state_at(snapshots(spark, d), params.AS_OF_ORDERS)
 
@@ -317,6 +348,15 @@ def feature_matrix(spark, d):
         "session_duration_change_rate", "recent_event_sequence", f"dominant_event_type_{L}d")
 
 
+@query("feature_matrix_full", f"""SELECT c.customer_id, CASE WHEN total IS NOT NULL THEN {div('ev', 'total')} END evening_activity_ratio, CASE WHEN total IS NOT NULL THEN {div('e.we', 'total')} END weekend_activity_ratio,
+ CASE WHEN frequency_{L}d IS NOT NULL THEN {div('o.we', f'frequency_{L}d')} END weekend_purchase_ratio,
+ behavior_cluster_id, current_journey_stage, journey_stage_days FROM c_customers c LEFT JOIN c_evt e USING (customer_id) LEFT JOIN c_ord o USING (customer_id) LEFT JOIN c_cluster USING (customer_id) LEFT JOIN c_state_at USING (customer_id)""")
+def feature_matrix_full(spark, d):
+    """The feature table with behaviour cluster and state beside it."""
+    full = fm(spark, d).join(behaviour_cluster(spark, d), "customer_id", "left").join(state_at_asof(spark, d).drop("inactivity_days"), "customer_id", "left")
+    return full.select("customer_id", "evening_activity_ratio", "weekend_activity_ratio", "weekend_purchase_ratio", "behavior_cluster_id", "current_journey_stage", "journey_stage_days")
+
+
 def _pct(col):
     from winback.registry.tables import rank_pct
     return rank_pct(col)
