@@ -65,7 +65,7 @@ def triggers(current: Column, previous: Column, kind: Column, idle: Column) -> C
     return F.array_join(F.array_compact(F.array(*cells)), ", ")
 
 
-#: Half-lives in a stretch of days; powers of two up to it stay far inside a double, and what is older than a stretch is below 2^-500.
+#: Shortest half-lives in a stretch of days; powers of two up to it stay far inside a double. What is older than the stretch before is below 2^-90 even of the longest half-life.
 STRETCH = 500
 
 
@@ -74,8 +74,8 @@ def replay(events: DataFrame, base: DataFrame) -> DataFrame:
 
     Signals only decay and add. Inside a (customer, day) they are running sums of 2^(hours of the day / half-life), scaled back to the
     event's time, so a very busy customer is spread over its days. What earlier days carry over comes from one row a
-    day: sums relative to the start of a stretch of STRETCH half-lives, plus the stretch before it, so no power
-    overflows however long the history is.
+    day: sums relative to the start of a stretch of days, plus the stretch before it, so no power
+    overflows however long the history is. All signals share two windows.
     """
     day = F.to_date("event_time")
     start = F.unix_micros(F.col("_day").cast("timestamp"))
@@ -83,17 +83,15 @@ def replay(events: DataFrame, base: DataFrame) -> DataFrame:
     e = e.withColumns({f"_x_{n}": F.when(F.col("event_type") == kind, F.pow(F.lit(2.0), F.col("_h") / half)).otherwise(0.0) for n, kind, half, _ in SIGNALS})
     daily = e.groupBy("customer_id", "_day").agg(*[F.sum(f"_x_{n}").alias(f"_d_{n}") for n in NAMES], F.count(F.lit(1)).alias("_d_seen"))
     past = Window.partitionBy("customer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    span = STRETCH * min(h for _, _, h, _ in SIGNALS)                      # hours of a stretch, one for all signals
     daily = daily.withColumns({"_c_seen": F.coalesce(F.sum("_d_seen").over(past), F.lit(0)), "_at": F.unix_date("_day") * 24.0})
-    for half in sorted({h for _, _, h, _ in SIGNALS}):
-        tag = f"_s{half:g}"
-        daily = daily.withColumn(tag, F.floor(F.col("_at") / (STRETCH * half)).cast("long"))
-        into = (F.col("_at") - F.col(tag) * (STRETCH * half)) / half          # half-lives since the stretch began
-        here = Window.partitionBy("customer_id", tag).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-        before = Window.partitionBy("customer_id").orderBy(tag).rangeBetween(-1, -1)
-        for n in [n for n, _, h, _ in SIGNALS if h == half]:
-            scaled = F.col(f"_d_{n}") * F.pow(F.lit(2.0), into)
-            daily = daily.withColumn("_scaled", scaled).withColumn(f"_c_{n}", F.pow(F.lit(2.0), -into) * (
-                F.coalesce(F.sum("_scaled").over(here), F.lit(0.0)) + F.coalesce(F.sum("_scaled").over(before), F.lit(0.0)) * 2.0 ** -STRETCH))
+    daily = daily.withColumn("_s", F.floor(F.col("_at") / span).cast("long")).withColumn("_into", F.col("_at") - F.col("_s") * span)
+    here = Window.partitionBy("customer_id", "_s").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("customer_id").orderBy("_s").rangeBetween(-1, -1)
+    halves = {n: half for n, _, half, _ in SIGNALS}
+    daily = daily.withColumns({f"_w_{n}": F.col(f"_d_{n}") * F.pow(F.lit(2.0), F.col("_into") / half) for n, half in halves.items()})
+    daily = daily.withColumns({f"_h_{n}": F.coalesce(F.sum(f"_w_{n}").over(here), F.lit(0.0)) for n in halves}).withColumns({f"_b_{n}": F.coalesce(F.sum(f"_w_{n}").over(before), F.lit(0.0)) for n in halves})
+    daily = daily.withColumns({f"_c_{n}": F.pow(F.lit(2.0), -F.col("_into") / half) * (F.col(f"_h_{n}") + F.col(f"_b_{n}") * 2.0 ** -(span / half)) for n, half in halves.items()})
     inside = Window.partitionBy("customer_id", "_day").orderBy("event_time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     s = e.join(daily.select("customer_id", "_day", *[f"_c_{n}" for n in [*NAMES, "seen"]]), ["customer_id", "_day"])
     s = s.withColumns({**{n: (F.sum(f"_x_{n}").over(inside) + F.col(f"_c_{n}")) * F.pow(F.lit(2.0), -F.col("_h") / half) for n, _, half, _ in SIGNALS},
