@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winback.functions.ranking import exact_quantiles, ordered_totals, range_count, ranged, tercile
-from winback.sources.staging import cut
 
 
 def activity(events: DataFrame, orders: DataFrame) -> DataFrame:

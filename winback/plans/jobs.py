@@ -12,7 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from winback import params
 from winback.sources.catalog import exists
@@ -124,8 +123,6 @@ class Run:
 def batch_stages(spark: SparkSession, d: str) -> list[Stage]:
     """The batch run over the test tables: summary, fitted models, decisions with both plain and fitted scores, and reports."""
     from winback.operators import cohort, policy
-    from winback.operators import survival as S
-    from winback.operators import uplift as U
     from winback.plans import decision, fitted
     from winback.plans.summary import customer_summary
     from winback.sources import adapters
