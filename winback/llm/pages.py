@@ -1,28 +1,32 @@
-"""Main text of pages by marked regions and text frequency, with union-free wrappers of hosts.
-
-A page is a nested stream of tags and texts. Repeated neighbours, and repeated groups of them, are folded, so pages of one template have few
-distinct streams; Spark folds equal streams of a host before anything meets. The streams of a host are then aligned one after the other, level
-by level: parts that agree are merged, parts that only one side has become optional, `( )?`, neighbours that are alike become
-repeated, `( )+`, and texts are slots, `#`. The result is one regular expression without unions for each host, its wrapper. Wrappers of parts
-of a host are aligned in the same way, so a host with a third of all pages is aligned in many tasks first.
-
-The text of a page is that of its innermost marked region: `article`, else `main` or an element with role=main or role=article, else the body. The
-wrapper, whose labels name such elements by their region, tells which of them a host has; its slots, options and repeats don't choose texts.
-Elements that are never main text go (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), by fixed lists of
-names and words. Outside a marked article, texts that stand on most distinct pages of a host are template text and go as well.
-
-Defined cases: null or empty html gives an empty text; a page without a marked region uses its body; broken or unclosed tags end with the
-block that follows; repeated rows give equal texts; an empty table gives no rows; further columns are ignored.
+"""Main text of pages through union-free wrappers of hosts.
+
+A page is a tree of tags and texts. The trees of a host's distinct pages are aligned one after the other, level by level: nodes
+that agree are merged; siblings that only one side has become optional, `( )?`, or, where they are further turns of the siblings before them,
+a repeated group, `( )+`; a text that stays the same is part of the template, one that differs is a slot, `#`. The result is one regular
+expression without unions for each host, its wrapper. Siblings are matched by equal contents, else by label and its number among
+the siblings, along a longest increasing subsequence, in n log n. A host's pages are dealt into parts of about FAN, aligned there, and the parts'
+wrappers again, until one is left, so a host with a third of all pages is aligned in many tasks.
+
+Each page is then matched with its host's wrapper, and the wrapper chooses the text. A text place is fixed when one text outweighs, by votes, all others
+and PRIOR pages more; other places are slots, weighed by their mean length on the host. Marked elements (`article`, `main`, role=main or role=article) count
+MARK times; if they hold SHARE of the weight the text is theirs, all of it, else the text is that of the slots of the page. Elements that are never
+main text by name (menus, headers, footers, sidebars, forms, scripts, styles), hidden ones and blocks with a word of WORDS as class, id or role are left out; a
+block with a word of WEAK goes outside marked elements, and inside them only where its text is fixed. A word on an inline element counts only if the block has no other text.
+
+Defined cases: null or empty html gives an empty text; a host with few pages has few fixed places (PRIOR); broken or unclosed tags end with the
+block that follows; repeated rows give equal texts, and copies of a page are aligned once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import difflib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +45,18 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "option", "optgroup"}
 #: Elements and class, id or role words that are never main text.
 NEVER = frozenset("script style noscript template iframe textarea title head nav header footer aside form button select input dialog menu svg canvas object audio video map".split())
-WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
-    warning menu nav navbar navigation breadcrumb breadcrumbs sidebar aside related share sharing social comment comments commentlist reply replies respond discussion disqus
-    footer header masthead subscribe subscription newsletter popup modal overlay paywall login signup search pagination pager toolbar widget complementary contentinfo""".split())
-REGIONS = ("article", "main", "body")
-#: A text outside a marked article that stands on more than half of at least so many pages is template text.
-MANY_PAGES = 5
+WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored banner cookie cookies consent gdpr notice notices
+    menu nav navbar navigation breadcrumb breadcrumbs sidebar aside comment comments commentlist replies disqus
+    footer header masthead newsletter popup paywall pagination pager toolbar complementary contentinfo""".split())
+#: Words that stand in an article's own elements as well.
+WEAK = frozenset("alert warning related share sharing social reply respond discussion subscribe subscription modal overlay login signup search widget promo promotion".split())
+MARKS = ("article", "main")
+#: Pages assumed to differ at every text place, beside those seen.
+PRIOR = 4
+#: How many times text in a marked element counts, and the share of the weight that marked elements must hold.
+MARK, SHARE = 100, 0.9
+#: Mean number of trees aligned one after the other.
+FAN = 256
 #: Elements nested deeper count as siblings in wrappers; texts are not concerned.
 DEEPEST = 100
 
@@ -79,48 +89,65 @@ def tokens(page: str):
 
 
 def role(name: str, attributes: str) -> str | None:
-    """'never', or the region an element opens."""
+    """'never', 'weak', 'word' (on an inline element), or the region an element opens."""
     found: dict[str, str] = {}
     for k, v in ATTRIBUTE.findall(attributes or ""):
         found.setdefault(k.lower(), v.strip("\"'").lower())  # the first of a name counts, as in HTML
     words = set(re.split(r"[^a-z0-9]+", " ".join(v for k, v in found.items() if k in ("class", "id", "role")))) if found else set()
-    if name in NEVER or "hidden" in found or found.get("aria-hidden") == "true" or name not in ("html", "body", "article", "main") and words & WORDS or words & {"comment", "comments", "reply"}:
+    if name in NEVER or "hidden" in found or found.get("aria-hidden") == "true":
         return "never"
-    if name in ("article", "main", "body"):
-        return name
+    if name in ("html", "body", *MARKS):
+        return "never" if words & {"comment", "comments", "reply"} else name if name in MARKS else None
+    if words & WORDS:
+        return "never" if name in BLOCK else "word"
+    if words & WEAK:
+        return "weak" if name in BLOCK else "word"
     return "main" if found.get("role") in ("main", "article") else None
 
 
+# A node is [label, optional, group, children, text, votes, turns, length]. A label is a tag, the mark it is, a tag and `!` for a block with a weak word, or `#` for
+# a text place. Neighbours of one group (0: none) are a repeated group. text is the hash of the text that leads, votes by how much; turns and length are sums.
+LABEL, OPTIONAL, GROUP, CHILDREN, TEXT, VOTES, TURNS, LENGTH = range(8)
+
+
 class Walk:
-    """Blocks of a page, (text, regions it is in), and the page's tree of tags and text slots."""
+    """Blocks of a page, (text, in a marked element, below a weak word, text places), and the page's tree."""
 
     def __init__(self, page: str) -> None:
-        self.blocks: list[tuple[str, frozenset]] = []
+        self.blocks: list[tuple[str, bool, bool, list]] = []
         self.top: list = []
-        stack: list[tuple] = []
+        stack: list[tuple] = []  # (name, state, children); state: never, marked, weak, word
         held: list[str] = []
-        state: tuple[bool, frozenset] = (False, frozenset())
+        places: list[tuple[list, bool]] = []
+        every: list[list] = []
+        state = (False, False, False, False)
 
         def flush() -> None:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
+            if text and not all(word for _, word in places):
+                self.blocks.append((text, state[1], state[2], [p for p, _ in places]))
             held.clear()
-            if text and not state[0]:
-                self.blocks.append((text, state[1]))
+            places.clear()
 
         for token in tokens(page):
             if token[0] == "text":
-                if not state[0]:
-                    held.append(token[1])
-                here = stack[-1][3] if stack else self.top
-                if token[1].strip() and not (here and here[-1][0] == "#"):
-                    here.append(["#", False, False, []])
+                if state[0]:
+                    continue
+                held.append(token[1])
+                if token[1].strip():
+                    here = stack[-1][2] if stack else self.top
+                    if not (here and here[-1][LABEL] == "#"):
+                        here.append(["#", False, 0, [], [], 1, 1, 0])
+                        every.append(here[-1])
+                    here[-1][TEXT].append(token[1])
+                    places.append((here[-1], state[3]))
                 continue
             name = token[1]
             if name == "br":
                 held.append(" ")
                 continue
             kind = role(name, token[2]) if token[0] == "open" else None
-            if name in BLOCK or kind:
+            if name in BLOCK or kind in ("main", "article"):
                 flush()
             if token[0] == "open":
                 if name in CLOSES_P and any(s[0] == "p" for s in stack):
@@ -128,154 +155,226 @@ class Walk:
                         pass
                 elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                     stack.pop()
-                above = stack[-1][1:] if stack else (False, frozenset(), self.top)
-                if name in VOID:
-                    above[2].append([name, False, False, []])
-                else:
-                    children = above[2] if len(stack) >= DEEPEST else []
-                    if children is not above[2]:
-                        above[2].append([kind if kind in REGIONS else name, False, False, children])
-                    stack.append((name, above[0] or kind == "never", above[1] | {kind} if kind in REGIONS else above[1], children))
+                above, siblings = stack[-1][1:] if stack else ((False,) * 4, self.top)
+                if name not in VOID:
+                    children = siblings if len(stack) >= DEEPEST else []
+                    if children is not siblings and not above[0]:
+                        siblings.append([kind if kind in MARKS else f"{name}!" if kind == "weak" else name, False, 0, children, 0, 0, 1, 0])
+                    stack.append((name, (above[0] or kind == "never", above[1] or kind in MARKS, above[2] or kind == "weak", above[3] or kind == "word"), children))
             elif any(s[0] == name for s in stack):
-                if state[0]:
-                    held.clear()
-                else:
-                    flush() if stack[-1][1] else None
+                if any(s[0] in BLOCK for s in stack[next(k for k in reversed(range(len(stack))) if stack[k][0] == name):]):
+                    flush()
                 while stack.pop()[0] != name:
                     pass
-            state = stack[-1][1:3] if stack else (False, frozenset())
+            state = stack[-1][1] if stack else (False,) * 4
         flush()
+        for place in every:
+            text = SPACE.sub(" ", entities.unescape("".join(place[TEXT]))).strip()
+            place[TEXT], place[LENGTH] = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")), len(text)
+
+
+def slim(nodes: list) -> list:
+    """A page's own tree in few bytes."""
+    return [[n[TEXT], n[LENGTH]] if n[LABEL] == "#" else [n[LABEL], slim(n[CHILDREN])] for n in nodes]
+
+
+def full(nodes: list) -> list:
+    return [["#", False, 0, [], a, 1, 1, b] if isinstance(a, int) else [a, False, 0, full(b), 0, 0, 1, 0] for a, b in nodes]
+
+
+def digest(node: list) -> int:
+    return hash((node[LABEL], node[TEXT], *map(digest, node[CHILDREN])))
+
+
+def paired(one: list, two: list) -> list[tuple[int, int, bool]]:
+    """Places of siblings that match, in order: equal contents (True), else the same label and number, along a longest increasing subsequence."""
+    if [n[LABEL] for n in one] == [n[LABEL] for n in two]:
+        return [(k, k, False) for k in range(len(one))]
+    digests = [[digest(n) for n in side] for side in (one, two)]
+    both = set(digests[0]) & set(digests[1])
+    keys = []
+    for side, own in zip((one, two), digests):
+        seen: dict = {}
+        keys.append([])
+        for node, d in zip(side, own):
+            key = d if d in both else node[LABEL]
+            seen[key] = seen.get(key, 0) + 1
+            keys[-1].append((key, seen[key]))
+    place = {key: j for j, key in enumerate(keys[1])}
+    pairs = [(i, place[key]) for i, key in enumerate(keys[0]) if key in place]
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before.append(ends[at - 1] if at else -1)
+        tails[at: at + 1] = [j]
+        ends[at: at + 1] = [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append((*pairs[k], digests[0][pairs[k][0]] == digests[1][pairs[k][1]]))
+        k = before[k]
+    return out[::-1]
+
+
+def turns(above: list, end: int, extra: list, same: set[int]) -> int:
+    """Length of the group, the last siblings of above[:end], that `extra` takes some more turns of; 0 if none. A sibling of equal contents on both sides starts no group."""
+    labels = [n[LABEL] for n in extra]
+    for k in range(1, min(len(extra), end) + 1):
+        if end - k in same and not above[end - k][GROUP]:
+            break
+        if len(extra) % k == 0 and above[end - 1][LABEL] == labels[k - 1] and labels[k:] == labels[:-k] and [n[LABEL] for n in above[end - k: end]] == labels[:k]:
+            return k
+    return 0
 
-    def shape(self) -> list:
-        """The tree with repeated siblings folded."""
-        def fold(nodes: list) -> list:
-            return folded([[n[0], n[1], n[2], fold(n[3])] for n in nodes])
-        return fold(self.top)
-
-
-# A wrapper node is [label, optional, repeated, children]; a label is a tag or the region it opens, `#` for a text slot, or the labels of a group of siblings.
 
 def merged(one: list, two: list) -> list:
-    return [one[0], one[1] or two[1], one[2] or two[2], align(one[3], two[3])]
-
-
-def folded(nodes: list) -> list:
-    """Neighbouring equal siblings, and neighbouring equal groups of siblings, become one repeated node."""
-    out: list = []
-    for node in nodes:
-        if out and out[-1][0] == node[0]:
-            last = out.pop()
-            both = merged(last, node)
-            out.append([both[0], last[1] and node[1], True, both[3]])
-        else:
-            out.append(node)
-    size = 2
-    while 2 * size <= len(out):
-        i = 0
-        while i + 2 * size <= len(out):
-            labels = [n[0] for n in out[i: i + size]]
-            turns = 1
-            while [n[0] for n in out[i + turns * size: i + (turns + 1) * size]] == labels:
-                turns += 1
-            if turns > 1:
-                group = out[i: i + size]
-                for k in range(1, turns):
-                    group = [merged(x, y) for x, y in zip(group, out[i + k * size: i + (k + 1) * size])]
-                out[i: i + turns * size] = [[" ".join(labels), False, True, group]]
-            i += 1
-        size += 1
-    return out
-
-
-def grouped(nodes: list, other: list) -> list:
-    """A single turn of a group that the other side repeats, as that group."""
-    for group in (n for n in other if " " in n[0]):
-        labels = group[0].split(" ")
-        for i in range(len(nodes) - len(labels) + 1):
-            if [n[0] for n in nodes[i: i + len(labels)]] == labels:
-                nodes = [*nodes[:i], [group[0], False, False, nodes[i: i + len(labels)]], *nodes[i + len(labels):]]
-                break
-    return nodes
+    if one[LABEL] == "#":
+        lead, rest = (one, two) if one[VOTES] >= two[VOTES] else (two, one)
+        votes = lead[VOTES] + (rest[VOTES] if one[TEXT] == two[TEXT] else -rest[VOTES])
+        return ["#", one[OPTIONAL] or two[OPTIONAL], one[GROUP] or two[GROUP], [], lead[TEXT], votes, one[TURNS] + two[TURNS], one[LENGTH] + two[LENGTH]]
+    return [one[LABEL], one[OPTIONAL] or two[OPTIONAL], one[GROUP] or two[GROUP], align(one[CHILDREN], two[CHILDREN]), 0, 0, one[TURNS] + two[TURNS], 0]
 
 
 def align(one: list, two: list) -> list:
-    """The wrapper of two lists of siblings: nodes of equal label in order are merged, the others become optional."""
-    if one == two:
-        return one
-    one, two = grouped(one, two), grouped(two, one)
-    left, right = [n[0] for n in one], [n[0] for n in two]
-    if left == right:
-        return folded([merged(x, y) for x, y in zip(one, two)])
+    """The wrapper of two lists of siblings."""
     out: list = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [merged(x, y) for x, y in zip(one[a:b], two[c:d])]
-        else:
-            out += [[n[0], True, n[2], n[3]] for n in [*one[a:b], *two[c:d]]]
-    return folded(out)
+    same: set[int] = set()
+    last = max((n[GROUP] for n in (*one, *two)), default=0)
+
+    def more(extra: list) -> None:
+        nonlocal last
+        k = turns(out, len(out), extra, same) if extra else 0
+        if not k:
+            out.extend([n[LABEL], True, *n[GROUP:]] for n in extra)
+            return
+        base = out[-k:]
+        group = base[-1][GROUP]
+        if not group:
+            group = last = last + 1
+        for lo in range(0, len(extra), k):
+            base = [merged(x, y) for x, y in zip(base, extra[lo: lo + k])]
+        out[-k:] = [[*n[:GROUP], group, *n[CHILDREN:]] for n in base]
+
+    i = j = 0
+    for a, b, equal in [*paired(one, two), (len(one), len(two), False)]:
+        more(one[i:a])
+        more(two[j:b])
+        if a < len(one):
+            if equal:
+                same.add(len(out))
+            out.append(merged(one[a], two[b]))
+        i, j = a + 1, b + 1
+    return out
 
 
 def written(nodes: list) -> str:
-    """A wrapper as a regular expression."""
+    """A wrapper as a regular expression; a text place that is fixed is written `=`."""
     words = []
-    for label, optional, repeated, children in nodes:
-        inner = written(children)
-        body = "#" if label == "#" else inner if " " in label else f"<{label}> {inner} </{label}>".replace("  ", " ")
-        mark = "*" if optional and repeated else "?" if optional else "+" if repeated else ""
-        words.append(f"( {body} ){mark}" if mark else body)
+    k = 0
+    while k < len(nodes):
+        end = k + 1
+        while nodes[k][GROUP] and end < len(nodes) and nodes[end][GROUP] == nodes[k][GROUP]:
+            end += 1
+        inner = []
+        for n in nodes[k:end]:
+            body = ("=" if fixed(n) else "#") if n[LABEL] == "#" else f"<{n[LABEL]}> {written(n[CHILDREN])} </{n[LABEL]}>".replace("  ", " ")
+            inner.append(f"( {body} )?" if n[OPTIONAL] else body)
+        words.append(f"( {' '.join(inner)} )+" if nodes[k][GROUP] else inner[0])
+        k = end
     return " ".join(words)
 
 
-def region(wrapper: str) -> str:
-    """Where a host keeps its article."""
-    words = set(written(json.loads(wrapper)).split())
-    return next((r for r in REGIONS if f"<{r}>" in words), "body")
-
+def fixed(place: list | None) -> bool:
+    return place is not None and 2 * place[VOTES] > place[TURNS] + PRIOR
 
-def wrappers(streams: DataFrame, salts: int = 64) -> DataFrame:
-    """(host, wrapper) from (host, stream); equal streams are folded, then aligned by part of a host, then by host."""
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        found: list = []
-        for k, text in enumerate(sorted(part["wrapper"])):
-            found = align(found, json.loads(text)) if k else json.loads(text)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found)]})
-
-    distinct = streams.select("host", F.col("stream").alias("wrapper")).distinct()
-    some = distinct.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt")).applyInPandas(run, "host string, wrapper string")
-    return some.distinct().groupBy("host").applyInPandas(run, "host string, wrapper string")
 
+def matched(wrapper: list, nodes: list, found: dict[int, list]) -> dict[int, list]:
+    """The wrapper's text place of each text place of a page that has one, by id."""
+    def both(one: list, two: list) -> None:
+        if one[LABEL] == "#":
+            found[id(two)] = one
+        else:
+            matched(one[CHILDREN], two[CHILDREN], found)
+
+    i = j = 0
+    same: set[int] = set()
+    for a, b, equal in [*paired(wrapper, nodes), (len(wrapper), len(nodes), False)]:
+        extra = nodes[j:b]
+        k = turns(wrapper, i, extra, same) if extra else 0
+        if k:
+            for lo in range(0, len(extra), k):
+                for x, y in zip(wrapper[i - k: i], extra[lo: lo + k]):
+                    both(x, y)
+        if a < len(wrapper):
+            both(wrapper[a], nodes[b])
+            if equal:
+                same.add(a)
+        i, j = a + 1, b + 1
+    return found
+
+
+def main_text(page: str, wrapper: list) -> str:
+    """The text that a host's wrapper chooses on a page."""
+    walk = Walk(page)
+    place = matched(wrapper, walk.top, {})
+    weight = {True: 0.0, False: 0.0}
+    rows = []
+    for text, marked, weak, places in walk.blocks:
+        template = all(fixed(place.get(id(p))) for p in places)
+        rows.append((text, marked, weak, template))
+        if marked or not (weak or template):
+            weight[marked] += sum(p[LENGTH] if (w := place.get(id(p))) is None else w[LENGTH] / w[TURNS] for p in places)
+    if MARK * weight[True] >= SHARE * (MARK * weight[True] + weight[False]) > 0:
+        return "\n\n".join(text for text, marked, weak, template in rows if marked and not (weak and template))
+    return "\n\n".join(text for text, marked, weak, template in rows if not template and (marked or not weak))
+
+
+def wrappers(streams: DataFrame) -> DataFrame:
+    """(host, wrapper) from (host, key, wrapper), one row for each distinct page: parts of a host first, then the parts' wrappers, until one is left."""
+    def run(batches):
+        at, now = None, []
+        for b in batches:
+            rows = []
+            for host, salt, text in zip(b["host"], b["salt"], b["wrapper"]):
+                if at != (host, salt):
+                    if at:
+                        rows.append((*at, json.dumps(now, separators=(",", ":"))))
+                    at, now = (host, salt), json.loads(text)
+                else:
+                    now = align(now, json.loads(text))
+            yield pd.DataFrame(rows, columns=["host", "key", "wrapper"])
+        if at:
+            yield pd.DataFrame([(*at, json.dumps(now, separators=(",", ":")))], columns=["host", "key", "wrapper"])
 
-def main_text(page: str, where: str, template: frozenset) -> str:
-    blocks = Walk(page).blocks
-    for name in [where, *REGIONS]:
-        inside = [b for b in blocks if name in b[1]]
-        if inside:
-            break
-    else:
-        inside = blocks
-    return "\n\n".join(t for t, regions in inside if regions & {"article", "main"} or t not in template)
+    tasks = 2 * streams.sparkSession.sparkContext.defaultParallelism
+    while True:
+        sizes = streams.groupBy("host").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
+            return streams.select("host", "wrapper")
+        dealt = streams.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / FAN))).select("host", "salt", "key", "wrapper")
+        streams = cut(dealt.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt", "key").mapInPandas(run, "host string, key long, wrapper string"), "page-wrappers")
 
 
 def learned(own: DataFrame) -> DataFrame:
-    """(host, region, template): what the pages of a host have in common. template holds at most twice the texts of a page."""
+    """(host, wrapper) of pages with host and html."""
     def seen(batches):
-        """The stream of each distinct page, and its texts outside a marked article, once a page."""
         for b in batches:
-            rows = []
-            for host, page in zip(b["host"], b["html"]):
-                walk = Walk(page)
-                rows.append((host, True, json.dumps(walk.shape())))
-                rows += [(host, False, t) for t in {t for t, regions in walk.blocks if not regions & {"article", "main"}}]
-            yield pd.DataFrame(rows, columns=["host", "is_stream", "value"], dtype=object).astype({"is_stream": bool})
-
-    where = F.udf(region, "string")
-    distinct = own.select("host", F.coalesce("html", F.lit("")).alias("html")).distinct()  # copies of a page say once what is common
-    counts = cut(distinct.mapInPandas(seen, "host string, is_stream boolean, value string").groupBy("host", "is_stream", "value").agg(F.count("*").alias("n")), "page-streams")
-    found = cut(wrappers(counts.where("is_stream").select("host", F.col("value").alias("stream"))), "page-wrappers")
-    size = counts.where("is_stream").groupBy("host").agg(F.sum("n").alias("pages")).where(F.col("pages") >= MANY_PAGES)
-    common = (counts.where("NOT is_stream").join(size, "host").where(2 * F.col("n") > F.col("pages"))
-              .groupBy("host").agg(F.collect_set("value").alias("template")))
-    return found.join(common, "host", "left").select("host", where("wrapper").alias("region"), F.coalesce("template", F.array().cast("array<string>")).alias("template"))
+            yield pd.DataFrame({"host": b["host"], "key": b["key"], "wrapper": [json.dumps(slim(Walk(p).top), separators=(",", ":")) for p in b["html"]]})
+
+    def grow(batches):
+        for b in batches:
+            yield b.assign(wrapper=[json.dumps(full(json.loads(w)), separators=(",", ":")) for w in b["wrapper"]])
+
+    schema = "host string, key long, wrapper string"
+    rows = own.select("host", F.xxhash64("html").alias("key"), F.coalesce("html", F.lit("")).alias("html")).where("html != ''")
+    slims = rows.mapInPandas(seen, schema).dropDuplicates(["host", "key"])  # equal keys have equal trees
+    return wrappers(cut(slims.mapInPandas(grow, schema), "page-streams"))
+
+
+@lru_cache(64)
+def parsed(wrapper: str) -> list:
+    return json.loads(wrapper)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -285,7 +384,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [main_text(p or "", r, frozenset(t)) for p, r, t in zip(b["html"], b["region"], b["template"])]
+            texts = [main_text(p or "", parsed(w or "[]")) for p, w in zip(b["html"], b["wrapper"])]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return own.join(hosts, "host").mapInPandas(run, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return own.join(hosts, "host", "left").mapInPandas(run, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
