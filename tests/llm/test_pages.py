@@ -95,6 +95,7 @@ def test_contents_of_articles_stay():
     assert plain('<article><h2 class="related work">Work</h2><div class="alert-level">High</div></article>') == "Work\n\nHigh"
     assert plain('<article>One <a id="search">two</a> three</article>') == "One two three"
     assert plain("<main><p>Intro</p><article>Inner</article><p>Outro</p></main>") == "Intro\n\nInner\n\nOutro"
+    assert plain("Before <span role='main'>Inner <button>Go</button>text</span> after") == "Inner text"
     found = [f"<body><article><p>Own {k}</p><div class='share'>Share this</div><p class='share'>Price {k}</p></article></body>" for k in range(9)]
     assert pages.main_text(found[3], wrapper(found)) == "Own 3\n\nPrice 3"
 

@@ -36,7 +36,6 @@ from winback.llm.urls import parts
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 #: One attribute after the other, its value included, so that no part of a value passes for a name.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-SPACE = re.compile(r"\s+")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -90,10 +89,13 @@ def tokens(page: str):
 
 def role(name: str, attributes: str) -> str | None:
     """'never', 'weak', 'word' (on an inline element), or the region an element opens."""
+    if not attributes:
+        return "never" if name in NEVER else name if name in MARKS else None
     found: dict[str, str] = {}
-    for k, v in ATTRIBUTE.findall(attributes or ""):
+    for k, v in ATTRIBUTE.findall(attributes):
         found.setdefault(k.lower(), v.strip("\"'").lower())  # the first of a name counts, as in HTML
-    words = set(re.split(r"[^a-z0-9]+", " ".join(v for k, v in found.items() if k in ("class", "id", "role")))) if found else set()
+    named = " ".join(v for k, v in found.items() if k in ("class", "id", "role"))
+    words = set(re.split(r"[^a-z0-9]+", named)) if named else set()
     if name in NEVER or "hidden" in found or found.get("aria-hidden") == "true":
         return "never"
     if name in ("html", "body", *MARKS):
@@ -116,14 +118,23 @@ class Walk:
     def __init__(self, page: str) -> None:
         self.blocks: list[tuple[str, bool, bool, list]] = []
         self.top: list = []
-        stack: list[tuple] = []  # (name, state, children); state: never, marked, weak, word
+        names: list[str] = []  # of the open elements
+        stack: list[tuple] = []  # their (state, children); state: never, marked, weak, word
         held: list[str] = []
         places: list[tuple[list, bool]] = []
         every: list[list] = []
         state = (False, False, False, False)
 
+        def back(name: str) -> None:
+            while names.pop() != name:
+                stack.pop()
+            stack.pop()
+
         def flush() -> None:
-            text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
+            if not held:
+                return
+            text = "".join(held)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text and not all(word for _, word in places):
                 self.blocks.append((text, state[1], state[2], [p for p, _ in places]))
             held.clear()
@@ -135,7 +146,7 @@ class Walk:
                     continue
                 held.append(token[1])
                 if token[1].strip():
-                    here = stack[-1][2] if stack else self.top
+                    here = stack[-1][1] if stack else self.top
                     if not (here and here[-1][LABEL] == "#"):
                         here.append(["#", False, 0, [], [], 1, 1, 0])
                         every.append(here[-1])
@@ -146,30 +157,32 @@ class Walk:
             if name == "br":
                 held.append(" ")
                 continue
-            kind = role(name, token[2]) if token[0] == "open" else None
+            kind = role(name, token[2]) if token[0] == "open" and not state[0] else None
             if name in BLOCK or kind in ("main", "article"):
                 flush()
             if token[0] == "open":
-                if name in CLOSES_P and any(s[0] == "p" for s in stack):
-                    while stack.pop()[0] != "p":
-                        pass
-                elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
-                above, siblings = stack[-1][1:] if stack else ((False,) * 4, self.top)
+                if name in CLOSES_P and "p" in names:
+                    back("p")
+                elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and names and names[-1] == name:
+                    back(name)
+                above, siblings = stack[-1] if stack else ((False,) * 4, self.top)
                 if name not in VOID:
                     children = siblings if len(stack) >= DEEPEST else []
                     if children is not siblings and not above[0]:
                         siblings.append([kind if kind in MARKS else f"{name}!" if kind == "weak" else name, False, 0, children, 0, 0, 1, 0])
-                    stack.append((name, (above[0] or kind == "never", above[1] or kind in MARKS, above[2] or kind == "weak", above[3] or kind == "word"), children))
-            elif any(s[0] == name for s in stack):
-                if any(s[0] in BLOCK for s in stack[next(k for k in reversed(range(len(stack))) if stack[k][0] == name):]):
+                    names.append(name)
+                    stack.append((above if above[0] else (above[0] or kind == "never", above[1] or kind in MARKS, above[2] or kind == "weak", above[3] or kind == "word"), children))
+            elif name in names:
+                if name not in BLOCK and names[-1] != name and not BLOCK.isdisjoint(names[-1 - names[::-1].index(name):]):
                     flush()
-                while stack.pop()[0] != name:
-                    pass
-            state = stack[-1][1] if stack else (False,) * 4
+                back(name)
+            now = stack[-1][0] if stack else (False,) * 4
+            if now[1] != state[1]:
+                flush()
+            state = now
         flush()
         for place in every:
-            text = SPACE.sub(" ", entities.unescape("".join(place[TEXT]))).strip()
+            text = " ".join("".join(place[TEXT]).split())
             place[TEXT], place[LENGTH] = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")), len(text)
 
 
@@ -297,6 +310,10 @@ def matched(wrapper: list, nodes: list, found: dict[int, list]) -> dict[int, lis
         else:
             matched(one[CHILDREN], two[CHILDREN], found)
 
+    if [n[LABEL] for n in wrapper] == [n[LABEL] for n in nodes]:
+        for x, y in zip(wrapper, nodes):
+            both(x, y)
+        return found
     i = j = 0
     same: set[int] = set()
     for a, b, equal in [*paired(wrapper, nodes), (len(wrapper), len(nodes), False)]:
