@@ -10,7 +10,7 @@ from winback.llm import common
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(k, k + 1) for k in range(0, 60)] + [(500, k) for k in range(501, 900)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(-5, 60), (7, 7)]
+    edges = [(k, k + 1) for k in range(0, 60)] + [(500, k) for k in range(501, 900)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(-5, 60), (7, 7)] + [(5000, k) for k in range(2000, 2300)]
     label = {n: n for e in edges for n in e}
     for _ in label:
         for a, b in edges:

@@ -197,7 +197,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): each node that has an edge, with the smallest node it can reach.
 
     edges has long columns a and b. Large-star and small-star steps in turn make every component a star round its smallest
-    node in a logarithmic number of rounds. The smallest neighbour of a node is a partially aggregated minimum, and it is handed
+    node in a logarithmic number of rounds. The smallest neighbour of a node is a partially aggregated minimum, and in both steps it is handed
     back to the node's edges in SALTS parts, so a busy node isn't gathered anywhere; each round is written to the shared folder,
     which also survives a lost executor.
     """
@@ -218,7 +218,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        small = large.join(least(large), "u")
+        small = with_least(large)
         now, new = write(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v"))
         if new == seen:
             break
