@@ -142,6 +142,18 @@ def test_quality_follows_the_data(spark):
     assert not got[5000] and all(v for k, v in got.items() if k != 5000)
 
 
+@pytest.mark.parametrize("size", [10, 40, 400])
+def test_quality_of_spoilt_groups(spark, size):
+    """A group loses its junk, a tenth of it, at every size, and keeps the rest, also texts with some table marks."""
+    rows = []
+    for i in range(size):
+        text = " ".join(f"w{i}x{k} $ #$% &" for k in range(20)) if i % 10 == 0 else " ".join(f"w{i}x{k} word{k}" + " |" * (i % 10 == 1) for k in range(20))
+        rows.append((i, text, "xx", "s"))
+    rows += [(1000 + i, " ".join(f"v{i}y{k}" for k in range(30)), "en", "p") for i in range(50)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(0, size, 10)) and not any(r["base_failed"] for r in got)
+
+
 def test_mixing_sql(docs, rows):
     columns, want = duck(rows, "op8_mixing")
     key = lambda rs: Counter((d, s, z, round(t, 6), n) for d, s, z, t, n in rs)

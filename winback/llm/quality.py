@@ -3,8 +3,9 @@
 Base rules are fixed. The method's own limits come from mergeable quantile sketches of four integer ratios for each language and source. A
 sketch is a count for each value rounded down to five significant bits (an error of at most 1/16), so sketches of any two sets of
 documents merge by adding counts, partial sketches are built before the shuffle, and reruns agree. Sketches of sources merge to a
-sketch of the language, and those to one of everything; a document is judged by the finest with enough documents. A ratio fails beyond
-three times the spread between the middle and the outer twentieth, plus the ratio's least slack.
+sketch of the language, and those to one of everything. A group's own limits are its quartiles, SPREADS times their distance further out, and the ratio's
+slack, so up to a quarter of junk in a group does not move them. They are blended with those of the level above at every size, as if PARENT documents of a
+group were like its parent's: (n * own + PARENT * parent) div (n + PARENT).
 
 Defined cases: a null or empty text has no words and fails a base rule; null language and null source are groups of their own; repeated rows
 count each time in sketches and are judged alike; an empty table gives no rows; further columns are ignored.
@@ -21,10 +22,11 @@ from winback.llm.common import NOT_SPACE, U64, byte_class, cut, mix, row_of, run
 
 WINDOW = 5
 SYMBOL = byte_class(lambda b: chr(b) in "#*$%&|<>")
-#: Ratios per mille of the words (word length: thousandths of a character) and their least slack, both ways for word length and upwards for the rest.
-RATIOS = {"word_length": ("1000 * word_chars div n_words", 1000), "symbols": ("1000 * n_symbols div n_words", 200),
-          "dup_lines": ("1000 * n_dup_lines div n_words", 100), "repeats": ("1000 * n_repeat_words div n_words", 100)}
-ENOUGH = 200
+#: Ratios per mille of the words (word length: thousandths of a character) and their slack, both ways for word length and upwards for the rest:
+#: two characters, a symbol a word, a repeated line for five words, a fifth of the words.
+RATIOS = {"word_length": ("1000 * word_chars div n_words", 2000), "symbols": ("1000 * n_symbols div n_words", 1000),
+          "dup_lines": ("1000 * n_dup_lines div n_words", 200), "repeats": ("1000 * n_repeat_words div n_words", 200)}
+PARENT = 200
 SPREADS = 3
 SIGNIFICANT = 5
 
@@ -85,16 +87,23 @@ def rounded(value: Column) -> Column:
 
 
 def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Low and high limit of each ratio of each group from its merged sketch; the windows see one group's sketch, some hundred counts."""
+    """Own low and high limit of each ratio of each group from its merged sketch; the windows see one group's sketch, some hundred counts."""
     merged = sketches.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "ratio")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
-    at = lambda p: F.min(F.when(F.col("upto") * 20 >= F.col("total") * p, F.col("value")))
-    q = ranked.groupBy(*keys, "ratio").agg(at(1).alias("low"), at(10).alias("mid"), at(19).alias("high"), F.max("total").alias("total"))
+    at = lambda p: F.min(F.when(F.col("upto") * 4 >= F.col("total") * p, F.col("value")))
+    q = ranked.groupBy(*keys, "ratio").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("n"))
     slack = F.create_map(*[F.lit(x) for n, (_, s) in RATIOS.items() for x in (n, s)])[F.col("ratio")]
-    band = F.struct(*[x.alias(n) for n, x in (("low", F.when(F.col("ratio") == "word_length", F.col("low") - SPREADS * (F.col("mid") - F.col("low")) - slack).otherwise(-1)),
-                                              ("high", F.col("high") + SPREADS * (F.col("high") - F.col("mid")) + slack))])
-    return q.groupBy(*keys).agg(F.max("total").alias("docs"), F.map_from_entries(F.collect_list(F.struct("ratio", band))).alias("bands"))
+    reach = SPREADS * (F.col("q3") - F.col("q1")) + slack
+    low = F.when(F.col("ratio") == "word_length", F.greatest(F.col("q1") - reach, F.lit(0))).otherwise(F.lit(0))
+    return q.select(*keys, "ratio", "n", low.cast("long").alias("low"), (F.col("q3") + reach).cast("long").alias("high"))
+
+
+def blended(own: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
+    """Limits drawn towards those of the level above, by a weight that is the same rule at every size."""
+    above = parent.select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high"))
+    return own.join(above, keys).select(*[c for c in own.columns if c not in ("low", "high")],
+                                        *[F.expr(f"(n * {c} + {PARENT} * _{c}) div (n + {PARENT})").alias(c) for c in ("low", "high")])
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -102,11 +111,12 @@ def judged(docs: DataFrame) -> DataFrame:
     found = cut(measure(docs), "quality-measures").withColumns({"l": F.concat(F.lit("="), "lang"), "s": F.concat(F.lit("="), "source")}).na.fill("", ["l", "s"])
     ratios = F.explode(F.array(*[F.struct(F.lit(n).alias("ratio"), F.expr(e).alias("value")) for n, (e, _) in RATIOS.items()])).alias("r")
     sketches = cut(found.where("n_words > 0").select("l", "s", ratios).select("l", "s", "r.ratio", rounded(F.col("r.value")).alias("value")).groupBy("l", "s", "ratio", "value").agg(F.count("*").alias("n")), "quality-sketches")
-    fine = limits(sketches, ["l", "s"]).where(F.col("docs") >= ENOUGH).select("l", "s", F.col("bands").alias("fine"))
-    middle = limits(sketches, ["l"]).where(F.col("docs") >= ENOUGH).select("l", F.col("bands").alias("middle"))
-    coarse = limits(sketches.withColumn("a", F.lit(0)), ["a"]).select("a", F.col("bands").alias("coarse"))
-    rows = found.withColumn("a", F.lit(0)).join(fine, ["l", "s"], "left").join(middle, "l", "left").join(F.broadcast(coarse), "a", "left")  # coarse is one row
-    band = F.coalesce("fine", "middle", "coarse")
+    coarse = limits(sketches.withColumn("a", F.lit(0)), ["a"])
+    middle = blended(limits(sketches, ["l"]), coarse, ["ratio"])
+    fine = blended(limits(sketches, ["l", "s"]), middle, ["l", "ratio"])
+    bands = fine.groupBy("l", "s").agg(F.map_from_entries(F.collect_list(F.struct("ratio", F.struct("low", "high")))).alias("bands"))  # four entries a group
+    rows = found.join(bands, ["l", "s"], "left")
+    band = F.col("bands")
     inside = F.lit(True)
     for name, (e, _) in RATIOS.items():
         inside &= F.expr(e).between(band[name]["low"], band[name]["high"])

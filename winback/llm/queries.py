@@ -173,22 +173,26 @@ base AS MATERIALIZED (
   FROM found LEFT JOIN repeated USING (r) LEFT JOIN dups USING (r)),
 ratios AS MATERIALIZED (
   SELECT r, lang, source, unnest([
-    {'ratio': 'word_length', 'value': 1000 * word_chars // n_words, 'slack': 1000}, {'ratio': 'symbols', 'value': 1000 * n_symbols // n_words, 'slack': 200},
-    {'ratio': 'dup_lines', 'value': 1000 * n_dup_lines // n_words, 'slack': 100}, {'ratio': 'repeats', 'value': 1000 * n_repeat_words // n_words, 'slack': 100}], recursive := true)
+    {'ratio': 'word_length', 'value': 1000 * word_chars // n_words, 'slack': 2000}, {'ratio': 'symbols', 'value': 1000 * n_symbols // n_words, 'slack': 1000},
+    {'ratio': 'dup_lines', 'value': 1000 * n_dup_lines // n_words, 'slack': 200}, {'ratio': 'repeats', 'value': 1000 * n_repeat_words // n_words, 'slack': 200}], recursive := true)
   FROM base WHERE n_words > 0),
 rounded AS (SELECT *, (value >> GREATEST(length(bin(value)) - 5, 0)) << GREATEST(length(bin(value)) - 5, 0) AS v FROM ratios),
 levels AS (SELECT 2 AS level, lang, source, ratio, slack, v FROM rounded UNION ALL SELECT 1, lang, NULL, ratio, slack, v FROM rounded UNION ALL SELECT 0, NULL, NULL, ratio, slack, v FROM rounded),
 sketch AS (SELECT level, lang, source, ratio, slack, v, COUNT(*) AS n FROM levels GROUP BY ALL),
 ranked AS (SELECT *, SUM(n) OVER (p ORDER BY v) AS upto, SUM(n) OVER p AS total FROM sketch WINDOW p AS (PARTITION BY level, lang, source, ratio)),
-bands AS (
-  SELECT level, lang, source, ratio, slack, MAX(total) AS total, MIN(v) FILTER (upto * 20 >= total) AS low, MIN(v) FILTER (upto * 20 >= total * 10) AS mid, MIN(v) FILTER (upto * 20 >= total * 19) AS high
-  FROM ranked GROUP BY ALL),
-judged AS (
-  SELECT t.r, t.ratio, t.value, b.level,
-         t.value <= b.high + 3 * (b.high - b.mid) + b.slack AND (t.ratio <> 'word_length' OR t.value >= b.low - 3 * (b.mid - b.low) - b.slack) AS inside
-  FROM ratios t JOIN bands b ON t.ratio = b.ratio
-   AND (b.level = 0 OR b.total >= 200 AND t.lang IS NOT DISTINCT FROM b.lang AND (b.level = 1 OR t.source IS NOT DISTINCT FROM b.source))),
-verdicts AS (SELECT r, bool_and(ok) AS ok FROM (SELECT r, ratio, arg_max(inside, level) AS ok FROM judged GROUP BY r, ratio) GROUP BY r)
+quartiles AS (
+  SELECT level, lang, source, ratio, slack, CAST(MAX(total) AS BIGINT) AS n, MIN(v) FILTER (upto * 4 >= total) AS q1, MIN(v) FILTER (upto * 4 >= total * 3) AS q3 FROM ranked GROUP BY ALL),
+own AS (
+  SELECT level, lang, source, ratio, n, q3 + 3 * (q3 - q1) + slack AS high, CASE ratio WHEN 'word_length' THEN GREATEST(q1 - 3 * (q3 - q1) - slack, 0) ELSE 0 END AS low FROM quartiles),
+middle AS (
+  SELECT o.lang, o.ratio, (o.n * o.high + 200 * p.high) // (o.n + 200) AS high, (o.n * o.low + 200 * p.low) // (o.n + 200) AS low
+  FROM own o JOIN own p ON o.level = 1 AND p.level = 0 AND o.ratio = p.ratio),
+fine AS (
+  SELECT o.lang, o.source, o.ratio, (o.n * o.high + 200 * p.high) // (o.n + 200) AS high, (o.n * o.low + 200 * p.low) // (o.n + 200) AS low
+  FROM own o JOIN middle p ON o.level = 2 AND o.lang IS NOT DISTINCT FROM p.lang AND o.ratio = p.ratio),
+verdicts AS (
+  SELECT t.r, bool_and(t.value BETWEEN f.low AND f.high) AS ok
+  FROM ratios t JOIN fine f ON t.ratio = f.ratio AND t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source GROUP BY t.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND COALESCE(ok, TRUE) AS kept
