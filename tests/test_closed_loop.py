@@ -123,6 +123,18 @@ def test_restart_repeats_and_loses_nothing(spark):
     assert seen == sorted(seen)         # in order over batches and rounds
 
 
+def test_a_micro_batch_takes_several_ticks(spark):
+    """The number of micro-batches is bounded whatever the rows; ticks, rows and their order stay."""
+    ticks = replay.backlog(25, 3, 2, 4)
+    out = flow.drained(replay.replay(spark, placed(spark), new_path(spark, "mark"), 3, 2, slot_rows=4, ticks=ticks), "r")
+    got = spark.read.parquet(out)
+    assert Counter((r["round"], r["event_id"]) for r in got.collect()) == {(t, k): 1 for t in (0, 1) for k in range(25)}
+    assert {r["tick"]: r["count"] for r in got.groupBy("tick").count().collect()} == {t: min(3, 50 - 3 * t) for t in range(17)}
+    assert all(r["tick"] == (r["round"] * 25 + r["place"]) // 3 for r in got.collect())
+    assert got.select("batch_id").distinct().count() <= 4
+    assert replay.backlog(10**9, 4000, 2, 12) * 4000 * 12 >= 2 * 10**9 and replay.backlog(0, 5, 1, 12) == 1
+
+
 def test_a_failed_batch_is_read_again(spark):
     path, mark, checkpoint = placed(spark), new_path(spark, "mark"), new_path(spark, "check")
     rows, broken = [], []
