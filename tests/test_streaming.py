@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from winback.operators.live import feature_counters, ts_normalise, upsert
 from winback.registry import q_stream
+from winback.sources.staging import new_path
 from winback.streaming import flow, keyed, signals
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +95,38 @@ def test_decay_in_one_go_equals_step_by_step():
             last = h
             want.append(value)
         assert np.allclose(signals.decayed(hours, hit, half, 0.7), want, rtol=1e-12, atol=1e-300)
+
+
+def test_customers_together_equal_one_by_one():
+    """Signals of a part's customers, one of them very busy, computed at once and customer by customer."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n = np.array([3, signals.BUSY + 40, 1, 17, 17])
+    first = np.cumsum(n) - n
+    hours = np.concatenate([np.cumsum(rng.random(k) * 30) for k in n])
+    hit = (rng.random((len(hours), len(signals.NAMES))) < 0.3).astype(float)
+    start = rng.random((len(n), len(signals.NAMES)))
+    got = signals.decayed_together(hours, hit, first, n, start)
+    for c, k in enumerate(n):
+        here = slice(first[c], first[c] + k)
+        for j, half in enumerate(signals.HALVES):
+            assert np.allclose(got[here, j], signals.decayed(hours[here], hit[here, j], half, start[c, j]), rtol=1e-12, atol=1e-300)
+
+
+def test_state_is_kept_by_parts_of_customers(spark, tmp_path):
+    """The engine calls Python once a part, not once a customer; unknown customers, missing ids and missing customers keep their rows."""
+    many = 3 * signals.PARTS
+    base = spark.range(many).select(F.col("id").alias("customer_id"), (F.col("id") / many).alias("base"))
+    rows = [(c, e, f"2024-01-01 00:00:{e % 60:02}", "visit") for e, c in enumerate([*range(0, many, 2), None, None, many + 5])] + [(4, None, "2024-01-02 00:00:00", "purchase"), (None, 9001, "2024-01-02 00:00:00", "visit")]
+    spark.createDataFrame(rows, "customer_id long, event_id long, t string, event_type string").select("customer_id", "event_id", F.to_timestamp("t").alias("event_time"), "event_type").write.parquet(str(tmp_path / "in"))
+    with flow.rocks(spark):
+        s = signals.score_stream(spark.readStream.schema("customer_id long, event_id long, event_time timestamp, event_type string").parquet(str(tmp_path / "in")), base)
+        path, seen = new_path(spark, "parts"), []
+        q = s.writeStream.option("checkpointLocation", new_path(spark, "parts-check")).trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("append").parquet(path)).start()
+        q.awaitTermination()
+        seen = max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators)
+    got = spark.read.parquet(path).where(F.col("event_type") != signals.SILENT)
+    assert sorted((r["customer_id"] is None, r["customer_id"] or 0, r["event_id"] is None, r["event_id"] or 0) for r in got.collect()) == sorted((c is None, c or 0, e is None, e or 0) for c, e, _, _ in rows)
+    assert got.where("customer_id = 6").first()["previous_score"] == 6 / many and got.where(f"customer_id = {many + 5}").first()["previous_score"] == 0.5
+    assert got.where("customer_id IS NULL").agg(F.max("seen")).first()[0] == 3
+    assert seen < many                  # values of the store: parts (and timers), not customers
