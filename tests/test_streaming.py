@@ -130,3 +130,15 @@ def test_state_is_kept_by_parts_of_customers(spark, tmp_path):
     assert got.where("customer_id = 6").first()["previous_score"] == 6 / many and got.where(f"customer_id = {many + 5}").first()["previous_score"] == 0.5
     assert got.where("customer_id IS NULL").agg(F.max("seen")).first()[0] == 3
     assert seen < many                  # values of the store: parts (and timers), not customers
+
+
+def test_the_consumer_takes_a_bounded_number_of_batches(spark, monkeypatch):
+    """Far more ticks than micro-batches; counts, decisions and bad events are those of the whole table."""
+    monkeypatch.setattr(q_stream, "staged", lambda s, d, name, build: build())
+    monkeypatch.setattr(q_stream, "TICK", 20)
+    monkeypatch.setattr(q_stream, "BATCHES", 2)
+    got = q_stream.consumed(spark, SF).first()
+    good = q_stream.A.events(spark, SF).where("event_id % 97 <> 0").count()
+    assert len(list(q_stream.KeyedStore(spark, f"{got['folder']}/scores").versions())) <= 3          # one more ends the timers
+    assert (got["good"], got["bad"]) == (good, q_stream.A.events(spark, SF).count() - good)
+    assert spark.read.parquet(f"{got['folder']}/ledger/log").count() == got["asked"] > 0
