@@ -196,6 +196,12 @@ def test_silences_of_stream_and_batch(spark, rows):
     assert got.where("event_type <> 'inactivity'").count() == total
 
 
+def test_silences_of_customers_that_share_a_part(spark, monkeypatch):
+    """A part's timer is at the earliest of its customers' times."""
+    monkeypatch.setattr(signals, "PARTS", 2)
+    test_silences_of_stream_and_batch(spark, 40)
+
+
 def test_consumer_counts_keeps_and_resumes(spark):
     rng = random.Random(9)
     rows = [(rng.choice([1, 2, 3, None]) if e % 11 == 0 else rng.choice([1, 2, 3]), e, "soon" if e % 7 == 0 else f"2024-01-01T{e // 4:02}:{e % 4 * 15:02}:00Z", rng.choice(["support_contact", "visit"])) for e in range(60)]
