@@ -28,3 +28,30 @@ def test_snapshot_grid_is_filled_after_the_windows(spark):
     assert (on["visits_total"], on["purchases_total"], on["monetary_total"]) == (2, 1, 2.5) and on["last_visit_date"] == on["last_purchase_date"] == dt.datetime(2000, 1, 15)
     assert rows[1, "2000-01-29"]["last_purchase_date"] == dt.datetime(2000, 1, 15, 9) and rows[1, "2000-01-29"]["recent_visit_score"] == 0.0
     assert rows[1, "2000-03-05"]["last_visit_date"] == dt.datetime(2000, 3, 1) and rows[1, "2000-03-05"]["recent_visit_score"] == 1.0
+
+
+def test_a_walk_reads_the_stretch_its_money_reaches(spark, monkeypatch):
+    n = 3000
+    pool = spark.range(1, n + 1).select(F.col("id").alias("place"), (F.col("id") % 900).alias("customer_id"), (F.col("id") % 7 + 1).cast("double").alias("coupon_cost"),
+                                        F.when(F.col("id") % 2 == 0, "high").otherwise("low").alias("intervention_intensity"))
+    rows = [(r["place"], r["customer_id"], r["coupon_cost"], r["intervention_intensity"] == "high") for r in pool.orderBy("place").collect()]
+
+    def walk(left, high):
+        seen, got = set(), []
+        for place, who, cost, strong in rows:
+            if who not in seen and cost <= left and (not strong or high > 0):
+                left, high = left - cost, high - strong
+                seen.add(who)
+                got.append(place)
+        return got
+    sizes, totals = [], budget.ordered_totals
+
+    def counted(df, *args, **kw):
+        sizes.append(df.count())
+        return totals(df, *args, **kw)
+    monkeypatch.setattr(budget, "ordered_totals", counted)
+    for money in (37, 900, 100000):
+        got = sorted(r["place"] for r in budget.greedy(pool, [money], high_cap=60, width=64).select("place").collect())
+        assert got == walk(money, 60)
+        if money == 37:
+            assert max(sizes) <= 64
