@@ -55,3 +55,20 @@ def test_a_walk_reads_the_stretch_its_money_reaches(spark, monkeypatch):
         assert got == walk(money, 60)
         if money == 37:
             assert max(sizes) <= 64
+
+
+def test_months_hold_one_row_a_customer_and_month(spark, monkeypatch):
+    sizes, cut = [], cohort.cut
+
+    def counted(df, name):
+        sizes.append(df.count())
+        return cut(df, name)
+    monkeypatch.setattr(cohort, "cut", counted)
+    c = spark.createDataFrame([(1, "2000-01"), (2, "2000-01")], "customer_id long, acquisition_month string")
+    e = spark.createDataFrame([(1, dt.datetime(2000, 1, 3), "visit"), (1, dt.datetime(2000, 1, 4), "purchase"), (1, dt.datetime(2000, 3, 4), "coupon_open"), (2, dt.datetime(2000, 2, 4), "purchase"), (3, dt.datetime(2000, 6, 1), "visit")],
+                              "customer_id long, event_time timestamp, event_type string")
+    t = {(r["activity_definition"], r["retention_mode"], r["period"]): r for r in cohort.retention(c, e).collect()}
+    assert sizes == [4]
+    assert t["all_activity", "point", 1]["retained_customers"] == 1 and t["all_activity", "rolling", 1]["retained_customers"] == 2
+    assert t["purchase_only", "point", 2]["retained_customers"] is None and t["purchase_only", "point", 2]["observed"] is False
+    assert t["core_engagement", "rolling", 5]["retained_customers"] == 0 and t["core_engagement", "rolling", 5]["observed"]
