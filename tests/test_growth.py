@@ -72,3 +72,29 @@ def test_months_hold_one_row_a_customer_and_month(spark, monkeypatch):
     assert t["all_activity", "point", 1]["retained_customers"] == 1 and t["all_activity", "rolling", 1]["retained_customers"] == 2
     assert t["purchase_only", "point", 2]["retained_customers"] is None and t["purchase_only", "point", 2]["observed"] is False
     assert t["core_engagement", "rolling", 5]["retained_customers"] == 0 and t["core_engagement", "rolling", 5]["observed"]
+
+
+def test_columns_are_learned_once_a_fold(spark, monkeypatch):
+    calls, fitted = [], churn.fitted_preprocess
+
+    def counted(df, *args):
+        calls.append(1)
+        return fitted(df, *args)
+    monkeypatch.setattr(churn, "fitted_preprocess", counted)
+    _, best, report = churn.train(people(spark), ["x", "gap"], ["persona"], folds=2, depths=(2, 3), sizes=(3,))
+    assert len(calls) == 3 and set(report) == {"random_forest", "gradient_boosting"} and all(r["cv_auc"] > 0.6 for r in report.values())
+
+
+def test_medians_of_the_preparation(spark):
+    t = people(spark)
+    model = churn.fitted_preprocess(t, ["x", "gap"], ["persona"])
+    seen = sorted(r["gap"] for r in t.where("gap IS NOT NULL").collect())
+    assert model.stages[0].surrogateDF.first()["gap"] == seen[(len(seen) - 1) // 2]
+
+
+def test_dose_fits_read_written_rows(spark):
+    t = people(spark).withColumn("dose_intensity", F.element_at(F.array(*[F.lit(a) for a in uplift.ARMS]), (F.col("customer_id") % 4 + 1).cast("int")))
+    side = t.select("customer_id", F.col("label").cast("double").alias("retained"))
+    got = uplift.dose_effects(t.drop("label").join(side, "customer_id"), ["x", "gap"], ["persona"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 400

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,14 @@ def preprocess(numeric: list[str], text: list[str]) -> list:
     return stages + [VectorAssembler(inputCols=[f"{c}__num" for c in numeric] + [f"{c}__hot" for c in text], outputCol="features")]
 
 
+def fitted_preprocess(df: DataFrame, numeric: list[str], text: list[str]) -> PipelineModel:
+    """The fitted stages of preprocess(). Medians come from one aggregate: its sketches are merged by a shuffle, whereas Imputer sends the sketch of every partition and column to the driver."""
+    middle = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 0.5, 10000).alias(c) for c in numeric])
+    imputer, *rest = preprocess(numeric, text)
+    one = df.sparkSession.createDataFrame(middle.collect(), middle.schema)      # the median of one row is that row
+    return Pipeline(stages=[imputer.fit(one), *rest]).fit(df)
+
+
 def train(df: DataFrame, numeric: list[str], text: list[str], label: str = "label", folds: int = 5, seed: int = 42,
           depths=(3, 5), sizes=(20, 40)) -> tuple[PipelineModel, str, dict[str, dict[str, float]]]:
     """Two model families, a small grid each, customer-level folds; best by test AUC, then by fold AUC."""
@@ -152,14 +162,30 @@ def train(df: DataFrame, numeric: list[str], text: list[str], label: str = "labe
     gbt = GBTClassifier(labelCol="label", weightCol="class_weight", seed=seed)
     grids = {"random_forest": (rf, ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(sizes)).build()),
              "gradient_boosting": (gbt, ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.maxIter, list(sizes)).build())}
+    # what a fold learns of the columns is learned once for all settings; only label, weight and features are kept
+    def ready(rows: DataFrame) -> tuple[PipelineModel, DataFrame]:
+        prep = fitted_preprocess(rows, numeric, text)
+        return prep, prep.transform(rows).select("label", "class_weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    settings = [(k, est, i, m) for k, (est, grid) in grids.items() for i, m in enumerate(grid)]
+    found: dict[tuple[str, int], list[float]] = {(k, i): [] for k, _, i, _ in settings}
+    with ThreadPool(4) as pool:
+        for f in range(folds):
+            prep, seen = ready(fit.where(F.col("fold") != f))
+            held = prep.transform(fit.where(F.col("fold") == f)).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+            one = inheritable_thread_target(df.sparkSession)(lambda s, seen=seen, held=held: ((s[0], s[2]), auc.evaluate(s[1].fit(seen, s[3]).transform(held))))
+            for key, value in pool.map(one, settings, chunksize=1):
+                found[key].append(value)
+            seen.unpersist()
+            held.unpersist()
     report, best, name = {}, None, ""
+    prep, seen = ready(fit)
     for k, (est, grid) in grids.items():
-        pipe = Pipeline(stages=[*preprocess(numeric, text), est])
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=auc, numFolds=folds, foldCol="fold", parallelism=4, seed=seed)
-        model = cv.fit(fit)
-        report[k] = {"cv_auc": max(model.avgMetrics), "test_auc": auc.evaluate(model.bestModel.transform(test))}
+        means = [sum(found[k, i]) / folds for i in range(len(grid))]
+        model = PipelineModel(stages=[*prep.stages, est.fit(seen, grid[means.index(max(means))])])
+        report[k] = {"cv_auc": max(means), "test_auc": auc.evaluate(model.transform(test))}
         if best is None or (report[k]["test_auc"], report[k]["cv_auc"]) > (report[name]["test_auc"], report[name]["cv_auc"]):
-            best, name = model.bestModel, k
+            best, name = model, k
+    seen.unpersist()
     return best, name, report
 
 

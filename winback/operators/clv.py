@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from winback.functions.ranking import exact_quantiles, quantile_values
 from winback.functions.scalars import ratio, stable_unit
-from winback.operators.churn import preprocess
+from winback.operators.churn import fitted_preprocess
 
 WINDOWS = (30, 90, 180)
 NUMERIC = [f"w{w}_{m}" for w in WINDOWS for m in ("orders", "spend", "avg_order")] + ["tenure_days", "spend_velocity", "order_velocity"]
@@ -42,7 +42,7 @@ def fit_predict(train: DataFrame, now: DataFrame, text: list[str], trees: int =
     """Forest on the earlier anchor, scored at the later one; the year is twice the half-year prediction. One customer in five is held out for the report."""
     cast = lambda d: d.withColumns({c: F.col(c).cast("double") for c in NUMERIC})
     known = cast(train).withColumn("_held", stable_unit(F.col("customer_id"), 613) < 0.2)
-    model = Pipeline(stages=[*preprocess(NUMERIC, text), RandomForestRegressor(labelCol="future_spend", numTrees=trees, maxDepth=6, seed=seed)]).fit(known.where("NOT _held"))
+    model = Pipeline(stages=[fitted_preprocess(known.where("NOT _held"), NUMERIC, text), RandomForestRegressor(labelCol="future_spend", numTrees=trees, maxDepth=6, seed=seed)]).fit(known.where("NOT _held"))
     unseen = model.transform(known.where("_held"))
     report = {m: RegressionEvaluator(labelCol="future_spend", metricName=m).evaluate(unseen) for m in ("mae", "rmse", "r2")}
     return model.transform(cast(now)).select("customer_id", (2 * F.greatest("prediction", F.lit(0.0))).alias("predicted_clv_12m")), report

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from winback.functions.ranking import ordered_totals, quantile_values
 from winback.functions.scalars import clip, minmax, ratio, scalars, stable_unit
-from winback.operators.churn import preprocess
+from winback.operators.churn import fitted_preprocess
 from winback.sources.staging import cut
 
 ARMS = ["control", "low", "mid", "high"]
 
 
-def _forest(numeric: list[str], text: list[str], trees: int, seed: int) -> Pipeline:
-    return Pipeline(stages=[*preprocess(numeric, text), RandomForestClassifier(labelCol="retained", numTrees=trees, maxDepth=5, seed=seed)])
+def _forest(df: DataFrame, numeric: list[str], text: list[str], trees: int, seed: int) -> PipelineModel:
+    return Pipeline(stages=[fitted_preprocess(df, numeric, text), RandomForestClassifier(labelCol="retained", numTrees=trees, maxDepth=5, seed=seed)]).fit(df)
 
 
 def _p(model, df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _p(model, df: DataFrame, name: str) -> DataFrame:
 
 def s_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42, on: DataFrame | None = None) -> DataFrame:
     """One model with the treatment flag as a feature; the gain is the difference of two predictions. Fitted on df, applied to `on` (df itself where it isn't given)."""
-    model, on = _forest([*numeric, "treatment_flag"], text, trees, seed).fit(df), df if on is None else on
+    model, on = _forest(df, [*numeric, "treatment_flag"], text, trees, seed), df if on is None else on
     flag = F.col("treatment_flag")
     with_ = _p(model, on.withColumns({"_flag": flag, "treatment_flag": F.lit(1.0)}), "_p1")
     both = _p(model, with_.withColumn("treatment_flag", F.lit(0.0)), "_p0")
@@ -39,8 +39,8 @@ def s_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 4
 
 def _arms(df: DataFrame, numeric: list[str], text: list[str], trees: int, seed: int, on: DataFrame) -> DataFrame:
     """`on` with the outcome that a model of the treated (_p1) and one of the others (_p0) of df expect."""
-    treated = _forest(numeric, text, trees, seed).fit(df.where("treatment_flag = 1"))
-    control = _forest(numeric, text, trees, seed).fit(df.where("treatment_flag = 0"))
+    treated = _forest(df.where("treatment_flag = 1"), numeric, text, trees, seed)
+    control = _forest(df.where("treatment_flag = 0"), numeric, text, trees, seed)
     return _p(control, _p(treated, on, "_p1"), "_p0")
 
 
@@ -57,7 +57,7 @@ def dr_pseudo(df: DataFrame, p1: str, p0: str, propensity: float) -> Column:
 
 
 def _gain_model(df: DataFrame, numeric: list[str], text: list[str], trees: int, seed: int):
-    return Pipeline(stages=[*preprocess(numeric, text), RandomForestRegressor(labelCol="_pseudo", numTrees=trees, maxDepth=5, seed=seed)]).fit(df)
+    return Pipeline(stages=[fitted_preprocess(df, numeric, text), RandomForestRegressor(labelCol="_pseudo", numTrees=trees, maxDepth=5, seed=seed)]).fit(df)
 
 
 def dr_learner(df: DataFrame, numeric: list[str], text: list[str], trees: int = 40, seed: int = 42, on: DataFrame | None = None) -> DataFrame:
@@ -182,9 +182,13 @@ def arm_summary(df: DataFrame) -> DataFrame:
 
 
 def dose_effects(df: DataFrame, numeric: list[str], text: list[str], min_rows: int = 80) -> DataFrame:
-    """Outcome model per arm, then a ridge on the held difference to the control; constant where data is thin."""
+    """Outcome model per arm, then a ridge on the held difference to the control; constant where data is thin.
+
+    The rows are written first: every fit reads them, and would join (and broadcast) what they come from again.
+    """
+    df = cut(df, "dose-rows")
     counts = {r["dose_intensity"]: (r["n"], r["y"]) for r in df.groupBy("dose_intensity").agg(F.count(F.lit(1)).alias("n"), F.avg("retained").alias("y")).collect()}
-    prep = Pipeline(stages=preprocess(numeric, text)).fit(df)
+    prep = fitted_preprocess(df, numeric, text)
     out = prep.transform(df).select(*df.columns, "features")
     for arm in ARMS:
         n, y = counts.get(arm, (0, None))

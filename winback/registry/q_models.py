@@ -146,10 +146,9 @@ def grid_cv(spark, d):
 @query("preprocess_pipeline")
 def preprocess_pipeline(spark, d):
     """Imputed, indexed and one-hot encoded feature vector of every customer."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     t = train_frame(spark, d).withColumns({c: F.col(c).cast("double") for c in NUM})
-    return Pipeline(stages=C.preprocess(NUM, TEXT)).fit(t).transform(t).select("customer_id", vector_to_array("features").alias("features"))
+    return C.fitted_preprocess(t, NUM, TEXT).transform(t).select("customer_id", vector_to_array("features").alias("features"))
 
 
 @query("feature_importance")
