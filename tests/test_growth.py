@@ -98,3 +98,14 @@ def test_dose_fits_read_written_rows(spark):
     got = uplift.dose_effects(t.drop("label").join(side, "customer_id"), ["x", "gap"], ["persona"])
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 400
+
+
+def test_ranges_do_not_write_the_key(spark, monkeypatch):
+    columns, cut = [], ranking.cut
+
+    def seen(df, name):
+        columns.append(df.columns)
+        return cut(df, name)
+    monkeypatch.setattr(ranking, "cut", seen)
+    got = ranking.ordered_totals(people(spark), [("x", True), ("customer_id", False)], {"k": F.lit(1)})
+    assert [r["customer_id"] for r in got.orderBy("k").limit(2).collect()] == [16, 33] and "_key" not in columns[0]
