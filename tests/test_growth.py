@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from winback.functions import ranking
 from winback.operators import budget, churn, cohort, features, uplift
+from winback.sources import adapters
 
 
 def people(spark, n=400):
@@ -109,3 +110,29 @@ def test_ranges_do_not_write_the_key(spark, monkeypatch):
     monkeypatch.setattr(ranking, "cut", seen)
     got = ranking.ordered_totals(people(spark), [("x", True), ("customer_id", False)], {"k": F.lit(1)})
     assert [r["customer_id"] for r in got.orderBy("k").limit(2).collect()] == [16, 33] and "_key" not in columns[0]
+
+
+def test_line_items_are_aggregated_once(spark, tmp_path, monkeypatch):
+    d, day = str(tmp_path), lambda n: dt.datetime(1999, 1, n)
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    write("lineitem", [(1, 7, 3, 1, 1.0, 50.0, 0.1), (1, 5, 3, 2, 2.0, 50.0, 0.02), (1, 9, 3, 3, 1.0, 10.0, 0.06), (2, 9, 3, 1, 4.0, 30.0, 0.0)],
+          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double")
+    write("orders", [(1, 1, 5.0, day(3), "2-HIGH"), (2, 1, 5.0, day(9), "5-LOW"), (3, 2, 5.0, day(4), "5-LOW"), (4, 2, 5.0, day(4), "5-LOW"), (5, 2, 5.0, day(8), "5-LOW"), (6, 3, 8.0, day(6), "5-LOW")],
+          "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
+    write("part", [(5, "five"), (7, "seven"), (9, "nine")], "p_partkey long, p_type string")
+    write("customer", [(k, "p", 0, 1.0) for k in range(1, 5)], "c_custkey long, c_mktsegment string, c_nationkey int, c_acctbal double")
+    write("nation", [(0, "n", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    write("region", [(0, "r")], "r_regionkey int, r_name string")
+    read, table = [], adapters.table
+
+    def seen(spark, d, name):
+        read.append(name)
+        return table(spark, d, name)
+    monkeypatch.setattr(adapters, "table", seen)
+    c = {r["customer_id"]: r for r in adapters.customers(spark, d).collect()}
+    o = {r["order_id"]: r for r in adapters.orders(spark, d).collect()}
+    at = {r["customer_id"]: r["assigned_at"].day for r in adapters.assignments(spark, d).collect()}
+    assert read.count("lineitem") == 1
+    assert (o[1]["item_category"], o[1]["gross_amount"], o[1]["quantity"], o[1]["coupon_used"], o[3]["item_category"], o[6]["gross_amount"]) == ("five", 110.0, 4, 1, "UNKNOWN", 8.0)
+    assert (c[1]["price_sensitivity"], c[1]["coupon_affinity"], c[3]["price_sensitivity"], c[4]["signup_date"]) == (0.45, 0.5, 0.5, None) and "lines" not in o[1]
+    assert at == {1: 10, 2: 5, 3: 7}
