@@ -136,3 +136,15 @@ def test_line_items_are_aggregated_once(spark, tmp_path, monkeypatch):
     assert (o[1]["item_category"], o[1]["gross_amount"], o[1]["quantity"], o[1]["coupon_used"], o[3]["item_category"], o[6]["gross_amount"]) == ("five", 110.0, 4, 1, "UNKNOWN", 8.0)
     assert (c[1]["price_sensitivity"], c[1]["coupon_affinity"], c[3]["price_sensitivity"], c[4]["signup_date"]) == (0.45, 0.5, 0.5, None) and "lines" not in o[1]
     assert at == {1: 10, 2: 5, 3: 7}
+
+
+def test_places_take_one_shuffle_of_the_rows(spark):
+    t = people(spark).withColumn("persona", F.when(F.col("customer_id") % 4 != 0, F.col("persona")))
+    order = [("gap", True), ("persona", False), ("customer_id", True)]
+    got = ranking.placed(t, order)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.index("Window [") < plan.index("Aggregate [")      # over the ranges, not over the rows
+    rows = sorted(t.collect(), key=lambda r: (r["gap"] is None, -(r["gap"] or 0), r["persona"] is None, r["persona"] or "", -r["customer_id"]))
+    assert [r["customer_id"] for r in got.orderBy("place").collect()] == [r["customer_id"] for r in rows]
+    assert sorted(r["place"] for r in got.collect()) == list(range(1, 401)) and got.columns == [*t.columns, "place"]
+    assert ranking.placed(t.limit(0), order).count() == 0
