@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winback.functions import ranking
 from winback.operators import budget, churn, cohort, features, uplift
 from winback.sources import adapters
+from winback.streaming import signals
 
 
 def people(spark, n=400):
@@ -148,3 +149,14 @@ def test_places_take_one_shuffle_of_the_rows(spark):
     assert [r["customer_id"] for r in got.orderBy("place").collect()] == [r["customer_id"] for r in rows]
     assert sorted(r["place"] for r in got.collect()) == list(range(1, 401)) and got.columns == [*t.columns, "place"]
     assert ranking.placed(t.limit(0), order).count() == 0
+
+
+def test_base_scores_are_joined_to_days(spark):
+    ev = spark.createDataFrame([(c, 10 * c + i, dt.datetime(2024, 1, 1 + i // 2, i), "visit") for c in (1, 2, 3) for i in range(4)], "customer_id long, event_id long, event_time timestamp, event_type string")
+    base = spark.createDataFrame([(1, 0.5), (3, 0.7)], "customer_id long, only_base double").withColumnRenamed("only_base", "base")
+    got = signals.replay(ev, base)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("only_base") and sum("LogicalRDD" in line and "only_base" in line for line in plan.splitlines()) == 2      # the scores and each day's last one; with the events too, four
+    rows = got.orderBy("event_id").collect()
+    assert [r["event_id"] for r in rows] == [10, 11, 12, 13, 30, 31, 32, 33] and [r["seen"] for r in rows] == [1, 2, 3, 4] * 2
+    assert rows[0]["previous_score"] == 0.5 and rows[4]["previous_score"] == 0.7 and rows[1]["previous_score"] == rows[0]["churn_score"]
