@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from winback.sources import replay
-from winback.sources.staging import new_path
+from winback.sources.staging import cut, new_path
 from winback.streaming import flow, signals
 from winback.streaming.keyed import KeyedStore
 from winback.streaming.ledger import INTENSITIES, Ledger, menus
@@ -96,6 +97,30 @@ def test_a_batch_broken_between_blocks_goes_on(spark, tmp_path, monkeypatch):
     assert got == [(r[0], r[2], r[4]) for r in by_hand(offers, rows, 200.0, 4)]
 
 
+def jobs_of(spark, work):
+    """Spark jobs that a piece of work starts."""
+    group = new_path(spark, "jobs")
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_small_batch_takes_few_jobs(spark, tmp_path):
+    """What a micro-batch of one block costs is mostly jobs: its triggers aren't put in order by a job of their own, and what was written isn't counted by reading it."""
+    rng = random.Random(3)
+    offers, rows = actions(rng, 30), asks(rng, 400, 30)
+    menu = cut(menus(spark.createDataFrame(offers, ACTION)), "test-menus")
+    ledger = Ledger(KeyedStore(spark, str(tmp_path), buckets=4), 500.0, 9)
+    written = [cut(triggers(spark, rows[k: k + 100]), "test-asks") for k in range(0, 400, 100)]
+    jobs = [jobs_of(spark, lambda: ledger.decide(t, menu, i)) for i, t in enumerate(written)]
+    assert max(jobs) <= 18, jobs
+    got = [(r["event_id"], r["customer_id"], r["status"], r["intensity"], round(r["money_left"], 6), r["places_left"]) for r in ledger.log().orderBy("event_time", "event_id").collect()]
+    assert got == by_hand(offers, rows, 500.0, 9)
+
+
 def test_no_triggers(spark, tmp_path):
     ledger = Ledger(KeyedStore(spark, str(tmp_path)), 100.0, 4)
     ledger.decide(triggers(spark, []), menus(spark.createDataFrame([], ACTION)), 0)
@@ -202,6 +227,28 @@ def test_silences_of_customers_that_share_a_part(spark, monkeypatch):
     test_silences_of_stream_and_batch(spark, 40)
 
 
+def test_a_timer_that_is_early_stays():
+    """Events put a part's next look off; its timer is set again only when there is none, or a later one."""
+    calls = []
+
+    class Handle:
+        def deleteTimer(self, t):
+            calls.append(("off", t))
+
+        def registerTimer(self, t):
+            calls.append(("on", t))
+    processor = signals.SignalProcessor()
+    processor._handle = Handle()
+    state = np.zeros(2, signals.ROW)
+    state["last"], state["silent"] = [5 * signals.DAY_US, 9 * signals.DAY_US], signals.FIRST_DAY
+    due = (5 + signals.FIRST_DAY) * 86_400_000
+    for timers in ([], [due + 1], [due], [due - 1]):
+        processor._look_again(state, timers)
+    state["silent"] = 0
+    processor._look_again(state, [])
+    assert calls == [("on", due), ("off", due + 1), ("on", due)]
+
+
 def test_consumer_counts_keeps_and_resumes(spark):
     rng = random.Random(9)
     rows = [(rng.choice([1, 2, 3, None]) if e % 11 == 0 else rng.choice([1, 2, 3]), e, "soon" if e % 7 == 0 else f"2024-01-01T{e // 4:02}:{e % 4 * 15:02}:00Z", rng.choice(["support_contact", "visit"])) for e in range(60)]
