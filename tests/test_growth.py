@@ -1,11 +1,12 @@
 """What steps read, write and send must follow their input, not a grid, a pool or a number of fits."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
-from winback.functions import ranking
-from winback.operators import budget, churn, cohort, features, uplift
+from winback.functions import ranking, vocab
+from winback.operators import budget, churn, cohort, features, ingest, uplift
 from winback.sources import adapters
 from winback.streaming import signals
 
@@ -160,3 +161,21 @@ def test_base_scores_are_joined_to_days(spark):
     rows = got.orderBy("event_id").collect()
     assert [r["event_id"] for r in rows] == [10, 11, 12, 13, 30, 31, 32, 33] and [r["seen"] for r in rows] == [1, 2, 3, 4] * 2
     assert rows[0]["previous_score"] == 0.5 and rows[4]["previous_score"] == 0.7 and rows[1]["previous_score"] == rows[0]["churn_score"]
+
+
+def test_event_map_is_worked_out_once_per_value(spark):
+    """A filter on the type reads the written map: the vocabulary isn't searched for every row. Nulls, blanks, exact words, longest words and unknown ones get their type."""
+    values = [None, "", " -- ", "purchase", "Purchase Item", "x_view!", "zzz", "CLICK / report_issue"]
+    rows = spark.createDataFrame([(values[k % len(values)],) for k in range(80)], "action string")
+    m = ingest.event_map(rows, "action")
+    words = [(w, t, i) for i, (w, t) in enumerate((w, t) for t, ws in vocab.EVENT_VALUES.items() for w in ws)]
+
+    def by_hand(value):
+        flat = re.sub("_+", "_", re.sub("[^a-z0-9가-힣]", "_", (value or "").strip().lower())).strip("_")
+        inside = sorted((-len(w), i, t) for w, t, i in words if len(w) >= 4 and w in flat)
+        return next((t for w, t, _ in words if w == flat), inside[0][2] if inside else "other") if flat else "other"
+    assert {r["value"]: (r["n"], r["event_type"]) for r in m.collect()} == {v: (10, by_hand(v)) for v in values}
+    other = m.where("event_type = 'other'")
+    plan = other._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Aggregate" not in plan, plan
+    assert {r["value"] for r in other.collect()} == {v for v in values if by_hand(v) == "other"}
