@@ -69,3 +69,28 @@ def test_boxes_drop_no_link(spark, monkeypatch):
 
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_pairs_of_tiles_move_no_vectors(spark, monkeypatch):
+    """Pairs of tiles are shuffled as numbers, so disk follows the table and not the pairs; cells that hold fewer tiles than they meet read them again."""
+    monkeypatch.setattr(vectors, "TILE", 8)
+    plans, columns, cut = {}, {}, vectors.cut
+
+    def watched(df, name):
+        plans[name] = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" not in x]
+        columns[name] = df.columns
+        return cut(df, name)
+    monkeypatch.setattr(vectors, "cut", watched)
+    rows = table(np.random.default_rng(5))
+    got = Counter(tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == Counter(brute(rows, 0.95))
+    assert not [x for x in plans["vector-links"] if any(f"{c}#" in x for c in ("given", "turned", "nodes"))]
+    assert all("vec" not in c for c in columns.values()), columns      # tiles alone keep vectors
+
+
+def test_copies_share_a_part_whatever_is_beside_them():
+    rng = np.random.default_rng(1)
+    x, axis = np.float32(rng.normal(size=(301, 37))).astype(float), rng.normal(size=37)
+    whole = vectors.along(x, axis)
+    assert all(vectors.along(x[k: k + n], axis).tolist() == whole[k: k + n].tolist() for k in range(0, 300, 7) for n in (1, 2, 5))
+    assert np.allclose(whole, vectors.unit(x) @ axis, atol=1e-4)
